@@ -126,9 +126,9 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def span_hash(buf: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each span of bytes. buf needs 8 bytes of padding."""
-    view, h = loads(buf), mix(length.astype(np.uint64) + np.uint64(0x51ED270B))
+    view, h = loads(buf), mix(length.astype(np.uint64) + np.uint64(0x51ED270B + (seed << 32)))
     live, at, left = np.arange(len(start)), start.astype(np.int64), length.astype(np.int64)
     keep = left > 0
     live, at, left = live[keep], at[keep], left[keep]

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import exact_dedup, mixing, sharding
+from webquarry.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +32,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir), _tokenizer())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_docs(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_docs(spark, sf_dir))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
@@ -44,7 +66,7 @@ o AS (  -- by the ratio at which a source is full
 c AS (
   SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY full_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_me,
          sum(w) OVER (ORDER BY full_at DESC, source DESC ROWS UNBOUNDED PRECEDING) AS w_left FROM o),
-l AS (SELECT min((budget - before_me) / w_left) FILTER (WHERE (budget - before_me) / w_left <= full_at) AS rate FROM c),
+l AS (SELECT max((budget - before_me) / w_left) AS rate FROM c),
 t AS (SELECT source, source_size, CASE WHEN full_at < rate THEN 2.0::DOUBLE * source_size ELSE rate * w END AS target FROM o, l),
 x AS (
   SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
@@ -58,6 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL}
