@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup
+from webquarry.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
 
 
 def _tokenizer() -> str:
@@ -20,6 +20,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_docs(spark, sf_dir)).drop("kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
@@ -77,6 +81,7 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
