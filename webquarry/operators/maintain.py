@@ -15,6 +15,7 @@ import os
 import shutil
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,8 +152,6 @@ def file_sha256(path: str) -> str:
 
 def verify(crawls: DataFrame, home: str) -> DataFrame:
     """id, state (ok, modified, missing, remote): files are hashed by the executors, one task each."""
-    import pandas as pd
-
     from webquarry.operators.catalog import is_remote
 
     @F.pandas_udf("string")

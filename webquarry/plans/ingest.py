@@ -88,7 +88,7 @@ def pages_of(spark: SparkSession, crawl: str, path: str, opener=wacz.open_local)
 
 
 def as_documents(pages: DataFrame, name: str, collection: str, cfg: Config) -> DataFrame:
-    keyed = pages.withColumn("doc_id", F.xxhash64("crawl_id", "url") & F.lit((1 << 62) - 1)).withColumn("crawl_name", F.lit(name)).withColumn("collection", F.lit(collection))
+    keyed = pages.withColumn("doc_id", F.xxhash64("crawl_id", "url").bitwiseAND(F.lit((1 << 62) - 1))).withColumn("crawl_name", F.lit(name)).withColumn("collection", F.lit(collection))
     return documents.derive(keyed, lang=langdetect.detected("body"), snip_bytes=cfg.snip_bytes)
 
 

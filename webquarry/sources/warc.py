@@ -143,15 +143,17 @@ def plain_records(f: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and bytes of each record of an uncompressed file, read record by record."""
     buf, base = b"", 0
     while True:
+        while (start := buf.find(b"WARC/")) < 0:
+            more = f.read(CHUNK)
+            if not more:
+                return
+            buf += more
         gap = b"\r\n\r\n"
-        while (end := buf.find(gap)) < 0:
+        while (end := buf.find(gap, start)) < 0:
             more = f.read(CHUNK)
             if not more:
                 break
             buf += more
-        start = buf.find(b"WARC/")
-        if start < 0:
-            return
         if end < 0:
             end, gap = buf.find(b"\n\n", start), b"\n\n"
             if end < 0:

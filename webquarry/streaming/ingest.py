@@ -22,7 +22,7 @@ def ingest_stream(records: DataFrame, home: str, checkpoint: str, name: Callable
         if batch.isEmpty():
             return
         names = batch.groupBy("crawl_id").agg(F.first("crawl_name").alias("crawl_name"), F.first("collection").alias("collection"))
-        pages = merge_pages(batch).join(names, "crawl_id").withColumn("doc_id", F.xxhash64("crawl_id", "url") & F.lit((1 << 62) - 1))
+        pages = merge_pages(batch).join(names, "crawl_id").withColumn("doc_id", F.xxhash64("crawl_id", "url").bitwiseAND(F.lit((1 << 62) - 1)))
         maintain.upsert(batch.sparkSession, home, derive(pages))
 
     return records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
