@@ -7,18 +7,22 @@ code runs for each word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a numpy pass handles at once; a longer document is a pass of its own.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,7 +39,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/webquarry-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: the driver removes them once their plans are collected, which a
+    large heap has no reason to do soon; and until the listeners have heard of a job's end they hold its plan.
+    """
+    with contextlib.suppress(Py4JError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.scratch_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive their task, and their free lists count."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,10 +88,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def like(df: DataFrame, fields: list[tuple[str, str]]) -> str:
-    """A schema text; 'key' as a type stands for the type of the frame's doc_id."""
-    kind = dict(df.dtypes)["doc_id"] if "doc_id" in df.columns else "bigint"
-    return ", ".join(f"`{n}` {kind if t == 'key' else t}" for n, t in fields)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- numpy
