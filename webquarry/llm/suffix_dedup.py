@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, loads, mix, padded, pair, passes, span_hash, text_buffer, text_or_empty, winnow
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, loads, mix, padded, pair, passes, span_hash, text_buffer, text_or_empty, trim, winnow
 
 LENGTH, GRAM = 200, 16
 #: Words of 8 bytes that the multikey quicksort looks at before blind tries take over.
@@ -265,6 +265,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield from settle(held)
                     held, size = [], 0
             named += len(b)
+            trim()
         if held:
             yield from settle(held)
 
@@ -346,7 +347,7 @@ def _sorted_reaches(batches: Iterable[pa.RecordBatch], before: int, length: int)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, doc_id with from and to: byte ranges covered by strings that occur twice)."""
+    """(documents, doc_id with spans of from and to: byte ranges covered by strings that occur twice)."""
     kind, before = dict(docs.dtypes)["doc_id"], length - gram
     texts = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     met = cut(_anchors(docs, length, gram).repartition("k").mapInArrow(_meet, f"k bigint, doc_id {kind}, pos int, llen smallint, rlen smallint, kind tinyint"), "suffixes")
@@ -354,14 +355,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     wanted = met.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("k", "kind", "pos", "llen", "rlen")).alias("at"))
     sides = texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(lambda x: _sides(x, before, length), f"k bigint, kind tinyint, doc_id {kind}, pos int, llen smallint, rlen smallint, before binary, after binary")
     found = sides.repartition("k").mapInArrow(lambda x: _sorted_reaches(x, before, length), f"doc_id {kind}, `from` bigint, `to` bigint")
-    return texts, plain.union(found)
+    # a table of its own, so that the shuffles of this step are gone before texts are shuffled again
+    spans = cut(plain.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    discard(met)
+    return texts, spans
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     kind = dict(docs.dtypes)["doc_id"]
-    texts, found = repeated_spans(docs, length)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    texts, spans = repeated_spans(docs, length)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
