@@ -9,9 +9,9 @@ all components of a document are expected to be hit; documents that miss one go
 Two documents agree in a component with the probability of their weighted Jaccard similarity.
 
 Equal texts collapse first. Bands of the signature make buckets; members are verified against the
-bucket's least and greatest id, then against all members of other classes that remain in the bucket, so
-no bucket is capped and no link between different texts is lost to its size. Verification compares the
-multisets themselves. Classes are the connected components of verified links.
+bucket's most central one, then against those of other classes for which an upper bound of their
+similarity leaves room, so no bucket is capped and no link between different texts is lost to its size.
+Verification compares the multisets themselves. Classes are the connected components of verified links.
 
 Defined results: null and empty texts have no shingles and are near nothing but equal texts; a text of
 one to four words is a single shingle; an empty table gives an empty result; rows that repeat an id are
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, mix, pair, passes, run_hash, text_buffer, text_or_empty, word_hashes
+from webquarry.llm.common import PASS_BYTES, WORD, as_i64, columns, cut, discard, mix, pair, passes, run_hash, text_buffer, text_or_empty, trim, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 36, 7
 #: Points expected for each component before a document's first bound.
 DEPTH = 8.0
 
@@ -125,6 +125,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32)), pa.array(as_i64(np.ascontiguousarray(h)).reshape(-1)))
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], lists], names=["doc_id", "digest", "bands"])
+            trim()
 
     ready = columns(docs, "doc_id", "text").select("doc_id", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"), text_or_empty().alias("text"))
     return ready.mapInArrow(run, f"doc_id {kind}, digest binary, bands array<bigint>")
@@ -150,6 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                 ok = near >= similarity - 1e-12
                 part = b.slice(i, j - i).filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(near[ok])], names=["a", "b", "similarity"])
+            trim()
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -173,26 +175,65 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def own_weights(texts: DataFrame) -> DataFrame:
+    """id, common, own: weight of a text's shingles that occur in other texts too, and in no other."""
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offsets = text_buffer(b["text"])
+            for i, j in passes(offsets, PASS_BYTES):
+                doc, key, weight = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc + i)), pa.array(as_i64(key)), pa.array(weight.astype(np.int32))], names=["id", "h", "w"])
+            trim()
+
+    each = texts.mapInArrow(run, f"id {kind}, h bigint, w int")
+    by_shingle = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.max("w").alias("w"))
+    own = by_shingle.where("id = other").groupBy("id").agg(F.sum("w").alias("own"))
+    total = texts.select(F.col("doc_id").alias("id"), F.greatest(F.lit(1), F.regexp_count("text", F.lit(WORD)) - (SHINGLE - 1)).cast("bigint").alias("total")).dropDuplicates(["id"])
+    out = total.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return out.select("id", (F.col("total") - F.col("own")).alias("common"), "own")
+
+
+def _open_members(placed: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """band, id, label, common, own of buckets that hold several classes, without members that can't be near any other."""
+    inside = placed.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = inside.groupBy("band").agg(F.min("own").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "least")
+    could = inside.join(open_, "band").where(F.col("common") >= (similarity - 1e-12) * (F.col("common") + F.col("own") + F.col("least"))).select("band", "id", "label", "common", "own")
+    still = could.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return could.join(still, "band")
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(signed documents with digests, label of every representative that has a verified near copy)."""
+    """(signed documents with digests, label of every representative that has a verified near copy).
+
+    A bucket's members are verified against its most central one, that with the least weight of its own. What two
+    texts can reach is bounded by their common weights over those and both own weights: pairs of different classes
+    whose bound reaches the similarity are verified one by one; for all others it is proven that no link exists.
+    """
     marks = cut(signed(docs), "signatures")
     rep = marks.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     buckets = cut(rep.select("id", F.explode("bands").alias("band")), "bands")
-    shared = buckets.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = cut(buckets.join(shared, "band"), "members")
+    discard(buckets)
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = cut(columns(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-    pairs = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(members.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a <> b").distinct()
+    texts = cut(columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi"), "candidates")
+    placed = cut(members.join(own_weights(texts), "id"), "members")
+    discard(members)
+    central = placed.groupBy("band").agg(F.min(F.struct(F.col("own") / (F.col("own") + F.col("common")), "id")).alias("c")).select("band", F.col("c.id").alias("lead"))
+    pairs = placed.join(central, "band").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     tried = cut(pairs, "pairs")
-    found = cut(verified(tried, texts, similarity), "links")
+    found = cut(verified(tried, texts, similarity).dropDuplicates(["a", "b"]), "links")
     label = cut(components(found.select("a", "b")), "labels")
-    # the exact rest: members of one bucket that are still in different classes
-    inside = members.select("band", "id").join(label.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = inside.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    rest = cut(inside.join(mixed, "band", "left_semi"), "unresolved")
-    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("other"))
-    more = rest.select("band", F.col("id").alias("a"), "label").join(other, "band").where("label <> other and a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    extra = cut(verified(more, texts, similarity), "links")
+    # the exact rest: members of one bucket that are in different classes and could be near each other
+    rest = cut(_open_members(placed, label, similarity), "unresolved")
+    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("other"), F.col("common").alias("common_b"), F.col("own").alias("own_b"))
+    bound = F.least("common", "common_b") >= (similarity - 1e-12) * (F.greatest("common", "common_b") + F.col("own") + F.col("own_b"))
+    both = rest.withColumnRenamed("id", "a").join(other, (rest["band"] == other["band"]) & (F.col("label") != F.col("other")) & (F.col("a") < F.col("b")) & bound)
+    more = cut(both.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    extra = cut(verified(more, texts, similarity).dropDuplicates(["a", "b"]), "links")
+    discard(texts)
     if not extra.isEmpty():
         label = cut(components(found.select("a", "b").union(extra.select("a", "b"))), "labels")
     return marks, label
