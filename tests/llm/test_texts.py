@@ -232,7 +232,7 @@ def test_mixing(docs):
 
 def test_targets_reshare_the_excess():
     found = mixing.targets([("a", 10), ("b", 1000), (None, 1000)])
-    assert found["a"] == (5, 20.0) and found["b"][1] == pytest.approx(2000.0) and found[None][1] == pytest.approx(995.0)
+    assert found["a"] == (5, 20.0) and found["b"][1] == pytest.approx(2 * 2995 / 3) and found[None][1] == pytest.approx(2995 / 3)
 
 
 def test_due_inverts_the_demand(spark):

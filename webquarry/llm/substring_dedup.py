@@ -1,15 +1,17 @@
 """Removal of repeated word windows through a log-structured fingerprint index.
 
-Fingerprints are sampled by content: of every window of 35 words, the 12-word run with the least hash is
+Fingerprints are sampled by content: of every window of 35 words, the 10-word run with the least hash is
 an anchor, so equal windows share an anchor at the same place. The index holds anchors in sorted
 immutable runs of (hash, count), bucketed by hash. A new batch of documents is merge-joined with every
 run; hashes that history or the batch itself already holds are matches; the batch then becomes a run of
 its own, and when runs pile up they are compacted into one. Only windows whose anchor has matched are
-verified: a 128-bit digest of all 35 words must be found at a second place. Words under a verified
+verified: a 96-bit digest of all 35 words must be found at a second place. Words under a verified
 window go.
 
-Copies inside one task are settled there, so a passage found everywhere reaches the task of its digest
-once for each task. Equal digests are looked for inside hash partitions, never in one place.
+Equal texts are told by their SHA-256 first: one of them stands for all in the search for windows, the
+others are covered as a whole. Copies inside one task are settled there, so a passage found everywhere
+reaches the task of its digest once for each task. Equal digests are looked for inside hash partitions,
+never in one place.
 
 Defined results: null and empty texts have no words and keep the hash of nothing; texts shorter than a
 window keep all; an empty table gives an empty result; rows that repeat an id count as repeats of each
@@ -29,9 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, mix, pair, padded, partitions, passes, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, winnow, word_spans
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, trim, winnow, word_spans
 
-WINDOW, GRAM = 35, 12
+WINDOW, GRAM = 35, 10
 #: Batches that a whole table is fed to the index in, and runs that may lie side by side.
 BATCHES, FANOUT = 3, 2
 #: Rows that a task gathers before it settles copies among them.
@@ -49,19 +51,20 @@ class FingerprintIndex:
 
     def _write(self, counts: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        counts.select("h", "n").repartition(self.buckets, "h").sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(name)
+        counts.select("h", "n").sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(name)
         return name
 
+    def _read(self, name: str) -> DataFrame:
+        """A run without its buckets: a union of bucketed scans claims a partitioning that it doesn't keep, and sums go wrong."""
+        return self.spark.read.schema("h bigint, n bigint").parquet(f"{self.root}/{name}")
+
     def _drop(self, name: str) -> None:
-        path = f"{self.root}/{name}"
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, f"{self.root}/{name}")
 
     def add(self, counts: DataFrame) -> DataFrame:
-        """Index a batch's (h, n), one row for each h; returns the h that are now known to repeat."""
-        run = self._write(counts)
+        """Index a batch's (h, n); returns the h that are now known to repeat."""
+        run = self._write(counts.groupBy("h").agg(F.sum("n").alias("n")))
         new = self.spark.table(run)
         found = new.where("n > 1").select("h")
         for old in self.runs:
@@ -76,9 +79,9 @@ class FingerprintIndex:
         """Merge all runs into one."""
         if len(self.runs) < 2:
             return
-        merged = self.spark.table(self.runs[0])
+        merged = self._read(self.runs[0])
         for r in self.runs[1:]:
-            merged = merged.union(self.spark.table(r))
+            merged = merged.union(self._read(r))
         run = self._write(merged.groupBy("h").agg(F.sum("n").alias("n")))
         for r in self.runs:
             self._drop(r)
@@ -112,34 +115,38 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 ok = (doc[at + gram - 1] == own) & (first[own + 1] - first[own] >= window)
                 at, own = at[ok], own[ok]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(own + i)), pa.array((at - first[own]).astype(np.int32)), pa.array(as_i64(h[at])), b["batch"].take(pa.array(own + i))], names=["doc_id", "pos", "h", "batch"])
+            trim()
 
     ready = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(BATCHES)).cast("int").alias("batch"))
     return ready.mapInArrow(run, f"doc_id {kind}, pos int, h bigint, batch int")
 
 
 def repeated_anchors(found: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The anchors whose hash occurs at two places or more: every batch goes through the index."""
+    """doc_id, at: places of the anchors whose hash occurs twice or more. Every batch goes through the index."""
     index = FingerprintIndex(found.sparkSession)
     known = None
     for k in range(batches):
-        hits = index.add(found.where(F.col("batch") == k).groupBy("h").agg(F.count("*").alias("n")))
+        hits = index.add(found.where(F.col("batch") == k).select("h", F.lit(1).cast("bigint").alias("n")))
         known = hits if known is None else known.union(hits)
     known = cut(known.distinct(), "repeats")
     index.close()
-    return found.join(known, "h").select("doc_id", "pos")
+    marked = cut(found.join(known, "h").select("doc_id", "pos").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "marked")
+    discard(known)
+    return marked
 
 
 def _settled(held: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Windows of one task: those found twice are settled here but for one, which tells the others' tasks."""
     one, two, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+    times = np.concatenate([x[5] for x in held])
     ids = pa.concat_arrays([x[3] for x in held])
     order = np.lexsort((two, one))
     one, two, pos, at = one[order], two[order], pos[order], order
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     start = np.flatnonzero(new)
-    n = np.diff(np.append(start, len(one)))
-    yield pa.RecordBatch.from_arrays([pa.array(as_i64(one[start])), pa.array(as_i64(one[start])), pa.array(as_i64(two[start])), ids.take(pa.array(at[start])), pa.array(pos[start]), pa.array(np.ones(len(start), np.int32)), pa.array(n.astype(np.int64))], schema=schema)
+    n = np.add.reduceat(times[order], start)
+    yield pa.RecordBatch.from_arrays([pa.array(as_i64(one[start])), pa.array(two[start]), ids.take(pa.array(at[start])), pa.array(pos[start]), pa.array(np.ones(len(start), np.int32)), pa.array(n.astype(np.int64))], schema=schema)
     rest = np.sort(at[~new])
     if len(rest):  # as runs of neighbours, which are in order within their document
         where = np.concatenate([x[2] for x in held])[rest]
@@ -147,8 +154,8 @@ def _settled(held: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(rest), bool)
         new[1:] = (where[1:] != where[:-1] + 1) | (name[1:] != name[:-1])
         start = np.flatnonzero(new)
-        nothing = pa.nulls(len(start), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(as_i64(mix(name[start].astype(np.uint64)))), nothing, nothing, ids.take(pa.array(rest[start])), pa.array(where[start]), pa.array(np.diff(np.append(start, len(rest))).astype(np.int32)), pa.array(np.full(len(start), 2, np.int64))], schema=schema)
+        nothing = pa.nulls(len(start), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(as_i64(mix(name[start].astype(np.uint64)))), nothing, ids.take(pa.array(rest[start])), pa.array(where[start]), pa.array(np.diff(np.append(start, len(rest))).astype(np.int32)), pa.array(np.full(len(start), 2, np.int64))], schema=schema)
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +164,8 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     t = pa.Table.from_batches(held).combine_chunks()
-    settled = t.filter(pc.is_null(t["one"]))
-    t = t.filter(pc.is_valid(t["one"]))
+    settled = t.filter(pc.is_null(t["two"]))
+    t = t.filter(pc.is_valid(t["two"]))
     one, two, n = t["one"].to_numpy(), t["two"].to_numpy(), t["n"].to_numpy()
     order = np.lexsort((two, one))
     new = np.ones(len(one), bool)
@@ -171,19 +178,25 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(docs dealt by id, doc_id with pos and len: runs of verified windows by their first word)."""
+    """(documents, doc_id with spans of pos and len: runs of verified windows by their first word; len -1: all)."""
     kind = dict(docs.dtypes)["doc_id"]
     found = cut(anchors(docs, window, gram), "anchors")
-    marked = repeated_anchors(found).groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    marked = repeated_anchors(found)
+    discard(found)
     texts = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    slim = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    many = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = slim.join(many, "digest").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("first")).alias("stands"))
+    roles = cut(marked.join(copies, "doc_id", "left"), "roles")
+    discard(marked)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, named = [], 0, 0
         shape = None
         for b in batches:
-            shape = pa.schema([("k", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("pos", pa.int32()), ("len", pa.int32()), ("n", pa.int64())])
+            shape = pa.schema([("one", pa.int64()), ("two", pa.int32()), ("doc_id", b.schema.field("doc_id").type), ("pos", pa.int32()), ("len", pa.int32()), ("n", pa.int64())])
             buf, offsets = text_buffer(b["text"])
-            lists = b["at"]
+            lists, times = b["at"], 1 + b["stands"].fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, border = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
             for i, j in passes(offsets, PASS_BYTES):
                 part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -201,25 +214,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 at = np.flatnonzero(hit)
                 at = at[doc[at] == doc[at + window - 1]]
                 other = span_hash(wide, start, end - start, seed=1)
-                held.append((run_hash(word, window)[at], run_hash(other, window)[at], (at - first[doc[at]]).astype(np.int32), b["doc_id"].take(pa.array(doc[at] + i)), doc[at] + i + named))
+                held.append((run_hash(word, window)[at], (run_hash(other, window)[at] >> np.uint64(33)).astype(np.int32), (at - first[doc[at]]).astype(np.int32), b["doc_id"].take(pa.array(doc[at] + i)), doc[at] + i + named, times[doc[at] + i]))
                 size += len(at)
                 if size >= HELD:
                     yield from _settled(held, shape)
                     held, size = [], 0
             named += len(b)
+            trim()
         if size:
             yield from _settled(held, shape)
 
-    dealt = texts.join(marked, "doc_id").select("doc_id", "text", "at")
-    rows = dealt.mapInArrow(digests, f"k bigint, one bigint, two bigint, doc_id {kind}, pos int, len int, n bigint")
-    return texts, rows.repartition("k").mapInArrow(_find, f"doc_id {kind}, pos int, len int")
+    dealt = texts.join(roles.where("stands is null or stands"), "doc_id").select("doc_id", "text", "at", "stands")
+    rows = dealt.mapInArrow(digests, f"one bigint, two int, doc_id {kind}, pos int, len int, n bigint")
+    windows = rows.repartition("one").mapInArrow(_find, f"doc_id {kind}, pos int, len int")
+    whole = roles.where("stands is not null").select("doc_id", F.lit(0).alias("pos"), F.lit(-1).alias("len"))
+    # a table of its own, so that the shuffles of this step are gone before texts are shuffled again
+    spans = cut(windows.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("spans")), "spans")
+    discard(roles)
+    return texts, spans
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space)."""
     kind = dict(docs.dtypes)["doc_id"]
-    texts, found = repeated_windows(docs, window)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
+    texts, spans = repeated_windows(docs, window)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,7 +247,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if (spans := spans.as_py()) is not None:
                     keep = np.ones(len(own) + 1, np.int32)
                     edge = np.zeros(len(own) + 1, np.int32)
-                    at = np.array([(s["pos"], s["pos"] + s["len"] - 1 + window) for s in spans])
+                    at = np.array([(s["pos"], s["pos"] + s["len"] - 1 + window if s["len"] > 0 else len(own)) for s in spans])
                     np.add.at(edge, at[:, 0], 1)
                     np.add.at(edge, at[:, 1], -1)
                     keep = np.cumsum(edge)[:-1] == 0
