@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.config import Config, load
-from webquarry.functions import langdetect
+from webquarry.functions import langdetect, suffixes
+from webquarry.functions.scalars import host
 from webquarry.operators import documents, maintain
 from webquarry.sources import wacz
 from webquarry.sources.locations import Source
@@ -89,7 +90,8 @@ def pages_of(spark: SparkSession, crawl: str, path: str, opener=wacz.open_local)
 
 def as_documents(pages: DataFrame, name: str, collection: str, cfg: Config) -> DataFrame:
     keyed = pages.withColumn("doc_id", F.xxhash64("crawl_id", "url").bitwiseAND(F.lit((1 << 62) - 1))).withColumn("crawl_name", F.lit(name)).withColumn("collection", F.lit(collection))
-    return documents.derive(keyed, lang=langdetect.detected("body"), snip_bytes=cfg.snip_bytes)
+    site = suffixes.site(pages.sparkSession, host("url"))
+    return documents.derive(keyed, site=site, lang=langdetect.detected("body"), snip_bytes=cfg.snip_bytes)
 
 
 def ingest(spark: SparkSession, home: str, locations: list[str], collection: str, force: bool = False, opener=None, progress: Progress = lambda kind, facts: None) -> dict:

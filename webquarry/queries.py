@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.functions import scalars as X
+from webquarry.functions import langdetect, suffixes
 from webquarry.operators import catalog, documents
 from webquarry.plans import search as S
 from webquarry.plans.textindex import TextIndex, all_postings, field_tokens
+from webquarry.sources.html import extracted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -138,6 +140,21 @@ def url_parts(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", X.host("url").alias("domain"), X.last_labels(X.host("url")).alias("site"), X.url_tokens("url").alias("url_tokens"))
 
 
+@query(f"SELECT page_id, {SITE} AS site FROM pages")
+def registrable_domains(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", suffixes.site(spark, X.host("url")).alias("site"))
+
+
+@query()
+def html_parsed(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", extracted("html").alias("p")).select("page_id", "p.title", "p.headings", "p.lang", "p.body")
+
+
+@query()
+def languages_guessed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", langdetect.detected("text").alias("lang"))
+
+
 VARIED = "CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://www.') WHEN 1 THEN replace(url, '://', '://www2.') WHEN 2 THEN 'urn:text:' || url ELSE regexp_replace(url, '^(https?://[^/]+)', '\\1:8080') || '?b=2&a=1' END"
 
 
