@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import time
 import uuid
@@ -49,6 +50,7 @@ def release(spark: SparkSession) -> None:
     """Let the shuffle files of finished jobs go: the driver removes them once their plans are collected, which a
     large heap has no reason to do soon; and until the listeners have heard of a job's end they hold its plan.
     """
+    gc.collect()  # frames in cycles hold plans too
     with contextlib.suppress(Py4JError):
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, trim, winnow, word_spans
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, release, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, trim, winnow, word_spans
 
 WINDOW, GRAM = 35, 10
 #: Batches that a whole table is fed to the index in, and runs that may lie side by side.
@@ -238,6 +238,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space)."""
     kind = dict(docs.dtypes)["doc_id"]
     texts, spans = repeated_windows(docs, window)
+    release(docs.sparkSession)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
