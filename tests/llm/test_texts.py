@@ -310,19 +310,96 @@ def test_language_without_labels(spark):
     assert langid.identify(d).first()["lang_pred"] == "und"
 
 
-def test_near_dedup(docs):
-    sets = {}
-    for i, t in TEXT.items():
+def brute_classes(texts, similarity=0.8):
+    """Links by weighted Jaccard over five-word shingles, and the least id of each text's component."""
+    sets, where = {}, collections.defaultdict(list)
+    for i, t in texts.items():
         w = WORD.findall(t.encode())
         sets[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
-    label = {i: i for i in TEXT}
-    for a in TEXT:
-        for b in TEXT:
-            if a < b and sets[a] and sets[b]:
-                both = sum((sets[a] & sets[b]).values())
-                if both / (sum(sets[a].values()) + sum(sets[b].values()) - both) >= 0.8:
-                    one, two = label[a], label[b]
-                    label = {k: min(one, two) if v in (one, two) else v for k, v in label.items()}
+        for k in sets[i]:
+            where[k].append(i)
+    total = {i: sum(s.values()) for i, s in sets.items()}
+    links, label = set(), {i: i for i in texts}
+    for a in sorted(texts):
+        both = collections.Counter()
+        for k, n in sets[a].items():
+            for b in where[k]:
+                if b > a:
+                    both[b] += min(n, sets[b][k])
+        links |= {(a, b) for b, n in both.items() if n >= (similarity - 1e-12) * (total[a] + total[b] - n)}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links:
+        one, two = find(a), find(b)
+        label[max(one, two)] = min(one, two)
+    return links, {i: find(i) for i in texts}
+
+
+def test_near_dedup_recall_of_links(spark, sf):
+    """Every pair of different texts that brute force links must be in one class, on the 1,000 documents of the next size."""
+    at = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    links, want = brute_classes(texts)
+    got = {i: r["class_id"] for i, r in by_id(near_dedup.near_dedup(docs)).items()}
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links) > 0
+    assert all(want[i] == want[c] for i, c in got.items() if texts[i].split())
+
+
+def test_near_dedup_of_a_chained_group(spark):
+    """One group whose members are near their neighbours only: the leader settles few, the prefix join the rest."""
+    rng = random.Random(11)
+    base = words(rng, "en", 160).split()
+    rows = []
+    for i in range(60):  # member i has its own changes at i // 3 .. i // 3 + 4, shared with members of like i
+        own = list(base)
+        for k in range(i // 3, i // 3 + 5):
+            own[k * 7 % 160] = f"edit{k}"
+        own[i % 160] = f"own{i}" if i % 5 == 0 else own[i % 160]
+        rows.append((i, " ".join(own)))
+    links, want = brute_classes(dict(rows))
+    got = {i: r["class_id"] for i, r in by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))).items()}
+    assert len(set(want.values())) < 40 and len(links) > 60
+    assert got == want
+
+
+def test_rest_finds_every_link_that_leaders_leave(spark):
+    """The prefix join against all pairs, with one leader for all members and counts above one."""
+    rng = random.Random(5)
+    base = words(rng, "en", 90).split() + ["echo"] * 40
+    rows = {}
+    for i in range(80):
+        own = list(base)
+        for _ in range(rng.randint(2, 9)):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(12)}"
+        rows[i] = " ".join(own[: rng.randint(110, 130)])
+    digest = {i: hashlib.sha256(t.encode()).digest() for i, t in rows.items()}
+    assert len(set(digest.values())) == 80
+    texts = spark.createDataFrame([(bytearray(digest[i]), t) for i, t in rows.items()], "digest binary, text string")
+    pairs = spark.createDataFrame([(bytearray(digest[i]), bytearray(digest[0])) for i in range(1, 80)], "a binary, b binary")
+    tried = near_dedup.compared(pairs, texts)
+    none = spark.createDataFrame([], "node binary, label binary")
+    back = {d: i for i, d in digest.items()}
+    near = {tuple(sorted((back[bytes(r["a"])], back[bytes(r["b"])]))) for r in near_dedup._rest(tried, none, texts, 0.8).collect()}
+    want = {p for p in brute_classes(rows)[0] if 0 not in p}
+    assert want and want <= near
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, long), (3, long), (3, long), (4, long + " end"), (4, "something else entirely"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("stay_id", F.lit(1)).withColumn("digest", F.lit(2))
+    got = sorted(((r["doc_id"] or 0, r["class_id"], r["class_size"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()), key=repr)
+    assert got == sorted([(0, None, 4, True), (3, None, 4, False), (3, None, 4, False), (4, None, 4, False), (4, 4, 1, True), (5, 5, 2, True), (6, 5, 2, False)], key=repr)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.thin(docs).collect() if r["text"]) == [(0, long), (4, "something else entirely")]
+
+
+def test_near_dedup(docs):
+    label = brute_classes(TEXT)[1]
     label |= {i: 90 for i in (90, 91)}  # equal texts without words
     got = by_id(near_dedup.near_dedup(docs))
     assert {i: r["class_id"] for i, r in got.items()} == label

@@ -8,16 +8,12 @@ code runs for each word.
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +22,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 PASS_BYTES = 2 << 20
 
 
+#: Set while a table is written: the files of that write's shuffles go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that cut() made and nothing has deleted yet.
+LIVE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without, and gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="webquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,22 +43,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/webquarry-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    LIVE.append(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    release(spark)
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go: the driver removes them once their plans are collected, which a
-    large heap has no reason to do soon; and until the listeners have heard of a job's end they hold its plan.
-    """
-    gc.collect()  # frames in cycles hold plans too
-    with contextlib.suppress(Py4JError):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """All tables that cut() makes inside go at the end, after a failure too; write a lazy result before that."""
+    before = set(LIVE)
+    try:
+        yield
+    finally:
+        for path in [p for p in LIVE if p not in before]:
+            delete(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -66,15 +81,8 @@ def discard(*tables: DataFrame) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def trim() -> None:
-    """Give freed memory back to the system: workers outlive their task, and their free lists count."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:
-        pass
+    if path in LIVE:
+        LIVE.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

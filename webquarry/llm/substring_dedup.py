@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, release, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, trim, winnow, word_spans
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, winnow, word_spans
 
 WINDOW, GRAM = 35, 10
 #: Batches that a whole table is fed to the index in, and runs that may lie side by side.
@@ -115,7 +115,6 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 ok = (doc[at + gram - 1] == own) & (first[own + 1] - first[own] >= window)
                 at, own = at[ok], own[ok]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(own + i)), pa.array((at - first[own]).astype(np.int32)), pa.array(as_i64(h[at])), b["batch"].take(pa.array(own + i))], names=["doc_id", "pos", "h", "batch"])
-            trim()
 
     ready = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(BATCHES)).cast("int").alias("batch"))
     return ready.mapInArrow(run, f"doc_id {kind}, pos int, h bigint, batch int")
@@ -220,7 +219,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                     yield from _settled(held, shape)
                     held, size = [], 0
             named += len(b)
-            trim()
         if size:
             yield from _settled(held, shape)
 
@@ -238,7 +236,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space)."""
     kind = dict(docs.dtypes)["doc_id"]
     texts, spans = repeated_windows(docs, window)
-    release(docs.sparkSession)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

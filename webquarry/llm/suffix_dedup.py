@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, loads, mix, padded, pair, passes, span_hash, text_buffer, text_or_empty, trim, winnow
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, loads, mix, padded, pair, passes, span_hash, text_buffer, text_or_empty, winnow
 
 LENGTH, GRAM = 200, 16
 #: Words of 8 bytes that the multikey quicksort looks at before blind tries take over.
@@ -265,7 +265,6 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield from settle(held)
                     held, size = [], 0
             named += len(b)
-            trim()
         if held:
             yield from settle(held)
 
