@@ -221,13 +221,49 @@ def test_lpt_is_balanced():
 
 def test_mixing(docs):
     got, want = by_id(mixing.mixed(docs)), sql(OP2_SQL)
-    assert {i: (r["size"], r["source_size"], round(r["target"], 3), r["taken"]) for i, r in got.items()} == {i: (r["size"], r["source_size"], r["target"], r["taken"]) for i, r in want.items()}
+    assert {i: (r["size"], r["source_size"], r["target"], r["taken"], r["position"]) for i, r in got.items()} == {i: (r["size"], r["source_size"], r["target"], r["taken"], None if r["position"] != r["position"] else r["position"]) for i, r in want.items()}
     assert got == by_id(mixing.mixed(docs.repartition(3)))
-    copies = mixing.curriculum(docs).collect()
+    order = [r["position"] for r in mixing.mixed(docs).collect() if r["position"] is not None]
+    assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
+    copies = mixing.curriculum(docs, position="due").collect()
     size = collections.Counter()
     for r in copies:
         size[r["doc_id"]] += len(WORD.findall((r["text"] or "").encode()))
     assert size == {i: r["taken"] for i, r in got.items() if r["taken"]}
+    due = [r["due"] for r in copies]
+    assert due == sorted(due) and 0 <= due[0] and due[-1] <= 1
+    firsts = {}
+    for r in copies:
+        firsts.setdefault(r["doc_id"], r["due"])
+    assert firsts == {i: r["position"] for i, r in got.items() if r["taken"]}
+
+
+def test_copies_lie_where_the_curve_has_their_counts(spark):
+    """By bisection of each source's demand, not by its inverse."""
+    rows = [(i, "w " * (i % 7 + 1), "en", f"s{i % 3}", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = by_id(mixing.mixed(docs))
+    shapes = {"s0": (1.5, 0.5), "s1": (1.0, 1.0), "s2": (0.5, 1.5)}
+    for source, (start, end) in shapes.items():
+        at, quota = 0, None
+        own = sorted((r for r in got.values() if r["source"] == source), key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
+        quota = int(own[0]["target"] + 0.5)
+        for walk in range(2):
+            for r in own:
+                if at < quota:
+                    copy, low, high = r["copies"][walk], 0.0, 1.0
+                    for _ in range(60):
+                        t = (low + high) / 2
+                        low, high = (t, high) if quota * (start * t + (end - start) * t * t / 2) < at else (low, t)
+                    assert copy["position"] == pytest.approx(low, abs=1e-9) and copy["words"] == min(r["size"], quota - at)
+                at += r["size"]
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "en", "x", 0), (1, "d e", "en", "x", 0), (1, "d e", "en", "x", 0), (2, None, "en", None, 0), (3, "f " * 500, "en", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert mixing.mixed(docs).count() == 5
+    assert {r["doc_id"] for r in mixing.curriculum(docs).collect()} == {None, 1, 3}
 
 
 def test_targets_reshare_the_excess():

@@ -25,7 +25,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixing.mixed(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +79,18 @@ c AS (
   SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY full_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_me,
          sum(w) OVER (ORDER BY full_at DESC, source DESC ROWS UNBOUNDED PRECEDING) AS w_left FROM o),
 l AS (SELECT max((budget - before_me) / w_left) AS rate FROM c),
-t AS (SELECT source, source_size, CASE WHEN full_at < rate THEN 2.0::DOUBLE * source_size ELSE rate * w END AS target FROM o, l),
+t AS (SELECT source, source_size, w, CASE WHEN full_at < rate THEN 2.0::DOUBLE * source_size ELSE rate * w END AS target FROM o, l),
 x AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+  SELECT d.*, t.source_size, t.w, t.target, floor(t.target + 0.5)::BIGINT AS quota,
          sum(size) OVER (PARTITION BY d.source ORDER BY r ROWS UNBOUNDED PRECEDING) - size AS b
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-       (least(size, greatest(0, quota - b)) + least(size, greatest(0, quota - b - source_size)))::BIGINT AS taken FROM x
+SELECT doc_id, size, source_size, target,
+       (least(size, greatest(0, quota - b)) + least(size, greatest(0, quota - b - source_size)))::BIGINT AS taken,
+       CASE WHEN size > 0 AND b < quota THEN
+         CASE w WHEN 5 THEN (sqrt(greatest(0.0::DOUBLE, 1.5::DOUBLE * 1.5::DOUBLE + 2 * -1.0::DOUBLE * (b::DOUBLE / quota))) - 1.5::DOUBLE) / -1.0::DOUBLE
+                WHEN 1 THEN (sqrt(greatest(0.0::DOUBLE, 0.5::DOUBLE * 0.5::DOUBLE + 2 * 1.0::DOUBLE * (b::DOUBLE / quota))) - 0.5::DOUBLE) / 1.0::DOUBLE
+                ELSE b::DOUBLE / quota END END AS position
+FROM x
 """
 
 OP9_SQL = """
