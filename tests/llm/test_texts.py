@@ -281,7 +281,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer())
-    tok.encode_special_tokens = True
     rows = packing.packed(docs, tokenizer(), capacity=256).collect()
     held, used = collections.defaultdict(list), collections.defaultdict(int)
     for r in rows:
@@ -323,7 +322,6 @@ def test_words_remembered_match_the_tokenizer():
     from tokenizers import Tokenizer
 
     ids, tok = packing.ids_of(tokenizer()), Tokenizer.from_file(tokenizer())
-    tok.encode_special_tokens = True
     rng = random.Random(2)
     parts = ["a", "The", "don't", "we'll", "x1", "12", "é", "ñandú", "…", "--", "'s", " ", "\n", "  ", "\t", "\r\n", " \n", " ", "日本", ".", "<|endoftext|>", " "]
     for _ in range(400):

@@ -11,7 +11,8 @@ and every piece then finds its place in the plan by binary search. No step is a
 the data, and nothing that is broadcast grows with the input.
 
 Defined results: a null or empty text is the end token alone; an empty table gives an empty result;
-rows that repeat an id are packed each by itself; a text of any length is cut into full pieces, the
+rows that repeat an id are packed each by itself; ties of length go by rank (id and piece in a hashed part);
+a text of any length is cut into full pieces, the
 first of which may be shorter; further columns are ignored.
 """
 
@@ -50,7 +51,7 @@ class Ids:
 
     The split pattern never joins what stands on two sides of a single space, except that the space goes
     to the word after it; so a text whose white space is single spaces and line ends can be cut there and
-    its words looked up. Any other text is encoded whole.
+    its words looked up. Any other text is encoded whole, and one that names a special token by the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -58,10 +59,11 @@ class Ids:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special, letters = {t["content"] for t in spec.get("added_tokens", ())}, byte_letters()
+        self.special = tuple(special)
+        self.slow = lambda t: slow.encode(t, add_special_tokens=False).ids
         try:
             ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
             fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -69,10 +71,12 @@ class Ids:
         except (KeyError, ValueError):
             same = False
         self.quick = same
-        self.encode = fast.encode_ordinary if same else lambda t: slow.encode(t, add_special_tokens=False).ids
+        self.encode = fast.encode_ordinary if same else self.slow
         self.words = _Words(self.encode)
 
     def packed(self, text: str) -> bytes:
+        if any(x in text for x in self.special):  # such a name in a text becomes its own id
+            return np.array(self.slow(text), dtype="<u4").tobytes()
         if not self.quick or not _plain(text):
             return np.array(self.encode(text), dtype="<u4").tobytes()
         first, *rest = text.replace("\n", " \x01").split(" ")
