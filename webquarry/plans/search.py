@@ -1,13 +1,15 @@
 """Ranked search: BM25 per field, URL collapse inside a candidate window, facets, timeline, pages of hits.
 
 A query reads its own terms' postings once. One aggregation by document gives every leaf's presence and
-score; the query's tree becomes a boolean Column over presences and the document's own columns. Corpus
-statistics of the leaves are at most leaves x fields rows and are broadcast.
+score; the query's tree becomes a boolean Column over presences and the document's own columns. Filters
+that every match must meet go to the scan of the documents as bare predicates. Corpus statistics of the
+leaves are at most leaves x fields numbers, read from the term table, and become literals of the plan.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -27,54 +29,86 @@ CANDIDATES, FACET_SIZE, TIMELINE_SIZE = 1000, 50, 120
 FACETS = {"collection": "Collection", "year": "Year", "site": "Site", "type": "Type", "lang": "Language"}
 
 
-def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+def bm25(weight: Column, tf: Column, length: Column, average: Column) -> Column:
+    """weight: boost times idf."""
+    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
 def _moved(k: int) -> Column:
     return F.transform("positions", lambda p: p - k)
 
 
-def _leaf_rows(index: TextIndex, found: list[Leaf]) -> DataFrame:
-    """leaf, field, doc_id, tf, len for every leaf: terms as they are, phrases where their positions line up."""
+def _fields(leaf: Leaf) -> list[str]:
+    return [f for f in leaf.fields if f in POSITIONAL] if len(leaf.terms) > 1 else list(leaf.fields)
+
+
+def _present(index: TextIndex, found: list[Leaf]) -> DataFrame:
+    """doc_id, field, len and, for each leaf, tf0, tf1, ...: null where the leaf isn't. One scan of the terms' postings."""
     rows = index.postings([t for leaf in found for t in leaf.terms])
-    out = []
+    inside = [F.col("field").isin(*_fields(leaf)) if _fields(leaf) else F.lit(False) for leaf in found]
+    if all(len(leaf.terms) == 1 for leaf in found):
+        return rows.select("doc_id", "field", "len", *[F.when((F.col("term") == leaf.terms[0]) & own, F.col("tf")).alias(f"tf{i}") for i, (leaf, own) in enumerate(zip(found, inside, strict=True))])
+    # a phrase: starts at which each of its terms stands in its place
+    spots, tfs = [], []
     for i, leaf in enumerate(found):
-        own = rows.where(F.col("field").isin(*leaf.fields))
         if len(leaf.terms) == 1:
-            out.append(own.where(F.col("term") == leaf.terms[0]).select(F.lit(i).alias("leaf"), "field", "doc_id", "tf", "len"))
-            continue
-        fields = [f for f in leaf.fields if f in POSITIONAL]
-        own = own.where(F.col("field").isin(*fields) & F.col("term").isin(*set(leaf.terms))) if fields else own.where("false")
-        # starts at which each of the phrase's terms stands in its place
-        starts = [F.flatten(F.collect_list(F.when(F.col("term") == t, _moved(k)))) for k, t in enumerate(leaf.terms)]
-        joined = own.groupBy("field", "doc_id").agg(F.first("len").alias("len"), *[s.alias(f"s{k}") for k, s in enumerate(starts)])
-        tf = F.size(reduce(F.array_intersect, [F.col(f"s{k}") for k in range(len(starts))]))
-        out.append(joined.withColumn("tf", tf).where("tf > 0").select(F.lit(i).alias("leaf"), "field", "doc_id", "tf", "len"))
-    return reduce(DataFrame.unionByName, out)
+            spots.append(F.max(F.when(F.col("term") == leaf.terms[0], F.col("tf"))).alias(f"s{i}_0"))
+            tfs.append(F.col(f"s{i}_0"))
+        else:
+            spots += [F.flatten(F.collect_list(F.when(F.col("term") == t, _moved(k)))).alias(f"s{i}_{k}") for k, t in enumerate(leaf.terms)]
+            tfs.append(F.nullif(F.size(reduce(F.array_intersect, [F.col(f"s{i}_{k}") for k in range(len(leaf.terms))])), F.lit(0)))
+    joined = rows.groupBy("doc_id", "field").agg(F.first("len").alias("len"), *spots)
+    return joined.select("doc_id", "field", "len", *[F.when(own, tf).alias(f"tf{i}") for i, (own, tf) in enumerate(zip(inside, tfs, strict=True))])
+
+
+def _frequencies(index: TextIndex, found: list[Leaf], rows: DataFrame) -> dict[tuple[int, str], int]:
+    """(leaf, field) -> documents: words from the term table, phrases counted. At most leaves x fields numbers."""
+    words = [leaf.terms[0] for leaf in found if len(leaf.terms) == 1]
+    known = index.frequencies(words) if words else {}
+    out = {(i, f): known.get((leaf.terms[0], f), 0) for i, leaf in enumerate(found) if len(leaf.terms) == 1 for f in leaf.fields}
+    if phrases := [i for i, leaf in enumerate(found) if len(leaf.terms) > 1]:
+        for r in rows.groupBy("field").agg(*[F.count(f"tf{i}").alias(f"n{i}") for i in phrases]).collect():
+            out |= {(i, r["field"]): r[f"n{i}"] for i in phrases}
+    return out
+
+
+def _compare(node: Filter) -> Column:
+    """A filter as a bare predicate, which reaches the scan; null where the column is."""
+    col = F.col(node.field)
+    value = (lambda v: F.lit(int(v))) if node.field in NUMERIC else F.lit
+    if node.value is not None:
+        return col == value(node.value)
+    tests = [col.isNotNull()]
+    if node.low is not None:
+        tests.append(col >= value(node.low) if node.low_in else col > value(node.low))
+    if node.high is not None:
+        tests.append(col <= value(node.high) if node.high_in else col < value(node.high))
+    return reduce(Column.__and__, tests)
 
 
 def _condition(node, present: dict[Leaf, Column]) -> Column:
     if isinstance(node, Leaf):
         return present[node]
     if isinstance(node, Filter):
-        col = F.col(node.field)
-        value = (lambda v: F.lit(int(v))) if node.field in NUMERIC else F.lit
-        if node.value is not None:
-            return F.coalesce(col == value(node.value), F.lit(False))
-        tests = [F.lit(True)]
-        if node.low is not None:
-            tests.append(col >= value(node.low) if node.low_in else col > value(node.low))
-        if node.high is not None:
-            tests.append(col <= value(node.high) if node.high_in else col < value(node.high))
-        return F.coalesce(reduce(Column.__and__, tests) & col.isNotNull(), F.lit(False))
+        return F.coalesce(_compare(node), F.lit(False))
     parts = [_condition(p, present) for p in node.parts]
     if node.op == "not":
         return ~parts[0]
     return reduce(Column.__and__ if node.op == "and" else Column.__or__, parts)
 
 
+def _split(node) -> tuple[list[Filter], list]:
+    """(filters that every match must meet, the other parts of the top-level conjunction)."""
+    parts = [node]
+    while any(isinstance(p, Node) and p.op == "and" for p in parts):
+        parts = [x for p in parts for x in (p.parts if isinstance(p, Node) and p.op == "and" else [p])]
+    return [p for p in parts if isinstance(p, Filter)], [p for p in parts if not isinstance(p, Filter)]
+
+
 def _only_negative(node) -> bool:
     """Whether nothing but exclusions decides: such a query has no rows."""
     if isinstance(node, Node):
@@ -91,24 +125,54 @@ def _needs_text(node) -> bool:
     return False
 
 
+def _has_filter(node) -> bool:
+    return isinstance(node, Filter) or (isinstance(node, Node) and any(map(_has_filter, node.parts)))
+
+
+def _scores(index: TextIndex, tree, boosts: dict[str, float]) -> tuple[DataFrame, dict[Leaf, Column]]:
+    """doc_id, score and a flag for each leaf, of the documents that hold some leaf."""
+    found = list(dict.fromkeys(leaf for leaf, _ in leaves(tree)))
+    counted = {leaf for leaf, positive in leaves(tree) if positive}
+    rows = _present(index, found)
+    df, averages = _frequencies(index, found, rows), index.averages
+    by_field = lambda values: X.either(*[(F.col("field") == f, F.lit(v)) for f, v in values.items()], otherwise=F.lit(0.0))
+    average = by_field({f: max(a, 1e-9) for f, (_, a) in averages.items()})
+    parts = []
+    for i, leaf in enumerate(found):
+        weight = by_field({f: leaf.boost * boosts.get(f, 1.0) * (leaf in counted) * idf(averages.get(f, (0, 0.0))[0], df.get((i, f), 0)) for f in _fields(leaf)})
+        parts.append(F.coalesce(bm25(weight, F.col(f"tf{i}"), F.col("len"), average), F.lit(0.0)))
+    per_doc = rows.groupBy("doc_id").agg(F.sum(reduce(Column.__add__, parts)).alias("score"), *[F.max(F.col(f"tf{i}").isNotNull()).alias(f"leaf{i}") for i in range(len(found))])
+    return per_doc, {leaf: F.coalesce(F.col(f"leaf{i}"), F.lit(False)) for i, leaf in enumerate(found)}
+
+
+def matched_ids(index: TextIndex, q: str, boosts: dict[str, float] | None = None) -> DataFrame:
+    """doc_id and score of all matches. A query of words alone is answered by the postings, without the documents."""
+    tree = parse(q)
+    if tree is None or _only_negative(tree) or _has_filter(tree) or not _needs_text(tree):
+        return matches(index, q, boosts).select("doc_id", "score")
+    per_doc, present = _scores(index, tree, BOOSTS if boosts is None else boosts)
+    return per_doc.where(_condition(tree, present)).select("doc_id", "score")
+
+
 def matches(index: TextIndex, q: str, boosts: dict[str, float] | None = None) -> DataFrame:
     """All documents that match, with their score (0 for filters alone)."""
     boosts, tree = BOOSTS if boosts is None else boosts, parse(q)
     if tree is None or _only_negative(tree):
         return index.docs.where("false").withColumn("score", F.lit(0.0))
-    found = list(dict.fromkeys(leaf for leaf, _ in leaves(tree)))
-    if not found:
-        return index.docs.where(_condition(tree, {})).withColumn("score", F.lit(0.0))
-    counted = {leaf for leaf, positive in leaves(tree) if positive}
-    rows = _leaf_rows(index, found)
-    frequency = rows.groupBy("leaf", "field").agg(F.count("*").alias("df"))
-    weight = X.either(*[((F.col("leaf") == i) & (F.col("field") == f), F.lit(float(leaf.boost * boosts.get(f, 1.0) * (leaf in counted)))) for i, leaf in enumerate(found) for f in leaf.fields], otherwise=F.lit(0.0))
-    facts = frequency.join(F.broadcast(index.stats), "field").withColumn("weight", weight)
-    scored = rows.join(F.broadcast(facts), ["leaf", "field"]).withColumn("s", F.col("weight") * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("len"), F.col("avg_len")))
-    per_doc = scored.groupBy("doc_id").agg(F.sum("s").alias("score"), *[F.max(F.col("leaf") == i).alias(f"leaf{i}") for i in range(len(found))])
-    joined = index.docs.join(per_doc, "doc_id", "inner" if _needs_text(tree) else "left")
-    present = {leaf: F.coalesce(F.col(f"leaf{i}"), F.lit(False)) for i, leaf in enumerate(found)}
-    return joined.where(_condition(tree, present)).withColumn("score", F.coalesce("score", F.lit(0.0))).drop(*[f"leaf{i}" for i in range(len(found))])
+    filters, rest = _split(tree)
+    docs = reduce(DataFrame.where, map(_compare, filters), index.docs)
+    if not any(True for _ in leaves(tree)):
+        return reduce(DataFrame.where, [_condition(p, {}) for p in rest], docs).withColumn("score", F.lit(0.0))
+    per_doc, present = _scores(index, tree, boosts)
+    flags = [c for c in per_doc.columns if c not in ("doc_id", "score")]
+    rest_met = reduce(Column.__and__, [_condition(p, present) for p in rest])
+    if any(map(_needs_text, rest)):
+        # what needs no document's column is decided before the join
+        plain = [_condition(p, present) for p in rest if not _has_filter(p)]
+        joined = docs.join(reduce(DataFrame.where, plain, per_doc), "doc_id")
+    else:
+        joined = docs.join(per_doc, "doc_id", "left")
+    return joined.where(rest_met).withColumn("score", F.coalesce("score", F.lit(0.0))).drop(*flags)
 
 
 def candidates(matched: DataFrame, cap: int = CANDIDATES) -> DataFrame:
@@ -209,6 +273,7 @@ class Response:
     matched: DataFrame
     facets: DataFrame
     timeline: DataFrame
+    index: TextIndex | None = None
 
     def totals(self) -> dict:
         """total_hits (collapsed, within the window), total_captures (all matches), capped."""
@@ -219,12 +284,24 @@ class Response:
         """One JSON text for each hit."""
         return self.hits.select(F.to_json(F.struct("doc_type", "crawl_id", "crawl_name", "collection", "url", "domain", "timestamp", "title", "description", "snippet", "body_excerpt", "capture_count", "status")).alias("hit"))
 
+    def document(self) -> dict:
+        """The whole answer for a caller outside Spark: totals, one page of hits, facets in display order; no timeline."""
+        import json
+
+        shown: dict[str, list] = {f: [] for f in FACETS}
+        for r in self.facets.collect():
+            shown[r["field"]].append((r["value"], r["n"]))
+        order = {f: (lambda x: -int(x[0])) if f == "year" else (lambda x: (-x[1], x[0])) for f in FACETS}
+        return self.totals() | {"num_docs": self.index.docs.count() if self.index else None, "hits": [json.loads(r["hit"]) for r in self.to_json().collect()], "facets": [{"field": f, "title": FACETS[f], "values": [{"value": v, "count": n} for v, n in sorted(found, key=order[f])]} for f, found in shown.items() if found]}
+
 
 def search(index: TextIndex, q: str, offset: int = 0, limit: int = 20) -> Response:
+    """The window of best matches is found first and joined with its documents; only facets and timeline join all."""
     matched = matches(index, q)
-    groups = collapse(candidates(matched))
+    best = candidates(matched_ids(index, q))
+    groups = collapse(index.docs.join(best, "doc_id"))
     page = groups.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
-    return Response(with_snippets(page, q), groups, matched, facets(matched), timeline(matched))
+    return Response(with_snippets(page, q), groups, matched, facets(matched), timeline(matched), index)
 
 
 def collection_pages(index: TextIndex, collection: str, url: str | None = None, q: str | None = None, offset: int = 0, limit: int = 25) -> DataFrame:
@@ -233,7 +310,7 @@ def collection_pages(index: TextIndex, collection: str, url: str | None = None,
     if url is not None:
         own &= F.col("url") == url
     q = (q or "").strip()
-    pages = matches(TextIndex(index.docs.where(own), index.stats, index.stored, index.source), q, boosts={}) if q else index.docs.where(own).withColumn("score", F.lit(0.0))
+    pages = matches(TextIndex(index.docs.where(own), index.totals, index.stored, index.terms, index.source), q, boosts={}) if q else index.docs.where(own).withColumn("score", F.lit(0.0))
     limit = min(200, max(1, limit))
     page = pages.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
     good = F.when(F.col("status").between(200, 299), 0).otherwise(1)

@@ -1,13 +1,16 @@
-"""Postings and corpus statistics.
+"""Postings, terms and corpus statistics.
 
-Postings are (field, term, doc_id, tf, len, positions); statistics are (field, n_docs, avg_len). A stored
-index is partitioned by a hash of the term, so a query's terms prune it to a few folders, and documents
-are stored without their full bodies, so the hot table stays narrow.
+Postings are (field, term, doc_id, tf, len, positions), terms (term, field, df), statistics (field, n_docs,
+total_len). A stored index is a set of segments. Postings and terms are partitioned by a hash of the term
+and sorted by term, so a query's terms prune them to a few folders and row groups; documents are one
+columnar table, of which a query reads the columns it needs.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,11 @@ BUCKETS = 64
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
 
 
 def field_tokens(docs: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
@@ -55,37 +62,108 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(sizes.alias("f")).groupBy("f.field").agg(F.count("*").alias("n_docs"), F.avg("f.n").alias("avg_len"))
 
 
+def lengths(docs: DataFrame) -> DataFrame:
+    """docs with lens, the tokens of each text field in the order of TEXT_FIELDS."""
+    return docs.withColumn("lens", F.array(*[F.size(tokens(f)) for f in TEXT_FIELDS]))
+
+
+def _totals(with_lens: DataFrame) -> DataFrame:
+    sums = with_lens.agg(F.count("*").alias("n_docs"), *[F.coalesce(F.sum(F.col("lens")[i]), F.lit(0)).cast("bigint").alias(f) for i, f in enumerate(TEXT_FIELDS)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n_docs"), F.col(f).alias("total_len")) for f in TEXT_FIELDS])).alias("s")).select("s.*")
+
+
 @dataclass
 class TextIndex:
     """What a search reads. With `source` set, postings are made on the fly for the query's terms alone."""
 
     docs: DataFrame
-    stats: DataFrame
+    totals: DataFrame
     stored: DataFrame | None = None
+    terms: DataFrame | None = None
     source: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame) -> TextIndex:
-        return cls(docs=docs, stats=statistics(docs), source=docs)
+        return cls(docs=docs, totals=_totals(lengths(docs)), source=docs)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> TextIndex:
-        return cls(docs=spark.read.parquet(f"{root}/docs"), stats=spark.read.parquet(f"{root}/stats"), stored=spark.read.parquet(f"{root}/postings"))
+    def open(cls, spark: SparkSession, root: str, segments: list[str] | None = None) -> TextIndex:
+        """All segments under root, or the named ones."""
+        docs, totals, stored, terms = (read_part(spark, root, part, segments) for part in ("docs", "totals", "postings", "terms"))
+        return cls(docs=docs.drop("lens", "segment"), totals=totals, stored=stored, terms=terms)
+
+    @staticmethod
+    def write(docs: DataFrame, root: str, segment: str = "0") -> None:
+        """One segment. docs is evaluated once; all else is made from what was written."""
+        spark = docs.sparkSession
+        lengths(docs).write.mode("overwrite").parquet(f"{root}/docs/segment={segment}")
+        written = spark.read.parquet(f"{root}/docs/segment={segment}")
+        _write_terms(written, all_postings(written), root, segment)
 
     @staticmethod
-    def write(docs: DataFrame, root: str) -> None:
-        docs.drop("body").write.mode("overwrite").parquet(f"{root}/docs")
-        docs.select("doc_id", "body").write.mode("overwrite").parquet(f"{root}/bodies")
-        statistics(docs).write.mode("overwrite").parquet(f"{root}/stats")
-        rows = all_postings(docs).withColumn("bucket", bucket_of(F.col("term")))
-        # a salt spreads a bucket over tasks: frequent terms don't meet in one
-        rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "field").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    def merge(spark: SparkSession, root: str, segments: list[str], segment: str, keep: Column | None = None, files: int | None = None) -> None:
+        """One segment out of several, without those documents that `keep` rejects; postings move, no text is read again."""
+        docs = read_part(spark, root, "docs", segments).drop("segment")
+        if keep is not None:
+            docs = docs.where(keep)
+        (docs.repartition(files) if files else docs).write.mode("overwrite").parquet(f"{root}/docs/segment={segment}")
+        written = spark.read.parquet(f"{root}/docs/segment={segment}")
+        rows = read_part(spark, root, "postings", segments).drop("segment", "bucket")
+        if keep is not None:
+            rows = rows.join(written.select("doc_id"), "doc_id", "left_semi")
+        _write_terms(written, rows, root, segment)
+
+    @cached_property
+    def averages(self) -> dict[str, tuple[int, float]]:
+        """(documents, average length) of each field: one row for each of the fixed fields."""
+        rows = self.totals.groupBy("field").agg(F.sum("n_docs").alias("n"), F.sum("total_len").alias("len")).collect()
+        return {r["field"]: (r["n"], r["len"] / r["n"] if r["n"] else 0.0) for r in rows}
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.totals.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), (F.sum("total_len") / F.sum("n_docs")).alias("avg_len"))
 
     def postings(self, terms: list[str]) -> DataFrame:
         if self.stored is None:
             return postings(self.source, terms)
+        return self._of_terms(self.stored, terms).select("field", "term", "doc_id", "tf", "len", "positions")
+
+    def frequencies(self, terms: list[str]) -> dict[tuple[str, str], int]:
+        """(term, field) -> documents that hold it: at most terms x fields rows come back."""
+        if self.terms is not None:
+            rows = self._of_terms(self.terms, terms).groupBy("term", "field").agg(F.sum("df").alias("df"))
+        else:
+            rows = self.postings(terms).groupBy("term", "field").agg(F.count("*").alias("df"))
+        return {(r["term"], r["field"]): r["df"] for r in rows.collect()}
+
+    @staticmethod
+    def _of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
         if not terms:
-            return self.stored.where("false").drop("bucket")
-        spark = self.stored.sparkSession
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in set(terms)], "t string").select(bucket_of(F.col("t"))).distinct().collect()]
-        return self.stored.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*sorted(set(terms)))).drop("bucket")
+            return rows.where("false")
+        return rows.where(F.col("bucket").isin(*{bucket(t) for t in terms}) & F.col("term").isin(*sorted(set(terms))))
+
+
+#: Schemas of the partitioned parts: a segment without postings has no file to take one from.
+SCHEMAS = {
+    "postings": "field string, term string, doc_id bigint, tf int, len int, positions array<int>, segment string, bucket int",
+    "terms": "term string, field string, df bigint, segment string, bucket int",
+}
+
+
+def read_part(spark: SparkSession, root: str, part: str, segments: list[str] | None) -> DataFrame:
+    paths = [f"{root}/{part}/segment={s}" for s in segments] if segments is not None else [f"{root}/{part}"]
+    reader = spark.read.option("basePath", f"{root}/{part}")
+    return (reader.schema(SCHEMAS[part]) if part in SCHEMAS else reader).parquet(*paths)
+
+
+def _write_terms(written: DataFrame, rows: DataFrame, root: str, segment: str) -> None:
+    spark = written.sparkSession
+    _totals(written).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals/segment={segment}")
+    # ranges down to the document: a frequent term spreads over as many tasks as its postings need
+    order = ("bucket", "term", "field", "doc_id")
+    ranged = rows.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={segment}")
+    at = f"{root}/postings/segment={segment}"
+    counted = spark.read.schema(SCHEMAS["postings"]).parquet(at).groupBy("bucket", "term", "field").agg(F.count("*").alias("df"))
+    counted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/terms/segment={segment}")
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from webquarry.functions import langdetect, suffixes
 from webquarry.operators import catalog, documents
 from webquarry.plans import search as S
 from webquarry.plans.textindex import TextIndex, all_postings, field_tokens
+from webquarry.sources.files import scratch
 from webquarry.sources.html import extracted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,15 +47,31 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.derive(captures(spark, sf_dir))
 
 
+_BUILT: dict[tuple, TextIndex] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> TextIndex:
+    """The index of a whole table, built at its first use in a session and read by all searches after that."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        root = f"{scratch(spark)}/webquarry-index-{uuid.uuid4().hex}"
+        TextIndex.write(make(), root)
+        _BUILT[key] = TextIndex.open(spark, root)
+    return _BUILT[key]
+
+
 def index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.of(docs(spark, sf_dir))
+    return stored(spark, sf_dir, "pages", lambda: docs(spark, sf_dir))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> TextIndex:
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a corpus of single-field pages."""
-    d = table(spark, sf_dir, "documents")
     blank = F.lit("")
-    return TextIndex.of(d.select("doc_id", F.lit("page").alias("doc_type"), blank.alias("title"), blank.alias("headings"), F.coalesce("text", blank).alias("body"), blank.alias("description"), blank.alias("keywords"), blank.alias("author"), blank.alias("url_tokens"), "lang", F.col("source").alias("collection")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("page").alias("doc_type"), blank.alias("title"), blank.alias("headings"), F.coalesce("text", blank).alias("body"), blank.alias("description"), blank.alias("keywords"), blank.alias("author"), blank.alias("url_tokens"), "lang", F.col("source").alias("collection"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> TextIndex:
+    return stored(spark, sf_dir, "documents", lambda: corpus(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- SQL pieces
@@ -275,12 +294,12 @@ def delete_crawl(spark, sf_dir):
 
 @query(f"WITH {TEXTS}, t AS (SELECT doc_id, unnest({TOKENS.format('body')}) AS term FROM docs) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def term_stats(spark, sf_dir):
-    return field_tokens(texts(spark, sf_dir).docs, ("body",)).select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    return field_tokens(corpus(spark, sf_dir), ("body",)).select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
 @query(f"WITH {TEXTS} SELECT doc_id, len({TOKENS.format('body')}) AS n FROM docs")
 def doc_lengths(spark, sf_dir):
-    return texts(spark, sf_dir).docs.select("doc_id", F.size(X.tokens("body")).alias("n"))
+    return corpus(spark, sf_dir).select("doc_id", F.size(X.tokens("body")).alias("n"))
 
 
 @query(f"WITH {CAP}, tok AS ({' UNION ALL '.join(f'''SELECT '{f}' AS field, len({TOKENS.format(f)}) AS n FROM docs''' for f in FIELDS)}) SELECT field, count(*) AS n_docs, round(avg(n), 6) AS avg_len FROM tok GROUP BY field")
@@ -304,7 +323,7 @@ W = lambda *terms, **more: {"terms": terms, **more}
 def search_query(name: str, q: str, leaves: list[dict], where: str, corpus: str = "pages") -> None:
     make = index if corpus == "pages" else texts
     cte = CAP if corpus == "pages" else TEXTS
-    QUERIES[name] = lambda spark, sf_dir: hits(S.matches(make(spark, sf_dir), q))
+    QUERIES[name] = lambda spark, sf_dir: hits(S.matched_ids(make(spark, sf_dir), q))
     ORACLE_SQL[name] = hits_sql(leaves, where, corpus=cte)
 
 
@@ -321,7 +340,8 @@ search_query("search_malformed", 'the "and', [W("the"), W("and")], "@0 AND @1",
 search_query("search_field_title", "title:the", [W("the", fields=("title",))], "@0")
 search_query("search_all_fields", "the en", [W("the"), W("en")], "@0 AND @1")
 search_query("search_site_filter", "the site:example.com", [W("the")], "@0 AND site = 'example.com'")
-search_query("search_crawl_alias", "the crawl:" + "0000", [W("the")], "@0 AND crawl_id = '0000'")
+CRAWL_3 = hashlib.sha256(b"crawl-3").hexdigest()[:8]
+search_query("search_crawl_alias", f"the crawl:{CRAWL_3}", [W("the")], f"@0 AND crawl_id = '{CRAWL_3}'")
 search_query("search_year_range", "the year:[2018 TO 2021]", [W("the")], "@0 AND year BETWEEN 2018 AND 2021")
 search_query("search_open_range", "the year:{2018 TO *]", [W("the")], "@0 AND year > 2018")
 search_query("search_status_range", "of status:[400 TO 499]", [W("of")], "@0 AND status BETWEEN 400 AND 499")
@@ -394,12 +414,12 @@ def page_search(spark, sf_dir):
 
 @query(f"WITH {CAP} {FACETS_SQL.format('docs')}")
 def facets_all(spark, sf_dir):
-    return S.facet_overview(docs(spark, sf_dir))
+    return S.facet_overview(index(spark, sf_dir).docs)
 
 
 @query(f"WITH {CAP}, s AS (SELECT * FROM docs WHERE collection = 'col-1') {FACETS_SQL.format('s')}")
 def facets_scoped(spark, sf_dir):
-    return S.facet_overview(docs(spark, sf_dir), collection="col-1")
+    return S.facet_overview(index(spark, sf_dir).docs, collection="col-1")
 
 
 @query(f"WITH {search_ctes([W('the')], '@0')} {FACETS_SQL.format('m')}")
@@ -409,7 +429,7 @@ def facets_query(spark, sf_dir):
 
 @query(f"WITH {CAP} SELECT month, count(*) AS n FROM docs WHERE month IS NOT NULL GROUP BY month ORDER BY n DESC, month LIMIT 120")
 def timeline_months(spark, sf_dir):
-    return S.timeline(docs(spark, sf_dir))
+    return S.timeline(index(spark, sf_dir).docs)
 
 
 @query(f"WITH {search_ctes([W('the')], '@0')} SELECT month, count(*) AS n FROM m WHERE month IS NOT NULL GROUP BY month ORDER BY n DESC, month LIMIT 120")
@@ -419,7 +439,7 @@ def timeline_query(spark, sf_dir):
 
 @query(f"WITH {CAP}, g AS (SELECT year::VARCHAR AS value, count(*) AS n FROM docs GROUP BY year) SELECT 'year' AS field, value, n FROM g ORDER BY value::INT DESC LIMIT 8")
 def facet_year_display(spark, sf_dir):
-    return S.facet_display(S.facets(docs(spark, sf_dir)), "year", 8)
+    return S.facet_display(S.facets(index(spark, sf_dir).docs), "year", 8)
 
 
 # ---------------------------------------------------------------- catalogue
