@@ -1,15 +1,18 @@
 import gzip
 import io
 import json
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from webquarry.config import Config
 from webquarry.operators import maintain
 from webquarry.plans import ingest
 from webquarry.plans import search as S
-from webquarry.sources import cdx, wacz, warc
+from webquarry.plans.textindex import TextIndex
+from webquarry.sources import cdx, finding_aids, wacz, warc
 from webquarry.sources.html import extract
 from webquarry.sources.wacz_writer import build_wacz, unique_names
 
@@ -141,9 +144,83 @@ def test_build_ingest_search_delete(spark, tmp_path, warc_file):
     assert maintain.documents(spark, home).count() == n
     maintain.compact(spark, home)
     assert maintain.documents(spark, home).count() == n and maintain.index_stats(spark, home).count() == 4
+    cid = out["indexed"][0]
+    ingest.Manifest.open(spark, home).set_provenance(cid, importer="service", importer_item="item-9")
     assert ingest.rebuild(spark, home)["indexed"] == 1
-    maintain.delete_crawl(spark, home, out["indexed"][0])
-    assert maintain.documents(spark, home).count() == 0
+    assert maintain.documents(spark, home).count() == n and S.search(maintain.open_index(spark, home), "Built").hits.first()["doc_type"] == "collection"
+    ingest.ingest(spark, home, [str(tmp_path / "out.wacz")], "col", force=True)
+    assert ingest.Manifest.open(spark, home).rows[cid]["importer_item"] == "item-9"
+    refused = ingest.ingest(spark, home, [str(tmp_path / "out.wacz")], "other")
+    assert refused["failed"][0][0] == cid and not refused["indexed"]
+    assert maintain.index_summary(spark, home)["docs"] == n
+    answer = S.search(maintain.open_index(spark, home), "rendered").document()
+    assert answer["total_hits"] == 1 and answer["num_docs"] == n and answer["hits"][0]["url"] == "http://ex.com/x" and {f["field"] for f in answer["facets"]} >= {"collection", "site"}
+    finding_aids.set_note(spark, home, "col", cid, " a note ")
+    assert finding_aids.note(spark, home, "col", cid) == "a note"
+    with pytest.raises(ValueError, match="holds 1"):
+        ingest.delete_collection(spark, home, "col")
+    filed = ingest.plan_crawl_deletion(spark, home, cid)["file"]
+    assert ingest.delete_collection(spark, home, "col", with_crawls=True)["members"] == [cid]
+    assert maintain.documents(spark, home).count() == 0 and not os.path.exists(filed) and finding_aids.listed(spark, home) == []
+    assert S.search(maintain.open_index(spark, home), "rendered").hits.count() == 0
+
+
+def documents_of(spark, crawl, texts):
+    rows = [(i, crawl, f"http://{crawl}.com/{i}", t) for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "n int, crawl_id string, url string, body string").select("*", *[F.lit("").alias(c) for c in ("timestamp", "title", "description", "headings", "keywords", "author", "lang")], F.lit("html").alias("media_type"), F.lit(200).alias("status"), F.lit(None).cast("int").alias("modified"))
+    return ingest.as_documents(pages, "name", "col", Config())
+
+
+def test_a_commit_writes_its_own_segment_only(spark, tmp_path):
+    home = str(tmp_path)
+    maintain.upsert(spark, home, documents_of(spark, "aaaa0001", ["alpha beta", "alpha"]))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    maintain.upsert(spark, home, documents_of(spark, "bbbb0002", ["alpha gamma"]))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    assert all(after[p] == t for p, t in before.items()) and len(after) > len(before)
+    assert len(maintain.segments(spark, home)) == 2
+    find = lambda q: sorted((r["crawl_id"], round(r["score"], 9)) for r in S.matches(maintain.open_index(spark, home), q).collect())
+    two = find("alpha")
+    maintain.compact(spark, home)
+    assert find("alpha") == two and len(two) == 3 and len(maintain.segments(spark, home)) == 1
+    maintain.delete_crawl(spark, home, "aaaa0001")  # out of a segment that holds both
+    assert [c for c, _ in find("alpha")] == ["bbbb0002"] and find("beta") == []
+    whole = {(r["crawl_id"], round(r["score"], 9)) for r in S.matches(TextIndex.of(maintain.documents(spark, home)), "alpha").collect()}
+    assert set(find("alpha")) == whole
+    maintain.upsert(spark, home, documents_of(spark, "bbbb0002", ["delta"]))
+    assert find("alpha") == [] and [c for c, _ in find("delta")] == ["bbbb0002"]
+
+
+def test_rare_terms_read_few_files_and_filters_reach_the_scan(spark, tmp_path):
+    maintain.upsert(spark, str(tmp_path), documents_of(spark, "aaaa0001", [f"common word{i}" for i in range(200)]))
+    found = S.matches(maintain.open_index(spark, str(tmp_path)), "word7 site:aaaa0001.com")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(site,aaaa0001.com)" in plan and "EqualTo(term,word7)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
+    assert found.count() == 1
+
+
+def test_scan_makes_one_task_for_each_inner_file(spark, tmp_path):
+    path = str(tmp_path / "many.wacz")
+    make(path, zipfile.ZIP_DEFLATED, [(f"w{i}.warc.gz", gzip.compress(page(f"http://ex.com/{i}", f"<title>t{i}</title>"))) for i in range(6)])
+    with open(path, "rb") as f:
+        assert wacz.inner_files(f) == [f"archive/w{i}.warc.gz" for i in range(6)]
+    records = wacz.page_records(spark, spark.createDataFrame([("c", path)], "crawl_id string, path string"))
+    assert [r["url"] for r in records.orderBy("seq").collect()] == [f"http://ex.com/{i}" for i in range(6)]
+    assert records.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_pdf_text_is_a_hook(spark, tmp_path):
+    path = str(tmp_path / "pdf.wacz")
+    make(path, zipfile.ZIP_DEFLATED, [("a.warc.gz", gzip.compress(record("response", "http://ex.com/doc/r.pdf", b"%PDF", b"HTTP/1.1 200 OK\r\nContent-Type: application/pdf\r\n\r\n")))])
+
+    def text(data):
+        if data != b"%PDF":
+            raise RuntimeError("not a PDF")
+        return "words inside"
+
+    out = ingest.ingest(spark, str(tmp_path / "h"), [path], "col", pdf_text=text)
+    assert len(out["indexed"]) == 1
+    assert S.search(maintain.open_index(spark, str(tmp_path / "h")), "inside").hits.first()["title"] == "r.pdf"
 
 
 def test_package_without_records_is_refused(spark, tmp_path):
@@ -153,14 +230,19 @@ def test_package_without_records_is_refused(spark, tmp_path):
 
 
 def test_unique_names():
-    assert unique_names(["a/d.warc.gz", "b/d.warc.gz", "c/x"]) == ["d.warc.gz", "d-2.warc.gz", "x"]
+    assert unique_names(["p/k.warc", "q/m", "r/k.warc", "s/m", "t/k-2.warc", "u/k.warc"]) == ["k.warc", "m", "k-3.warc", "m-2", "k-2.warc", "k-4.warc"]
 
 
-def test_writer_lock(tmp_path):
-    with maintain.writer(str(tmp_path)), pytest.raises(maintain.Locked), maintain.writer(str(tmp_path)):
+def test_writer_lock(spark, tmp_path):
+    home = str(tmp_path)
+    with maintain.writer(spark, home), pytest.raises(maintain.Locked), maintain.writer(spark, home):
         pass
-    with maintain.writer(str(tmp_path)):
+    with maintain.writer(spark, home):
         pass
+    (tmp_path / "WRITER").write_text("left by a dead writer")
+    with maintain.writer(spark, home, stale=-5):
+        pass
+    assert not (tmp_path / "WRITER").exists()
 
 
 def test_fixity(spark, tmp_path):
@@ -180,18 +262,19 @@ def test_streaming_ingest(spark, tmp_path):
     from webquarry.streaming.ingest import ingest_stream
 
     schema = "crawl_id string, crawl_name string, collection string, url string, seq bigint, kind string, timestamp string, title string, body string, description string, headings string, keywords string, author string, lang string, media_type string, status int, modified int"
-    def write(rows, name):
-        spark.createDataFrame([(c, "n", "col", u, i, "html", "2021", t, "", "", "", "", "", "", "html", 200, None) for i, (c, u, t) in enumerate(rows)], schema).write.json(str(tmp_path / "in" / name))
+    def write(rows, name, kind="html"):
+        spark.createDataFrame([(c, "n", "col", u, int(name) * 100 + i, kind, "2021", t, b, "", "", "", "", "", "html", 200, None) for i, (c, u, t, b) in enumerate(rows)], schema).write.json(str(tmp_path / "in" / name))
 
     def run():
         s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
         ingest_stream(s, str(tmp_path / "home"), str(tmp_path / "cp")).awaitTermination()
-        return sorted((r["crawl_id"], r["title"]) for r in maintain.documents(spark, str(tmp_path / "home")).collect())
+        return sorted((r["crawl_id"], r["url"], r["title"], r["body"]) for r in maintain.documents(spark, str(tmp_path / "home")).collect())
 
-    write([("a", "u1", "one"), ("b", "u2", "two")], "1")
-    assert run() == [("a", "one"), ("b", "two")]
-    write([("a", "u1", "again")], "2")
-    assert run() == [("a", "again"), ("b", "two")]
+    write([("a", "http://x.co.uk/1", "one", ""), ("a", "http://x.co.uk/2", "two", ""), ("b", "u2", "bee", "")], "1")
+    assert run() == [("a", "http://x.co.uk/1", "one", ""), ("a", "http://x.co.uk/2", "two", ""), ("b", "u2", "bee", "")]
+    write([("a", "http://x.co.uk/1", "", "rendered")], "2", kind="text")  # the crawl goes on in a second batch
+    assert run() == [("a", "http://x.co.uk/1", "one", "rendered"), ("a", "http://x.co.uk/2", "two", ""), ("b", "u2", "bee", "")]
+    assert {r["site"] for r in maintain.documents(spark, str(tmp_path / "home")).where("crawl_id = 'a'").collect()} == {"x.co.uk"}
 
 
 def test_streaming_windows(spark, sf, tmp_path):
@@ -204,3 +287,90 @@ def test_streaming_windows(spark, sf, tmp_path):
     q.awaitTermination()
     batch = events.groupBy(F.window("ts", "7 days").alias("w")).agg(F.count("*").alias("n")).select("w.start", "n")
     assert {tuple(r) for r in spark.table("windows").select("start", "n").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_import_run(spark, tmp_path):
+    from webquarry.plans import imports
+    from webquarry.sources import importers as I
+    from webquarry.sources.locations import Source
+
+    home = str(tmp_path / "home")
+    files = [{"filename": "../a.warc.gz", "size": 3, "collection": 7, "crawl": c, "crawl-time": f"20{c}0-01-01T00:00:00Z", "locations": [f"https://s/{c}"]} for c in (1, 2, 3)] + [{"filename": "n.warc", "crawl": 4, "locations": []}]
+    answers = {"webdata": {"files": files, "next": None}, "crawl_job": [{"id": 2, "status": "RUNNING"}, {"id": 1, "status": "FINISHED", "password": "x"}], "api/collection": [{"id": 7, "name": "Rivers", "metadata": {"description": [{"value": "About rivers"}]}}]}
+    client = I.ArchiveItClient.basic("https://s", "u", "p", lambda method, url, headers, body: (200, json.dumps(next(v for k, v in answers.items() if k in url)).encode()))
+    got = []
+
+    def download(url, path):
+        got.append(url)
+        with open(path, "wb") as f:
+            f.write(b"".join(gzip.compress(r) for r in RECORDS))
+
+    (tmp_path / "home" / imports.STAGING / "left").mkdir(parents=True)
+    out = imports.import_crawls(spark, client, home, "rivers", download, collection=7)
+    # the running job and the crawl without a location are left; the crawl without a job is kept
+    assert got == ["https://s/1", "https://s/3"] and len(out["imported"]) == 2 and sorted(out["skipped"]) == [2, 4] and not out["failed"]
+    assert not os.path.exists(os.path.join(home, imports.STAGING))
+    rows = ingest.Manifest.open(spark, home).rows
+    assert {(r["importer_item"], r["importer_collection"], r["name"]) for r in rows.values()} == {("1", 7, "Rivers - crawl 1"), ("3", 7, "Rivers - crawl 3")}
+    aid = finding_aids.listed(spark, home)[0]
+    assert (aid["id"], aid["narrative"], aid["dates"]) == ("rivers", "About rivers", "2010–2030")
+    assert imports.import_crawls(spark, client, home, "rivers", download, collection=7)["imported"] == [] and len(got) == 2
+    assert imports.imported_items([*rows.values(), {"source": Source("browsertrix", ("h", "o", "item-1", "r")).location}]) == {"1", "3", "item-1"}
+    with zipfile.ZipFile(os.path.join(home, "archive", "rivers", "7-1.wacz")) as z:
+        assert "password" not in z.read("datapackage.json").decode()
+
+
+def test_resolver_logs_in_again_once(spark):
+    from webquarry.plans.imports import Resolver
+    from webquarry.sources.importers import ServiceError
+    from webquarry.sources.locations import Source
+
+    logins = []
+
+    class Client:
+        def __init__(self, ok):
+            self.ok = ok
+
+        def item_resources(self, org, item):
+            if not self.ok:
+                raise ServiceError("401")
+            return [{"name": "r", "path": f"https://signed/{item}"}]
+
+    def login(host):
+        logins.append(host)
+        return Client(len(logins) > 1)
+
+    find = Resolver(login)
+    assert find(Source("browsertrix", ("h", "o", "i", "r"))) == "https://signed/i" and logins == ["h", "h"]
+    assert find(Source("browsertrix", ("h", "o", "j", "r"))) == "https://signed/j" and len(logins) == 2
+
+
+def test_finding_aids(spark, tmp_path):
+    home = str(tmp_path)
+    row = {"id": "c", "name": 'A "name": yes', "created": "2020", "subjects": ["x, y", "z"], "narrative": "# Text\n\n---\nmore", "rights": None}
+    assert finding_aids.write(spark, home, row) and not finding_aids.write(spark, home, row)
+    assert finding_aids.listed(spark, home)[0] == {"id": "c", "description": None, "creator": None, "dates": None, "curator": None} | row
+    assert finding_aids.seed(spark, home, "c", {"name": "other", "rights": "free"})["rights"] == "free"
+    assert finding_aids.listed(spark, home)[0]["name"] == 'A "name": yes'
+    assert finding_aids.split_front_matter("---\nname: x\nno end") == ("", "---\nname: x\nno end")
+    assert finding_aids.parse("k", "\ufeff---\r\nname: 'it''s'\r\nsubjects: [a, b]\r\n---\r\nbody")["subjects"] == ["a", "b"]
+    with pytest.raises(ValueError, match="malformed"):
+        finding_aids.parse("k", "---\n  nested\n---\n")
+    assert finding_aids.table(spark, home).first()["id"] == "c"
+
+
+def test_image_choice(spark):
+    from webquarry.operators import images
+
+    html = "<meta name='twitter:image' content='/t.png'><img src='a.png'><img srcset='b.png 2x, c.png 3x'><img src='//cdn.net/d.png'>"
+    pages = spark.createDataFrame([(i, f"http://www.site.co.uk/p{i}/", html) for i in range(6)], "id int, url string, html string")
+    at = "http://www.site.co.uk/"
+    cdx = [
+        (0, 0, "urn:thumbnail:http://www.site.co.uk/p0", "image/jpeg", 10), (0, 1, "urn:view:http://www.site.co.uk/p0/", "image/png", 99),
+        (1, 0, at + "t.png", "image/png", 7), (1, 1, at + "p1/a.png", "image/png", 9000),
+        (2, 0, at + "p2/a.png", "image/png", 6000), (2, 1, at + "p2/b.png", "image/png", 8000), (2, 2, "http://cdn.net/d.png", "image/svg+xml", 9000),
+        (3, 0, "http://img.site.co.uk/z.png", "image/png", 5000), (3, 1, "http://other.co.uk/z.png", "image/png", 9000),
+        (4, 0, at + "p4/a.png", "image/png", 12), (5, 0, at + "t.png", "image/png", 7),
+    ]
+    found = images.chosen(pages, spark.createDataFrame(cdx, "id int, seq bigint, url string, mime string, length bigint"), spark.createDataFrame([(5, "pin.jpg")], "id int, image_url string"))
+    assert {r["id"]: (r["kind"], r["image_url"]) for r in found.collect()} == {0: ("thumbnail", cdx[0][2]), 1: ("declared", at + "t.png"), 2: ("embedded", at + "p2/b.png"), 3: ("site", "http://img.site.co.uk/z.png"), 5: ("pinned", "pin.jpg")}

@@ -52,12 +52,11 @@ def test_finding_aid():
     assert I.finding_aid(c) == {"narrative": "N", "creator": "me", "subjects": ["s", "t", "Arts and Humanities"]}
 
 
-def test_choose_and_review():
+def test_choose():
     rows = [{"id": "1", "slug": "a", "name": "Ay"}, {"id": "2", "slug": "b", "name": "Be"}]
     assert I.choose(rows, "be")["id"] == "2" and I.choose(rows[:1], None)["id"] == "1"
     with pytest.raises(I.ServiceError):
         I.choose(rows, None)
-    assert not I.reviewed(None) and I.reviewed(None, True) and I.reviewed(3, least=3) and not I.reviewed(2, least=3)
     assert I.allowlisted({"a": 1, "b": None, "c": 2}, ("a", "b")) == {"a": 1}
 
 

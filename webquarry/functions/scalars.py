@@ -176,7 +176,8 @@ def safe_component(s: Column | str) -> Column:
 
 
 def safe_archive_name(name: Column | str, fallback: Column | str) -> Column:
-    base = safe_component(F.when(F.trim(_c(name)) == "", _c(fallback)).otherwise(F.trim(_c(name))))
+    own = F.regexp_replace(_c(name), r"^\s+|\s+$", "")
+    base = safe_component(F.when(own == "", _c(fallback)).otherwise(own))
     return F.when(F.lower(base).endswith(".wacz"), base).otherwise(F.concat(base, F.lit(".wacz")))
 
 

@@ -1,28 +1,34 @@
-"""The stored index: versions behind a pointer, deletion, compaction, fixity, sizes.
-
-Layout of a home: `versions/<n>/` holds an index (docs, bodies, stats, postings); `CURRENT` names the one
-that readers use. A change writes a new version and then replaces the pointer, so readers always see a
-whole index and a crash leaves the old one in place. Writers hold a lock file. Paths are on a file system
-that driver and executors share; the pointer and lock are small files handled by the driver.
+"""The stored index: segments behind a manifest, deletion, compaction, fixity, sizes.
+
+Layout of a home: `index/<part>/segment=<name>/` holds the parts of each segment (see textindex);
+`manifests/<n>.json` lists the segments of version n and the crawls in each, the highest n is in use. A
+commit writes one new segment with its crawls and a new manifest; other segments stay as they are, so its
+cost follows the commit and not the index. Readers always see a whole version, and a crash leaves the old
+one. Writers hold a lock file, which may be taken over once it is old. All files are reached through
+Hadoop's FileSystem.
 """
 
 from __future__ import annotations
 
 import contextlib
-import glob
 import hashlib
+import json
 import os
-import shutil
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.model import DOCUMENT, guard
-from webquarry.plans.textindex import TextIndex
+from webquarry.plans.textindex import TextIndex, read_part
+from webquarry.sources.files import Store
 
 TARGET_FILES, FRAGMENTED = 8, 48
+#: Seconds after which a lock counts as left by a dead writer.
+STALE = 6 * 3600
+PARTS = ("docs", "totals", "postings", "terms")
 
 
 class Locked(RuntimeError):
@@ -30,82 +36,117 @@ class Locked(RuntimeError):
 
 
 @contextlib.contextmanager
-def writer(home: str) -> Iterator[None]:
-    os.makedirs(home, exist_ok=True)
-    at = os.path.join(home, "WRITER")
-    try:
-        os.close(os.open(at, os.O_CREAT | os.O_EXCL))
-    except FileExistsError:
-        raise Locked(f"{at} exists: another writer is at work, or one has died") from None
+def writer(spark: SparkSession, home: str, stale: float = STALE) -> Iterator[None]:
+    store, token = Store(spark, home), uuid.uuid4().hex
+    if not store.create("WRITER", token):
+        if store.age("WRITER") < stale:
+            raise Locked(f"{home}/WRITER exists: another writer is at work, or one has died; it is taken over after {stale:.0f} s")
+        store.delete("WRITER")
+        if not store.create("WRITER", token):
+            raise Locked(f"{home}/WRITER was taken over by another writer")
     try:
         yield
     finally:
-        os.unlink(at)
+        if store.read("WRITER") == token:
+            store.delete("WRITER")
 
 
-def current(home: str) -> str | None:
-    """Folder of the version in use."""
-    try:
-        with open(os.path.join(home, "CURRENT"), encoding="utf-8") as f:
-            return os.path.join(home, "versions", f.read().strip())
-    except FileNotFoundError:
-        return None
+def _versions(store: Store) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in store.names("manifests") if n.removesuffix(".json").isdigit())
+
 
+def segments(spark: SparkSession, home: str) -> dict[str, list[str]]:
+    """Segments of the version in use, with the crawls of each."""
+    store = Store(spark, home)
+    found = _versions(store)
+    return json.loads(store.read(f"manifests/{found[-1]}.json"))["segments"] if found else {}
 
-def _next(home: str) -> str:
-    taken = [int(n) for n in os.listdir(os.path.join(home, "versions")) if n.isdigit()] if os.path.isdir(os.path.join(home, "versions")) else []
-    return str(max(taken, default=0) + 1)
 
+def publish(spark: SparkSession, home: str, now: dict[str, list[str]]) -> int:
+    """Make these segments the version in use. The one before stays readable; segments that neither names go."""
+    store = Store(spark, home)
+    found = _versions(store)
+    n = (found[-1] if found else 0) + 1
+    store.put(f"manifests/{n}.json", json.dumps({"segments": now}, sort_keys=True))
+    sweep(spark, home)
+    return n
 
-def publish(home: str, docs: DataFrame) -> str:
-    """Write docs as a new version and make it the current one; older versions but the last go."""
-    name = _next(home)
-    at = os.path.join(home, "versions", name)
-    TextIndex.write(guard(docs, DOCUMENT), at)
-    with open(os.path.join(home, "CURRENT.new"), "w", encoding="utf-8") as f:
-        f.write(name)
-    os.replace(os.path.join(home, "CURRENT.new"), os.path.join(home, "CURRENT"))
-    sweep(home, keep=2)
-    return at
 
+def sweep(spark: SparkSession, home: str, keep: int = 2) -> list[str]:
+    """Delete manifests but for the latest ones, and all segments that these don't name: also what a crash left."""
+    store = Store(spark, home)
+    found = _versions(store)
+    named = {s for n in found[-keep:] for s in json.loads(store.read(f"manifests/{n}.json"))["segments"]}
+    gone = []
+    for part in PARTS:
+        for name in store.names(f"index/{part}"):
+            if name.startswith("segment=") and name.removeprefix("segment=") not in named:
+                store.delete(f"index/{part}/{name}")
+                gone.append(name.removeprefix("segment="))
+    for n in found[:-keep]:
+        store.delete(f"manifests/{n}.json")
+    return sorted(set(gone))
 
-def sweep(home: str, keep: int = 1) -> list[str]:
-    """Delete versions that nothing names, but for the `keep` latest."""
-    now = current(home)
-    names = sorted((n for n in os.listdir(os.path.join(home, "versions")) if n.isdigit()), key=int)
-    gone = [n for n in names[: -keep or None] if os.path.join(home, "versions", n) != now]
-    gone += [n for n in names if now and int(n) > int(os.path.basename(now))]  # left by a crash before the pointer moved
-    for n in dict.fromkeys(gone):
-        shutil.rmtree(os.path.join(home, "versions", n), ignore_errors=True)
-    return gone
+
+def _root(home: str) -> str:
+    return f"{home.rstrip('/')}/index"
 
 
 def documents(spark: SparkSession, home: str) -> DataFrame:
-    """All documents of the current version with their full bodies."""
-    at = current(home)
-    docs = spark.read.parquet(f"{at}/docs").join(spark.read.parquet(f"{at}/bodies"), "doc_id")
-    return guard(docs, DOCUMENT)
+    """All documents of the version in use, with their full bodies."""
+    now = segments(spark, home)
+    if not now:
+        return spark.createDataFrame([], DOCUMENT)
+    return guard(read_part(spark, _root(home), "docs", sorted(now)).drop("lens", "segment"), DOCUMENT)
 
 
 def open_index(spark: SparkSession, home: str) -> TextIndex:
-    at = current(home)
-    if at is None:
+    if not _versions(Store(spark, home)):
         raise FileNotFoundError(f"{home} has no index yet")
-    return TextIndex.open(spark, at)
+    now = segments(spark, home)
+    return TextIndex.open(spark, _root(home), sorted(now)) if now else TextIndex.of(documents(spark, home))
+
+
+def _without(spark: SparkSession, home: str, crawls: set[str]) -> dict[str, list[str]]:
+    """Segments with these crawls taken out: wholly concerned ones are left out, mixed ones written again."""
+    now = {}
+    for name, own in segments(spark, home).items():
+        left = sorted(set(own) - crawls)
+        if len(left) == len(own):
+            now[name] = own
+        elif left:
+            fresh = uuid.uuid4().hex
+            TextIndex.merge(spark, _root(home), [name], fresh, keep=~F.col("crawl_id").isin(*sorted(crawls & set(own))))
+            now[fresh] = left
+    return now
 
 
-def upsert(spark: SparkSession, home: str, docs: DataFrame) -> str:
-    """Replace the documents of the crawls in docs: an anti-join on crawl_id, then a new version."""
-    with writer(home):
-        if current(home) is None:
-            return publish(home, docs)
-        rest = documents(spark, home).join(docs.select("crawl_id").distinct(), "crawl_id", "left_anti").select(docs.columns)
-        return publish(home, rest.unionByName(docs))
+def upsert(spark: SparkSession, home: str, docs: DataFrame, crawls: Iterable[str] | None = None) -> int:
+    """Replace the documents of some crawls (those in docs, unless named): one new segment and a new manifest."""
+    with writer(spark, home):
+        fresh = uuid.uuid4().hex
+        TextIndex.write(guard(docs, DOCUMENT), _root(home), fresh)
+        own = sorted(r[0] for r in read_part(spark, _root(home), "docs", [fresh]).select("crawl_id").distinct().collect())
+        now = _without(spark, home, set(own) | set(crawls or ()))
+        return publish(spark, home, now | ({fresh: own} if own else {}))
 
 
-def delete_crawl(spark: SparkSession, home: str, crawl_id: str) -> str:
-    with writer(home):
-        return publish(home, documents(spark, home).where(F.col("crawl_id") != crawl_id))
+def replace_all(spark: SparkSession, home: str, docs: DataFrame) -> int:
+    """One new segment in place of all."""
+    with writer(spark, home):
+        fresh = uuid.uuid4().hex
+        TextIndex.write(guard(docs, DOCUMENT), _root(home), fresh)
+        own = sorted(r[0] for r in read_part(spark, _root(home), "docs", [fresh]).select("crawl_id").distinct().collect())
+        return publish(spark, home, {fresh: own} if own else {})
+
+
+def delete_crawls(spark: SparkSession, home: str, crawls: Iterable[str]) -> int:
+    with writer(spark, home):
+        return publish(spark, home, _without(spark, home, set(crawls)))
+
+
+def delete_crawl(spark: SparkSession, home: str, crawl_id: str) -> int:
+    return delete_crawls(spark, home, [crawl_id])
 
 
 def plan_deletion(crawls: DataFrame, crawl_id: str | None = None, collection: str | None = None) -> DataFrame:
@@ -118,25 +159,38 @@ def plan_deletion(crawls: DataFrame, crawl_id: str | None = None, collection: st
     return marked.select("id", "source", (F.col("_used").isNull() & ~is_remote("source")).alias("delete_file"))
 
 
-def data_files(at: str) -> list[str]:
-    return glob.glob(os.path.join(at, "docs", "**", "*.parquet"), recursive=True)
+def fragmented(spark: SparkSession, home: str) -> bool:
+    return len(segments(spark, home)) > FRAGMENTED
 
 
-def fragmented(home: str) -> bool:
-    return len(data_files(current(home) or home)) > FRAGMENTED
+def compact(spark: SparkSession, home: str, files: int = TARGET_FILES) -> int:
+    """All segments into one whose documents lie in about `files` files: postings are merged, no text is read again."""
+    with writer(spark, home):
+        now = segments(spark, home)
+        if not now:
+            return publish(spark, home, now)
+        fresh = uuid.uuid4().hex
+        TextIndex.merge(spark, _root(home), sorted(now), fresh, files=files)
+        return publish(spark, home, {fresh: sorted({c for own in now.values() for c in own})})
 
 
-def compact(spark: SparkSession, home: str, files: int = TARGET_FILES) -> str:
-    """Rewrite the documents into about `files` files as a new version."""
-    with writer(home):
-        return publish(home, documents(spark, home).repartition(files))
+def index_files(spark: SparkSession, home: str) -> list[tuple[str, int]]:
+    """(part, bytes) of the files of the version in use."""
+    now, store = segments(spark, home), Store(spark, home)
+    return [(part, size) for part in PARTS for name in sorted(now) for _, size in store.files(f"index/{part}/segment={name}", ".parquet")]
 
 
 def index_stats(spark: SparkSession, home: str) -> DataFrame:
-    """Files and bytes of the current version by table, largest first."""
-    at = current(home)
-    rows = [(os.path.relpath(f, at).split(os.sep)[0], os.path.getsize(f)) for f in glob.glob(f"{at}/**/*.parquet", recursive=True)]
-    return spark.createDataFrame(rows, "part string, bytes bigint").groupBy("part").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"))
+    """Files and bytes of the current version by part, largest first."""
+    rows = index_files(spark, home)
+    return spark.createDataFrame(rows, "part string, bytes bigint").groupBy("part").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "part")
+
+
+def index_summary(spark: SparkSession, home: str, at: tuple[int, ...] = (1_000_000, 100_000_000)) -> dict:
+    """Segments, documents, bytes and bytes for each document, and the size at other numbers of documents in proportion."""
+    docs, size = documents(spark, home).count(), sum(n for _, n in index_files(spark, home))
+    each = size / docs if docs else 0.0
+    return {"segments": len(segments(spark, home)), "docs": docs, "bytes": size, "bytes_per_doc": each, "projected": {n: int(each * n) for n in at}}
 
 
 # ---------------------------------------------------------------- fixity

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 RAW = "url string, timestamp string, mime string, status string, filename string, offset string, length string"
 
 
-def parse_cdx(lines: DataFrame, column: str = "value") -> DataFrame:
-    """url, ts, mime, status, filename, offset, length; lines without a url are dropped. All inside the JVM."""
+#: Archive files of one package up to which their places are sent to every task.
+FEW = 10_000
+
+
+def parse_cdx(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """url, ts, mime, status, filename, offset, length, and columns of lines to keep; lines without a url are dropped. All inside the JVM."""
     line = F.trim(F.col(column))
     brace = F.locate("{", line)
-    parsed = lines.where(brace > 0).select(F.split(F.left(line, brace - 1), " ").alias("head"), F.from_json(F.substr(line, brace), RAW).alias("j"))
+    parsed = lines.where(brace > 0).select(*keep, F.split(F.left(line, brace - 1), " ").alias("head"), F.from_json(F.substr(line, brace), RAW).alias("j"))
     number = lambda c, t="bigint": F.coalesce(F.col(f"j.{c}").try_cast(t), F.lit(0).cast(t))
     ts = F.coalesce(F.nullif(F.try_element_at("head", F.lit(2)), F.lit("")), "j.timestamp", F.lit(""))
-    return parsed.where(F.coalesce("j.url", F.lit("")) != "").select(F.col("j.url").alias("url"), ts.alias("ts"), F.coalesce("j.mime", F.lit("")).alias("mime"), number("status", "int").alias("status"), F.coalesce("j.filename", F.lit("")).alias("filename"), number("offset").alias("offset"), number("length").alias("length"))
+    return parsed.where(F.coalesce("j.url", F.lit("")) != "").select(*keep, F.col("j.url").alias("url"), ts.alias("ts"), F.coalesce("j.mime", F.lit("")).alias("mime"), number("status", "int").alias("status"), F.coalesce("j.filename", F.lit("")).alias("filename"), number("offset").alias("offset"), number("length").alias("length"))
 
 
 def read_cdx(spark: SparkSession, path: str) -> DataFrame:
@@ -38,9 +42,13 @@ def basename(path: Column | str) -> Column:
     return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
 
 
-def with_places(cdx: DataFrame, starts: DataFrame) -> DataFrame:
-    """Absolute place of each record inside its archive: starts has basename and start, a row for each inner file."""
-    return cdx.withColumn("basename", basename("filename")).join(F.broadcast(starts), "basename").withColumn("at", F.col("start") + F.col("offset"))
+def with_places(cdx: DataFrame, starts: DataFrame, many: int | None = None) -> DataFrame:
+    """Absolute place of each record inside its archive: starts has basename and start, a row for each inner file.
+
+    many: the rows of starts, where known; few are broadcast, else Spark chooses by size.
+    """
+    side = F.broadcast(starts) if many is not None and many <= FEW else starts
+    return cdx.withColumn("basename", basename("filename")).join(side, "basename").withColumn("at", F.col("start") + F.col("offset"))
 
 
 def cdx_lines(records: DataFrame, filename: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from collections.abc import Callable
 from urllib.parse import quote, urlencode
 
@@ -49,7 +50,7 @@ class _Client:
         try:
             return json.loads(body)
         except ValueError as e:
-            raise ServiceError(f"parsing response from {url}") from e
+            raise ServiceError(f"{url} did not answer with JSON") from e
 
 
 class BrowsertrixClient(_Client):
@@ -75,7 +76,7 @@ class BrowsertrixClient(_Client):
             total = found.get("total") or 0
             if len(items) < self.page_size or (total and len(out) >= total):
                 return out
-        raise ServiceError(f"{path}: pagination did not terminate after {MOST_PAGES} pages")
+        raise ServiceError(f"{path} still had pages after {MOST_PAGES}")
 
     def orgs(self) -> list[dict]:
         return self.listed("/api/orgs")
@@ -132,7 +133,7 @@ class ArchiveItClient(_Client):
             url = page.get("next")
             if not url:
                 return out
-        raise ServiceError(f"pagination did not terminate after {MOST_PAGES} pages")
+        raise ServiceError(f"file list still had pages after {MOST_PAGES}")
 
 
 def credentials(prefix: str) -> tuple[str, str, str] | None:
@@ -184,15 +185,14 @@ def metadata_values(collection: dict, key: str) -> list[str]:
     return out
 
 
-def humanize(code: str) -> str:
-    words, cur = [], ""
-    for c in code.strip():
-        if c.isupper() and cur:
-            words.append(cur)
-            cur = ""
-        cur += c.lower()
-    words += [cur] if cur else []
-    return " ".join(w if i and w in ("and", "of", "the", "for") else w[:1].upper() + w[1:] for i, w in enumerate(words))
+#: Words that stay small inside a topic's title.
+SMALL = frozenset(("and", "of", "the", "for"))
+
+
+def topic_title(code: str) -> str:
+    """A camel-case topic code as a title: a capital begins a word."""
+    first, *rest = re.findall(r"[^A-Z]+|[A-Z][^A-Z]*", code.strip()) or [""]
+    return " ".join([first.capitalize(), *(w.lower() if w.lower() in SMALL else w.capitalize() for w in rest)])
 
 
 def finding_aid(collection: dict) -> dict:
@@ -200,17 +200,20 @@ def finding_aid(collection: dict) -> dict:
     first = lambda k: next(iter(metadata_values(collection, k)), None)
     topics = collection.get("topics")
     topics = topics if isinstance(topics, list) else [topics] if isinstance(topics, str) and topics else []
-    subjects = metadata_values(collection, "Subject") + [humanize(t) for t in topics if isinstance(t, str)]
+    subjects = metadata_values(collection, "Subject") + [topic_title(t) for t in topics if isinstance(t, str)]
     found = {"narrative": first("Description"), "description": first("Title"), "creator": first("Creator") or first("Collector"), "rights": first("Rights"), "subjects": subjects or None}
     return {k: v for k, v in found.items() if v}
 
 
+def org_finding_aid(org: dict, collection: dict | None = None) -> dict:
+    """The other service's fields: the organisation collects; a chosen collection gives text, subjects and dates, never rights."""
+    text = lambda row, k: row[k].strip() if isinstance(row.get(k), str) else ""
+    name, site, c = text(org, "name"), text(org, "website"), collection or {}
+    days = [d[:10] for k in ("dateEarliest", "dateLatest") if (d := text(c, k))]
+    found = {"creator": f"{name} ({site})" if name and site else name, "narrative": text(c, "description"), "description": text(c, "caption"), "subjects": c.get("tags") or None, "dates": " – ".join(dict.fromkeys(days))}
+    return {k: v for k, v in found.items() if v}
+
+
 def allowlisted(row: dict, keys: tuple[str, ...]) -> dict:
     """Named keys whose values are set: all else stays out of what is published."""
     return {k: row[k] for k in keys if row.get(k) is not None}
-
-
-def reviewed(rating: int | None, include_unreviewed: bool = False, least: int | None = None) -> bool:
-    if rating is None:
-        return include_unreviewed
-    return least is None or rating >= least

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import json
 import struct
 import zipfile
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.model import PAGE_TEXT, RAW_RECORD
+from webquarry.model import RAW_RECORD
 from webquarry.sources import warc
 from webquarry.sources.html import extract
 
 Opener = Callable[[str], BinaryIO]
+PdfText = Callable[[bytes], str | None]
 
 
 def open_local(path: str) -> BinaryIO:
@@ -191,7 +193,7 @@ def last_modified(headers: list[tuple[str, str]]) -> int | None:
         return None
 
 
-def raw_record(r: dict, pdf_text: Callable[[bytes], str | None] | None = None) -> dict | None:
+def raw_record(r: dict, pdf_text: PdfText | None = None) -> dict | None:
     """What a WARC record gives an index: a page, a PDF or a rendered text; None for the rest."""
     url, none = r["target_uri"], dict.fromkeys(RAW_RECORD.names)
     if not url or url.startswith("dns:"):
@@ -219,48 +221,74 @@ def raw_record(r: dict, pdf_text: Callable[[bytes], str | None] | None = None) -
     return None
 
 
-def scan(f: BinaryIO) -> Iterator[dict]:
-    """All page records of a package, inner packages included, WARC by WARC."""
+def scan(f: BinaryIO, pdf_text: PdfText | None = None, only: str | None = None) -> Iterator[dict]:
+    """All page records of a package, inner packages included, WARC by WARC; or those of one inner file, named by its place."""
     with zipfile.ZipFile(f) as z:
-        for _, inner in nested(f, z):
-            yield from scan(inner)
+        for name, inner in nested(f, z):
+            if only is None or only.startswith(name + "!"):
+                yield from scan(inner, pdf_text, only and only.removeprefix(name + "!"))
         for i in entries(z):
+            if only is not None and i.filename != only:
+                continue
             with z.open(i) as e:
                 source = io.BufferedReader(Window(f, data_start(f, i), i.file_size)) if i.compress_type == zipfile.ZIP_STORED else io.BytesIO(e.read())
                 for r in warc.read_records(source):
-                    if (page := raw_record(r)) is not None:
+                    if (page := raw_record(r, pdf_text)) is not None:
                         yield page
 
 
-def page_records(spark: SparkSession, paths: DataFrame, opener: Opener = open_local) -> DataFrame:
-    """crawl_id, seq and a page's columns for every package; paths has crawl_id and path, one task each.
+def inner_files(f: BinaryIO) -> list[str]:
+    """Places of all WARCs of a package, in order: `inner.wacz!archive/a.warc.gz` for those of inner packages."""
+    with zipfile.ZipFile(f) as z:
+        return [f"{name}!{x}" for name, inner in nested(f, z) for x in inner_files(inner)] + [i.filename for i in entries(z)]
+
+
+def page_records(spark: SparkSession, paths: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
+    """crawl_id, seq and a page's columns for every package; paths has crawl_id and path. One task for each inner WARC.
 
     seq orders records as they lie in the package, rendered page texts last.
     """
     shape = pa.schema([("crawl_id", pa.string()), ("seq", pa.int64()), *((n, pa.int32() if n in ("status", "modified") else pa.string()) for n in RAW_RECORD.names)])
 
-    def run(batches):
+    def list_inner(batches):
         for b in batches:
+            rows = []
             for crawl, path in zip(b["crawl_id"].to_pylist(), b["path"].to_pylist(), strict=True):
-                held, seq = [], 0
                 with opener(path) as f:
-                    for page in scan(f):
-                        held.append({"crawl_id": crawl, "seq": seq} | page)
+                    rows += [(crawl, path, k, x) for k, x in enumerate([*inner_files(f), None])]  # None: the page texts
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["crawl_id", "path", "nth", "inner"])
+
+    def run(batches):
+        for b in batches:
+            for crawl, path, nth, inner in zip(*(b[c].to_pylist() for c in ("crawl_id", "path", "nth", "inner")), strict=True):
+                held, seq = [], nth << 40
+                with opener(path) as f:
+                    found = scan(f, pdf_text, inner) if inner is not None else text_records(f)
+                    for page in found:
+                        held.append(dict.fromkeys(shape.names) | {"crawl_id": crawl, "seq": seq} | page)
                         seq += 1
                         if len(held) == 500:
                             yield pa.RecordBatch.from_pylist(held, schema=shape)
                             held = []
-                    for t in read_page_texts(f):
-                        held.append(dict.fromkeys(shape.names) | {"crawl_id": crawl, "seq": seq, "kind": "text", "url": t["url"], "timestamp": warc.digits14(t["ts"]), "title": t["title"], "body": t["text"], "media_type": "html"})
-                        seq += 1
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=shape)
 
-    ddl = "crawl_id string, seq bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RAW_RECORD.fields)
-    return paths.select("crawl_id", "path").repartition(paths.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(run, ddl)
+    tasks = spark.sparkContext.defaultParallelism
+    each = paths.select("crawl_id", "path").repartition(tasks, "path").mapInArrow(list_inner, "crawl_id string, path string, nth bigint, inner string")
+    return each.repartition(tasks, "path", "inner").mapInArrow(run, _record_ddl())
 
 
-def fetch_records(places: DataFrame, opener: Opener = open_local) -> DataFrame:
+def text_records(f: BinaryIO) -> Iterator[dict]:
+    """A package's page texts as records."""
+    for t in read_page_texts(f):
+        yield {"kind": "text", "url": t["url"], "timestamp": warc.digits14(t["ts"]), "title": t["title"], "body": t["text"], "media_type": "html"}
+
+
+def _record_ddl() -> str:
+    return "crawl_id string, seq bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RAW_RECORD.fields)
+
+
+def fetch_records(places: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
     """Page records at (crawl_id, path, at, length, seq): each task seeks to its ranges. Unreadable ones are skipped."""
     shape = pa.schema([("crawl_id", pa.string()), ("seq", pa.int64()), *((n, pa.int32() if n in ("status", "modified") else pa.string()) for n in RAW_RECORD.names)])
 
@@ -276,42 +304,43 @@ def fetch_records(places: DataFrame, opener: Opener = open_local) -> DataFrame:
                     found = warc.record_slice(f.read(length))
                 except Exception:  # one bad record doesn't stop the rest
                     continue
-                held += [{"crawl_id": crawl, "seq": seq} | p for r in found if (p := raw_record(r)) is not None]
+                held += [{"crawl_id": crawl, "seq": seq} | p for r in found if (p := raw_record(r, pdf_text)) is not None]
             if held:
                 yield pa.RecordBatch.from_pylist(held, schema=shape)
         for f in files.values():
             f.close()
 
-    ddl = "crawl_id string, seq bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RAW_RECORD.fields)
     # record sizes are skewed: deal them by place rather than by file
-    return places.repartition(places.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path", "at")).mapInArrow(run, ddl)
+    return places.repartition(places.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path", "at")).mapInArrow(run, _record_ddl())
 
 
-def read_package(spark: SparkSession, crawl_id: str, path: str, opener: Opener = open_local) -> DataFrame:
-    """Page records of one package by whichever route its layout allows."""
+def read_package(spark: SparkSession, crawl_id: str, path: str, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
+    """Page records of one package by whichever route its layout allows. Index and page texts are read by tasks, not here."""
     from webquarry.sources.cdx import parse_cdx, wanted, with_places
 
     with opener(path) as f, zipfile.ZipFile(f) as z:
-        direct, lines = stored(z) and cdx_entry(z) is not None, []
-        if direct:
-            lines, starts, texts = list(read_cdx_lines(f)), warc_starts(f), list(read_page_texts(f))
+        direct = stored(z) and cdx_entry(z) is not None
+        starts = warc_starts(f) if direct else {}
     if not direct:
-        return page_records(spark, spark.createDataFrame([(crawl_id, path)], "crawl_id string, path string"), opener)
-    numbered = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "seq bigint, value string")
-    places = with_places(wanted(parse_cdx_numbered(numbered)), spark.createDataFrame(list(starts.items()), "basename string, start bigint"))
-    found = fetch_records(places.select(F.lit(crawl_id).alias("crawl_id"), F.lit(path).alias("path"), "at", "length", "seq"), opener)
-    more = spark.createDataFrame([(t["url"], t["ts"], t["title"], t["text"]) for t in texts], PAGE_TEXT)
-    late = more.select(F.lit(crawl_id).alias("crawl_id"), (F.monotonically_increasing_id() + len(lines)).alias("seq"), F.lit("text").alias("kind"), "url", F.left(F.regexp_replace("ts", r"\D", ""), F.lit(14)).alias("timestamp"), "title", F.col("text").alias("body"), F.lit("html").alias("media_type"))
-    return found.unionByName(late, allowMissingColumns=True)
-
-
-def parse_cdx_numbered(lines: DataFrame) -> DataFrame:
-    """parse_cdx that keeps seq."""
-    from webquarry.sources.cdx import RAW
-
-    line = F.trim("value")
-    brace = F.locate("{", line)
-    j = F.from_json(F.substr(line, brace), RAW)
-    number = lambda c, t="bigint": F.coalesce(F.col(f"j.{c}").try_cast(t), F.lit(0).cast(t))
-    rows = lines.where(brace > 0).select("seq", j.alias("j"))
-    return rows.where(F.coalesce("j.url", F.lit("")) != "").select("seq", F.col("j.url").alias("url"), F.coalesce("j.mime", F.lit("")).alias("mime"), number("status", "int").alias("status"), F.coalesce("j.filename", F.lit("")).alias("filename"), number("offset").alias("offset"), number("length").alias("length"))
+        return page_records(spark, spark.createDataFrame([(crawl_id, path)], "crawl_id string, path string"), opener, pdf_text)
+    one = spark.createDataFrame([(path,)], "path string").coalesce(1)
+
+    def index_lines(batches):
+        for b in batches:
+            for p in b["path"].to_pylist():
+                with opener(p) as f:
+                    for k, some in enumerate(itertools.batched(read_cdx_lines(f), 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(range(k * 10_000, k * 10_000 + len(some)), pa.int64()), pa.array(some, pa.string())], names=["seq", "value"])
+
+    def page_texts(batches):
+        for b in batches:
+            for p in b["path"].to_pylist():
+                with opener(p) as f:
+                    for k, some in enumerate(itertools.batched(text_records(f), 500)):
+                        yield pa.RecordBatch.from_pylist([{"seq": (1 << 50) + k * 500 + i} | t for i, t in enumerate(some)], schema=pa.schema([("seq", pa.int64()), *((n, pa.string()) for n in ("kind", "url", "timestamp", "title", "body", "media_type"))]))
+
+    numbered = one.mapInArrow(index_lines, "seq bigint, value string")
+    places = with_places(wanted(parse_cdx(numbered, keep=("seq",))), spark.createDataFrame(list(starts.items()), "basename string, start bigint"), len(starts))
+    found = fetch_records(places.select(F.lit(crawl_id).alias("crawl_id"), F.lit(path).alias("path"), "at", "length", "seq"), opener, pdf_text)
+    late = one.mapInArrow(page_texts, "seq bigint, kind string, url string, timestamp string, title string, body string, media_type string")
+    return found.unionByName(late.withColumn("crawl_id", F.lit(crawl_id)), allowMissingColumns=True)

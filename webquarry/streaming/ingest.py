@@ -6,28 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from webquarry.config import load
 from webquarry.operators import maintain
-from webquarry.operators.documents import derive, merge_pages
+from webquarry.operators.documents import merge_pages
+from webquarry.plans.ingest import as_documents
+from webquarry.sources.files import Store
 
 
-def ingest_stream(records: DataFrame, home: str, checkpoint: str, name: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """records: the input of merge_pages, with crawl_name and collection; a crawl's records come in one batch.
+def ingest_stream(records: DataFrame, home: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """records: the input of merge_pages, with crawl_name and collection; a crawl may come in any number of batches.
 
-    A batch replaces the documents of its crawls, so a batch that is run again after a failure changes nothing.
+    Each batch's records are kept under its number; the crawls it touches are merged again from all their records, so
+    their documents are what one batch would have given. seq must order a crawl's records over all batches. A batch
+    that is run again after a failure writes the same folder and the same documents.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        spark = batch.sparkSession
+        folder = f"{home.rstrip('/')}/records"
+        batch.write.mode("overwrite").partitionBy("crawl_id").parquet(f"{folder}/batch={batch_id}")
+        written = Store(spark, f"{folder}/batch={batch_id}").names()
+        if not any(n.startswith("crawl_id=") for n in written):
             return
-        names = batch.groupBy("crawl_id").agg(F.first("crawl_name").alias("crawl_name"), F.first("collection").alias("collection"))
-        pages = merge_pages(batch).join(names, "crawl_id").withColumn("doc_id", F.xxhash64("crawl_id", "url").bitwiseAND(F.lit((1 << 62) - 1)))
-        maintain.upsert(batch.sparkSession, home, derive(pages))
+        kept = spark.read.option("basePath", folder).schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+        touched = kept.where(F.col("batch") == batch_id).select("crawl_id").distinct()
+        whole = kept.where(F.col("batch") <= batch_id).join(touched, "crawl_id", "left_semi")
+        names = whole.groupBy("crawl_id").agg(F.max_by("crawl_name", "batch").alias("crawl_name"), F.max_by("collection", "batch").alias("collection"))
+        pages = merge_pages(whole).join(names, "crawl_id")
+        maintain.upsert(spark, home, as_documents(pages, F.col("crawl_name"), F.col("collection"), load(home)))
 
     return records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class ProgressListener(StreamingQueryListener):
+    """Hands (kind, facts) of every query to a function: begin, batch and done or error."""
+
+    def __init__(self, tell: Callable[[str, dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event):
+        self.tell("begin", {"query": str(event.id)})
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.tell("batch", {"query": str(p.id), "batch": p.batchId, "records": p.numInputRows})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.tell("error" if event.exception else "done", {"query": str(event.id), "message": event.exception})
+
+
 def first_seen(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First event of each url within the watermark: a stream (url, ts, ...) without repeats."""
     return pages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url"])
