@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webquarry.functions import scalars as X
+from webquarry.sources.locations import parsed
 
 
 def status_histogram(records: DataFrame, *by: str) -> DataFrame:
@@ -96,6 +97,12 @@ def not_imported(plan: DataFrame, crawls: DataFrame, keys: list[str]) -> DataFra
     return plan.join(crawls.select(*keys).distinct(), keys, "left_anti")
 
 
+def imported_items(crawls: DataFrame) -> DataFrame:
+    """item: service items that are in, by either trace: the source that a crawl is streamed from, or its recorded provenance."""
+    streamed = crawls.select(parsed("source")["item"].alias("item"))
+    return streamed.union(crawls.select("importer_item")).where("item is not null").distinct()
+
+
 def shared_sources(crawls: DataFrame) -> DataFrame:
     """Crawls whose file another crawl uses too: it must outlive either."""
     return crawls.join(crawls.groupBy("source").agg(F.count("*").alias("_n")).where("_n > 1"), "source", "left_semi")
@@ -151,7 +158,7 @@ def field_sizes(docs: DataFrame, fields: list[str]) -> DataFrame:
     aggs = [a for f in fields for a in (F.sum(F.octet_length(F.coalesce(f, F.lit("")))).alias(f"b_{f}"), F.count_if(F.coalesce(F.col(f), F.lit("")) != "").alias(f"n_{f}"))]
     one = docs.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b_{f}").alias("bytes"), F.col(f"n_{f}").alias("filled")) for f in fields]))
-    return one.select(rows.alias("r")).select("r.*")
+    return one.select(rows.alias("r")).select("r.*").orderBy(F.desc("bytes"), "field")
 
 
 def listing(crawls: DataFrame, collections: DataFrame) -> DataFrame:

@@ -24,12 +24,10 @@ COLLECTION_KEYS = ("id", "name", "publicly_visible", "created_date", "last_crawl
 Download = Callable[[str, str], None]
 
 
-def crawl_plan(spark: SparkSession, files: list[dict], jobs: list[dict]) -> DataFrame:
+def planned(files: DataFrame, jobs: DataFrame) -> DataFrame:
     """crawl, files, bytes, importable: files by crawl, with what its job says; a crawl whose job isn't listed is kept."""
-    plan = catalog.plan_crawls(files_table(spark, files))
-    known = jobs_table(spark, jobs)
-    stated = known.select(F.col("id").alias("crawl"), catalog.importable(known).alias("finished"))
-    return plan.join(stated, "crawl", "left").select("crawl", "files", "bytes", F.coalesce("finished", F.lit(True)).alias("importable"))
+    stated = jobs.select(F.col("id").alias("crawl"), catalog.importable(jobs).alias("finished"))
+    return catalog.plan_crawls(files).join(stated, "crawl", "left").select("crawl", "files", "bytes", F.coalesce("finished", F.lit(True)).alias("importable"))
 
 
 def year_span(files: list[dict]) -> str | None:
@@ -60,7 +58,7 @@ def import_crawls(spark: SparkSession, client: ArchiveItClient, home: str, into:
     done = {(r.get("importer_host"), r.get("importer_collection"), r.get("importer_item")) for r in manifest.rows.values()}
     outcome = {"imported": [], "skipped": [], "failed": []}
     shutil.rmtree(os.path.join(home, STAGING), ignore_errors=True)
-    for row in crawl_plan(spark, files, jobs).orderBy("crawl").collect():
+    for row in planned(files_table(spark, files), jobs_table(spark, jobs)).orderBy("crawl").collect():
         crawl, own = row["crawl"], by_crawl.get(row["crawl"], [])
         source = next((f["collection"] for f in own if f.get("collection")), 0)
         if not row["importable"] or (not force and (client.host, source, str(crawl)) in done):

@@ -266,7 +266,7 @@ def documents_derived(spark, sf_dir):
 @query(f"""
 WITH {CAP}, rec AS (
   SELECT crawl_id, 'http://m.example.org/' || (page_id % 40) AS url, doc_id AS seq, CASE WHEN repeat = 2 THEN 'text' ELSE 'html' END AS kind, timestamp,
-         CASE WHEN doc_id % 5 = 0 THEN '' ELSE title END AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(body, 80) END AS body, status FROM docs),
+         CASE WHEN doc_id % 5 = 0 THEN '' ELSE title END AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE body END AS body, status FROM docs),
 g AS (
   SELECT crawl_id, url, arg_max(title, seq) FILTER (WHERE kind = 'html' AND title <> '') AS ht, arg_max(body, seq) FILTER (WHERE kind = 'html' AND body <> '') AS hb,
          arg_max(timestamp, seq) FILTER (WHERE kind = 'html') AS hts, arg_min(timestamp, seq) FILTER (WHERE kind = 'text') AS tts,
@@ -279,16 +279,10 @@ def merge_pages(spark, sf_dir):
     d = captures(spark, sf_dir)
     p, r = F.floor(F.col("doc_id") / 4), F.col("doc_id") % 4
     blank = F.lit("")
-    rec = d.select("crawl_id", F.concat(F.lit("http://m.example.org/"), (p % 40).cast("string")).alias("url"), F.col("doc_id").alias("seq"), F.when(r == 2, "text").otherwise("html").alias("kind"), "timestamp", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.left("body", F.lit(80))).alias("body"), blank.alias("description"), blank.alias("headings"), blank.alias("keywords"), blank.alias("author"), "lang", "media_type", "status", "modified")
+    rec = d.select("crawl_id", F.concat(F.lit("http://m.example.org/"), (p % 40).cast("string")).alias("url"), F.col("doc_id").alias("seq"), F.when(r == 2, "text").otherwise("html").alias("kind"), "timestamp", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("body")).alias("body"), blank.alias("description"), blank.alias("headings"), blank.alias("keywords"), blank.alias("author"), "lang", "media_type", "status", "modified")
     return documents.merge_pages(rec).select("crawl_id", "url", "timestamp", "title", "body", "status")
 
 
-@query(f"WITH {CAP} SELECT doc_id, crawl_id FROM docs WHERE crawl_id <> left(sha256('crawl-3'), 8)")
-def delete_crawl(spark, sf_dir):
-    gone = spark.range(1).select(X.hash8(F.lit("crawl-3")).alias("crawl_id"))
-    return docs(spark, sf_dir).select("doc_id", "crawl_id").join(gone, "crawl_id", "left_anti").select("doc_id", "crawl_id")
-
-
 # ---------------------------------------------------------------- index
 
 
