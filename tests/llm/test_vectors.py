@@ -20,7 +20,7 @@ def brute(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"SLICE": 100, "GROUP": 3}])
+@pytest.mark.parametrize("limits", [{}, {"SLICE_BYTES": 8 * 12 * 50, "GROUP": 3}])
 def test_topk(spark, monkeypatch, limits):
     for name, v in limits.items():
         monkeypatch.setattr(topk, name, v)
@@ -44,3 +44,33 @@ def test_few_vectors(spark):
 def test_repeated_queries(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (0, [1.0], 0), (1, [2.0], 0), (1, [2.0], 0)], SCHEMA)
     assert [tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
+
+
+def test_reach_of_queries():
+    tops = np.array([100.0, 50.0, 20.0, 1.0])
+    # 10 * 50 reaches 500 and 10 * 20 doesn't; no floor sees all; a zero query with a floor of 0 too
+    assert topk.reaches(np.array([10.0, 10.0, 0.0, 0.0, 10.0]), np.array([500.0, -np.inf, 0.0, 5.0, 2000.0]), tops).tolist() == [2, 4, 4, 0, 0]
+
+
+def test_most_slices_are_skipped(spark, monkeypatch):
+    """Vectors of falling length in one direction: the longest few answer all queries."""
+    monkeypatch.setattr(topk, "SLICE_BYTES", 8 * 4 * 20)
+    seen = []
+    plain = topk.reaches
+    monkeypatch.setattr(topk, "cut", lambda df, name, cut=topk.cut: (seen.append((name, out := cut(df, name))), out)[1])
+    rows = [(i, [300.0 / (i + 1), 1.0 / (i + 1), 0.0, 0.0]) for i in range(400)]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
+    assert {tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0).collect()} == brute(rows)
+    tables = dict(seen)
+    slices = tables["slices"].select("slice").distinct().count()
+    assert plain is topk.reaches and slices > 5 and tables["reaches"].count() <= 2
+
+
+def test_bounds_hold_with_floors():
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-200, 200, (300, 10)), rng.integers(-200, 200, (20, 10))
+    rotation = np.linalg.svd((x.T @ x).astype(float))[0]
+    scores = q @ x.T
+    floor = np.sort(scores, 1)[:, -5].astype(float)
+    row, name, score = topk.best(x, np.arange(300), q, np.full(20, -1), rotation, 5, floor=floor)
+    assert all(sorted(score[row == i].tolist()) == sorted(np.sort(scores[i])[-5:].tolist()) for i in range(20))

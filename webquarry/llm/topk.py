@@ -1,12 +1,16 @@
 """Exact top-k by inner product over norm-sorted vectors with rotated partial sums.
 
-Vectors are quantised to integers. A rotation from the SVD of a bounded sample gathers most of a vector's
-length in its first components. Candidates are dealt to slices and queries to groups, both of bounded
-size; a task takes one slice and one group. It walks the slice by descending length in growing blocks:
-a query whose length times the block's greatest length is below its k-th score is done; for the others
-the partial product over the first components plus the product of the residual lengths
-(Cauchy-Schwarz) bounds each score from above, and only candidates whose bound reaches the k-th score
-get their exact integer product. The k best of each slice are merged for each query.
+Vectors are quantised to integers and range-partitioned by descending length into slices of bounded size.
+A rotation from the SVD of a bounded sample gathers most of a vector's length in its first components.
+All queries meet the slice of the longest vectors first, which gives each a floor, the k-th score so far.
+A query goes on only to those further slices whose greatest length times its own reaches its floor; as
+slices are ordered by length, these are the first few. Queries of like reach form groups, and a slice is
+dealt only to groups that reach it: whole slices are skipped, for most queries most of them. Inside a
+slice a task walks by descending length in growing blocks: a query whose length times the block's
+greatest length is below its floor is done; for the others the partial product over the first components
+plus the product of the residual lengths (Cauchy-Schwarz) bounds each score from above, and only
+candidates whose bound reaches the floor get their exact integer product. The k best of all slices are
+merged for each query.
 
 The rotation only decides how much is pruned; bounds carry a margin for rounding, so results are exact.
 
@@ -27,8 +31,8 @@ from pyspark.sql.window import Window
 from webquarry.llm.common import columns, cut
 
 SCALE, K = 256, 5
-#: Candidates of a slice, queries of a group, vectors that the rotation is fitted on, components of a partial sum.
-SLICE, GROUP, SAMPLE, PARTIAL = 4096, 2048, 4096, 16
+#: Bytes of a slice's components, queries of a group, vectors that the rotation is fitted on, components of a partial sum.
+SLICE_BYTES, GROUP, SAMPLE, PARTIAL = 16 << 20, 4096, 4096, 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -48,8 +52,8 @@ def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, rotation: np.ndarray, k: int, partial: int = PARTIAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, score) of each query's k best of x."""
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, rotation: np.ndarray, k: int, partial: int = PARTIAL, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of each query's k best of x; below its floor a query may get fewer."""
     exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**53
     norm = np.sqrt((x.astype(float) ** 2).sum(1))
     order = np.lexsort((ids, -norm))
@@ -60,7 +64,7 @@ def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, rotat
     x_rest, q_rest = rest(norm, xr[:, :partial]), rest(q_norm, qr[:, :partial])
     xf, qf = x.astype(float), q.astype(float)
     kept = [np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0, np.int64)]
-    floor = np.full(len(q), -np.inf)  # k-th score so far
+    floor = np.full(len(q), -np.inf) if floor is None else floor.copy()  # k-th score so far
     live, at, size = np.arange(len(q)), 0, 64
     while at < len(x) and len(live):
         b = slice(at, at + size)
@@ -80,30 +84,64 @@ def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, rotat
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         ok = rank < k
         full = rank == k - 1
-        floor[row[full]] = score[full]
+        floor[row[full]] = np.maximum(floor[row[full]], score[full])
         kept = [row[ok], name[ok], score[ok]]
         at, size = at + size, min(2 * size, 1024)
     return kept[0], kept[1], kept[2]
 
 
+def reaches(norm: np.ndarray, floor: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """How many slices each query must see: tops are the slices' greatest lengths, descending."""
+    margin = 1e-6 * (1 + norm * (tops[0] if len(tops) else 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(norm > 0, (floor - margin) / norm, np.where(floor <= margin, -np.inf, np.inf))
+    return np.searchsorted(-tops, -least, side="right")
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other vectors."""
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)["vec_id"]
-    whole = cut(quantised(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    whole = cut(quantised(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))).withColumn("norm", norm), "vectors")
     many, asked, width = whole.agg(F.count("*"), F.count_if("is_query"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(1, width)
     sample = whole.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(1, many)) * (1 << 20))).select("v").toArrow()
     m = _matrix(sample["v"], width).astype(float)
     rotation = np.linalg.svd(m.T @ m)[0]
-    slices, groups = max(1, -(-many // SLICE)), max(1, -(-asked // GROUP))
-    candidates = whole.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("slice")), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    queries = whole.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("group")), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    slices, groups = max(1, -(-many * width * 8 // SLICE_BYTES)), max(1, -(-asked // GROUP))
+    longest_first = (F.desc("norm"), "vec_id")
+    ranged = cut(whole.select("vec_id", "v", "norm").repartitionByRange(slices, *longest_first).withColumn("slice", F.spark_partition_id()), "slices")
+    # one number for each slice of SLICE_BYTES
+    bounds = ranged.groupBy("slice").agg(F.max("norm").alias("top")).orderBy("slice").toPandas()
+    numbers, tops = bounds["slice"].to_numpy(), bounds["top"].to_numpy()
+    queries = whole.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "v", "norm")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, ids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        row, name, score = best(_matrix(left["v"], width), ids, _matrix(right["v"], width), q_ids, rotation, k)
+        row, name, score = best(_matrix(left["v"], width), ids, _matrix(right["v"], width), q_ids, rotation, k, floor=right["floor"].to_numpy())
         return pa.table({"query_id": pa.array(q_ids[row], right.schema.field("vec_id").type), "vec_id": pa.array(name, left.schema.field("vec_id").type), "score": pa.array(score, pa.int64())})
 
-    found = candidates.groupBy("slice", "group").cogroup(queries.groupBy("slice", "group")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score bigint")
+    def meet(candidates: DataFrame, asking: DataFrame) -> DataFrame:
+        return candidates.groupBy("slice", "group").cogroup(asking.groupBy("slice", "group")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score bigint")
+
+    first = int(numbers[0]) if len(numbers) else 0
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    opening = queries.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), F.lit(first).alias("slice"))
+    found = cut(meet(ranged.where(F.col("slice") == first).select("vec_id", "v", "slice", every), opening), "first-slice")
+    if len(numbers) > 1:
+        floors = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("floor"))
+        known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "v", "norm", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+
+        def reach(batches):
+            for b in batches:
+                yield b.append_column("reach", pa.array(reaches(b["norm"].to_numpy(), b["floor"].to_numpy(), tops), pa.int32()))
+
+        going = known.mapInArrow(reach, f"vec_id {kind}, v array<bigint>, norm double, floor double, reach int").where("reach > 1")
+        going = cut(going.repartitionByRange(groups, "reach", "vec_id").withColumn("group", F.spark_partition_id()), "reaches")
+        number = F.element_at(F.lit(numbers.tolist()).cast("array<int>"), F.col("at"))
+        dealt = lambda df: df.withColumn("at", F.explode(F.sequence(F.lit(2), F.col("reach")))).withColumn("slice", number)
+        pairs = dealt(going.groupBy(F.col("group").alias("dealt_to")).agg(F.max("reach").alias("reach"))).select("slice", (F.col("dealt_to") + 0).alias("group"))
+        rest = meet(ranged.select("vec_id", "v", "slice").join(pairs, "slice"), dealt(going).select("vec_id", "v", "floor", "group", "slice"))
+        found = found.union(rest)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
