@@ -474,4 +474,69 @@ def test_maxent_beats_its_base_on_held_out_text(spark, sf):
 
 def test_class_probabilities_sum_to_one():
     w, b = np.random.default_rng(0).normal(size=(maxent_lm.FEATURES, maxent_lm.CLASSES)), np.zeros(maxent_lm.CLASSES)
-    assert np.exp(maxent_lm.log_softmax(w, b, maxent_lm.features())).sum(1) == pytest.approx(1)
+    assert np.exp(maxent_lm.log_softmax(w, b, maxent_lm.features(np.arange(maxent_lm.STATES**2)))).sum(1) == pytest.approx(1)
+
+
+def test_word_probabilities_sum_to_one():
+    """All words of a class and one unknown word."""
+    key = np.unique(np.random.default_rng(1).integers(0, 2**62, 500).astype(np.uint64))
+    count = np.arange(len(key)) % 7 + 1
+    cls = maxent_lm.classes(key, key[:5])
+    sums = np.bincount(cls, weights=count, minlength=maxent_lm.CLASSES) + np.bincount(cls, minlength=maxent_lm.CLASSES)
+    model = maxent_lm.Model(key[:5], key[:5], None, None, np.log10(sums + 1.0))
+    p = 10 ** model.of_words(key, count)
+    for c in range(maxent_lm.HASHED):
+        assert p[cls == c].sum() + 10 ** -model.inside[c] == pytest.approx(1)
+
+
+def test_scores_by_one_word_after_the_other(docs, monkeypatch):
+    """Every factor of every score again, in plain loops over the words, from the trained weights."""
+    import math
+
+    kept = []
+    plain = maxent_lm.train
+    monkeypatch.setattr(maxent_lm, "train", lambda counts: kept.append(plain(counts)) or kept[-1])
+    tops = []
+    found = maxent_lm.frequent_words
+    monkeypatch.setattr(maxent_lm, "frequent_words", lambda d: tops.append(found(d)) or tops[-1])
+    got = by_id(maxent_lm.scored(docs, maxent_lm.fold_of() % 7 == 2))
+    (weights, bias), top = kept[0], tops[0]
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    key_of, texts = {}, {i: WORD.findall(t.encode().translate(low)) for i, t in TEXT.items()}
+    for i, own in texts.items():
+        keys, _ = maxent_lm.tokens(np.frombuffer(b" ".join(own), np.uint8), np.array([0, len(b" ".join(own))]))
+        key_of |= dict(zip(own, map(int, keys), strict=False))
+    train = [w for i, own in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in own]
+    count = collections.Counter(train)
+    ranked = sorted(count, key=lambda w: (-count[w], np.uint64(key_of[w]).astype(np.int64)))
+    assert [key_of[w] for w in ranked[: maxent_lm.NAMED]] == [int(k) for k in top]
+    frequent, named = sorted(int(k) for k in top[: maxent_lm.FREQUENT]), sorted(int(k) for k in top)
+    class_of = lambda w: maxent_lm.END_CLASS if w is None else maxent_lm.HASHED + frequent.index(key_of[w]) if key_of[w] in frequent else key_of[w] % maxent_lm.HASHED
+    members = collections.defaultdict(set)
+    for w in count:
+        members[class_of(w)].add(w)
+
+    def state(w):
+        if w is None:
+            return maxent_lm.BORDER
+        return named.index(key_of[w]) if key_of[w] in named else int(maxent_lm.states(np.array([key_of[w]], np.uint64), np.array(named, np.uint64))[0])
+
+    for i in list(texts)[:40]:
+        own, score = [None, None, *texts[i], None], 0.0
+        for k in range(2, len(own)):
+            f = maxent_lm.features(np.array([state(own[k - 2]) * maxent_lm.STATES + state(own[k - 1])]))[0]
+            z = [sum(weights[x][c] for x in f) + bias[c] for c in range(maxent_lm.CLASSES)]
+            top_z, c = max(z), class_of(own[k])
+            score += (z[c] - top_z - math.log(sum(math.exp(v - top_z) for v in z))) / math.log(10)
+            if c < maxent_lm.HASHED:
+                score += math.log10((count[own[k]] + 1) / (sum(count[w] for w in members[c]) + len(members[c]) + 1))
+        assert got[i]["score"] == pytest.approx(score), i
+
+
+def test_uneven_ids_do_not_meet_in_one_unit(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "UNIT", 4)
+    rows = [(i, f"word{i % 5} again", "en", "a", 0) for i in range(100)] + [(10**15, "far away", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    units, many = maxent_lm._units(docs, "bigint")
+    assert many == 101 and max(r["count"] for r in units.groupBy("unit").count().collect()) < 20
+    assert maxent_lm.scored(docs, maxent_lm.fold_of() % 7 == 2).count() == 101
