@@ -239,6 +239,20 @@ def test_hits_are_compared_by_content(spark, monkeypatch):
         exact_dedup._verified(docs, docs.select(F.unhex(real(F.lit("same"), 256)).alias("digest")), "text")
 
 
+def test_texts_of_hits_pass_the_bitmap(spark):
+    """Every digest's own place is set, wherever it lies; few others are."""
+    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    some = docs.where("text < 'text 2'").select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    exact_dedup._verified(docs, some, "text")
+    places = some.select(exact_dedup._places("digest").alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
+    bits = np.zeros(exact_dedup.PLACES, bool)
+    for r in places:
+        own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        bits[(r["k"] - 1) * len(own) : r["k"] * len(own)] |= own.astype(bool)
+    at = np.array([r["at"] for r in some.select(exact_dedup._places("digest").alias("at")).collect()])
+    assert bits[at].all() and bits.sum() == len(set(at.tolist()))
+
+
 def test_deduplicate_of_null_and_repeated_ids(spark):
     rows = [(None, "a"), (None, "a"), (2, "a"), (2, "a"), (None, "b"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", *[F.lit(1).alias(c) for c in ("digest", "mark", "group_keep", "_keep", "_digest")])

@@ -31,6 +31,8 @@ from webquarry.llm.common import columns, cut, discard, fresh, partitions, scrat
 
 #: Rows that a scan task gathers before it collapses equal ones; digests that a new filter has room for; fill at which one is resized.
 COLLAPSE_ROWS, ROOM, FULL = 500_000, 1024, 0.85
+#: Bits of the bitmap of hits.
+PLACES = 1 << 24
 
 
 class FilterFull(Exception):
@@ -205,15 +207,28 @@ def _bucket(digest: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(buckets)).cast("int")
 
 
+def _places(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit("place")), F.lit(PLACES))
+
+
 def _verified(docs: DataFrame, hits: DataFrame, text: str) -> None:
-    """Compare the texts of every digest that hit; the answer is that equal hashes mean equal texts, or an error."""
+    """Compare the texts of every digest that hit; the answer is that equal hashes mean equal texts, or an error.
+
+    A bitmap of fixed size over the hits' digests goes to all scan tasks, and texts outside of it stay where they are.
+    The more hits, the more texts pass it; at worst all move, and none is missed.
+    """
+    parts = hits.select(_places("digest").alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
+    bitmap = np.zeros(PLACES // 8, np.uint8)
+    for r in parts:  # these functions count from 1: bucket k holds the places from (k - 1) * 32768 on
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bitmap[(r["k"] - 1) * len(bits) : r["k"] * len(bits)] |= bits
     body = columns(docs, text).select(text_or_empty(text).alias("body")).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
-    # how few they are decides how they are brought together: Spark knows the size of the written hits
-    some = body.join(hits.select("digest").distinct(), "digest", "left_semi").select("digest", F.xxhash64("body").alias("mark"), "body")
+    some = body.select("digest", F.xxhash64("body").alias("mark"), "body", _places("digest").alias("at"))
 
     def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
+            at = b["at"].to_numpy()
+            t = pa.Table.from_batches([b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1, pa.bool_()))]).drop_columns("at")
             t = t.append_column("at", pa.array(np.arange(len(t))))
             yield from t.take(t.group_by(["digest", "mark", "body"]).aggregate([("at", "min")])["at_min"]).drop_columns("at").combine_chunks().to_batches()
 
