@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from webquarry.llm.common import columns, cut
 
 SCALE, K = 256, 5
-#: Bytes of a slice's components, queries of a group, vectors that the rotation is fitted on, components of a partial sum.
-SLICE_BYTES, GROUP, SAMPLE, PARTIAL = 16 << 20, 4096, 4096, 16
+#: Bytes of a slice's components, queries of a group (in the opening slice, and beyond), vectors that the rotation is fitted on, components of a partial sum.
+SLICE_BYTES, OPENING, GROUP, SAMPLE, PARTIAL = 4 << 20, 256, 2048, 4096, 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -125,8 +125,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SC
         return candidates.groupBy("slice", "group").cogroup(asking.groupBy("slice", "group")).applyInArrow(search, f"query_id {kind}, vec_id {kind}, score bigint")
 
     first = int(numbers[0]) if len(numbers) else 0
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    opening = queries.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), F.lit(first).alias("slice"))
+    openings = max(1, -(-asked // OPENING))
+    every = F.explode(F.sequence(F.lit(0), F.lit(openings - 1))).alias("group")
+    opening = queries.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.pmod(F.xxhash64("vec_id"), F.lit(openings)).cast("int").alias("group"), F.lit(first).alias("slice"))
     found = cut(meet(ranged.where(F.col("slice") == first).select("vec_id", "v", "slice", every), opening), "first-slice")
     if len(numbers) > 1:
         floors = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("floor"))
