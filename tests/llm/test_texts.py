@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webquarry.llm import exact_dedup, langid, maxent_lm, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
+from webquarry.llm import common, exact_dedup, langid, maxent_lm, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
 from webquarry.llm.queries import OP2_SQL, OP4_SQL, tokenizer
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -239,18 +239,21 @@ def test_hits_are_compared_by_content(spark, monkeypatch):
         exact_dedup._verified(docs, docs.select(F.unhex(real(F.lit("same"), 256)).alias("digest")), "text")
 
 
-def test_texts_of_hits_pass_the_bitmap(spark):
-    """Every digest's own place is set, wherever it lies; few others are."""
-    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    some = docs.where("text < 'text 2'").select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-    exact_dedup._verified(docs, some, "text")
-    places = some.select(exact_dedup._places("digest").alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
-    bits = np.zeros(exact_dedup.PLACES, bool)
-    for r in places:
-        own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        bits[(r["k"] - 1) * len(own) : r["k"] * len(own)] |= own.astype(bool)
-    at = np.array([r["at"] for r in some.select(exact_dedup._places("digest").alias("at")).collect()])
-    assert bits[at].all() and bits.sum() == len(set(at.tolist()))
+def test_a_bitmap_parts_documents(spark):
+    """Every key's own place is set, wherever it lies, and few documents pass by chance."""
+    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("among"))
+    keys = docs.where("text < 'text 2'").select("text")
+    some, alone = common.parted(docs, F.col("text"), keys)
+    assert some.columns == docs.columns and some.count() + alone.count() == 3000
+    assert keys.join(some, "text", "left_anti").count() == 0 and keys.count() <= some.count() <= keys.count() + 2
+    at = [r["at"] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, (0, 7, 8, 32767, 32768, common.PLACES - 1)))).alias("at")).collect()]
+    kept = common.places
+    try:
+        common.places = lambda key: F.col(key).cast("bigint") if isinstance(key, str) else key.cast("bigint")
+        bits = np.unpackbits(common.bitmap(spark.createDataFrame([(x,) for x in at], "at bigint")), bitorder="little")
+    finally:
+        common.places = kept
+    assert np.flatnonzero(bits).tolist() == sorted(at)
 
 
 def test_deduplicate_of_null_and_repeated_ids(spark):

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,42 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of a bitmap of keys: its size is fixed, whatever the number of keys.
+PLACES = 1 << 24
+
+
+def places(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("place")), F.lit(PLACES))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """PLACES bits, as bytes, with the place of every key (the one column of keys) set; put together by the executors."""
+    at = keys.select((places(keys.columns[0]) + 1).alias("at"))  # the bitmap functions count from 1
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(PLACES // 8, np.uint8)
+    for r in parts:
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["k"] - 1) * len(bits) : r["k"] * len(bits)] |= bits
+    return out
+
+
+def parted(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs whose key may be among the keys, and docs whose key surely isn't.
+
+    A bitmap of fixed size goes to all tasks, so the second part never has to move for a join with keys. The more keys,
+    the more documents are in the first part; at worst all are.
+    """
+    bits, flag = bitmap(keys), fresh(docs, "among")
+
+    @F.pandas_udf("boolean")
+    def among(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    flagged = docs.withColumn(flag, among(places(key)))
+    return flagged.where(F.col(flag)).drop(flag), flagged.where(~F.col(flag)).drop(flag)
+
+
 # ---------------------------------------------------------------- numpy
 
 

@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import columns, cut, discard, fresh, partitions, scratch_dir, shuffles_dropped, text_or_empty
+from webquarry.llm.common import columns, cut, discard, fresh, parted, partitions, scratch_dir, shuffles_dropped, text_or_empty
 
 #: Rows that a scan task gathers before it collapses equal ones; digests that a new filter has room for; fill at which one is resized.
 COLLAPSE_ROWS, ROOM, FULL = 500_000, 1024, 0.85
-#: Bits of the bitmap of hits.
-PLACES = 1 << 24
 
 
 class FilterFull(Exception):
@@ -207,28 +205,17 @@ def _bucket(digest: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(buckets)).cast("int")
 
 
-def _places(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit("place")), F.lit(PLACES))
-
-
 def _verified(docs: DataFrame, hits: DataFrame, text: str) -> None:
     """Compare the texts of every digest that hit; the answer is that equal hashes mean equal texts, or an error.
 
-    A bitmap of fixed size over the hits' digests goes to all scan tasks, and texts outside of it stay where they are.
-    The more hits, the more texts pass it; at worst all move, and none is missed.
+    Texts whose digest surely didn't hit stay where they are.
     """
-    parts = hits.select(_places("digest").alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
-    bitmap = np.zeros(PLACES // 8, np.uint8)
-    for r in parts:  # these functions count from 1: bucket k holds the places from (k - 1) * 32768 on
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bitmap[(r["k"] - 1) * len(bits) : r["k"] * len(bits)] |= bits
     body = columns(docs, text).select(text_or_empty(text).alias("body")).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
-    some = body.select("digest", F.xxhash64("body").alias("mark"), "body", _places("digest").alias("at"))
+    some = parted(body, F.col("digest"), hits.select("digest"))[0].select("digest", F.xxhash64("body").alias("mark"), "body")
 
     def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b["at"].to_numpy()
-            t = pa.Table.from_batches([b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1, pa.bool_()))]).drop_columns("at")
+            t = pa.Table.from_batches([b])
             t = t.append_column("at", pa.array(np.arange(len(t))))
             yield from t.take(t.group_by(["digest", "mark", "body"]).aggregate([("at", "min")])["at_min"]).drop_columns("at").combine_chunks().to_batches()
 
@@ -273,12 +260,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     names = [fresh(docs, n) for n in ("group_digest", "group_mark", "group_keep")]
-    found = groups(docs).select(*[F.col(c).alias(n) for c, n in zip(("digest", "mark", "keep_id"), names, strict=True)])
+    written = groups(docs)
+    found = written.select(*[F.col(c).alias(n) for c, n in zip(("digest", "mark", "keep_id"), names, strict=True)])
     digest, mark, keep = (F.col(n) for n in names)
     body = text_or_empty("`text`")
+    own = F.unhex(F.sha2(body.cast("binary"), 256))
+    some, alone = parted(docs, own, written.select("digest"))
     # a document goes if its text has a group that keeps another
-    gone = (F.unhex(F.sha2(body.cast("binary"), 256)) == digest) & (F.xxhash64(body) == mark) & ~docs["doc_id"].eqNullSafe(keep)
-    return docs.join(found, gone, "left_anti")
+    gone = (own == digest) & (F.xxhash64(body) == mark) & ~some["doc_id"].eqNullSafe(keep)
+    return alone.union(some.join(found, gone, "left_anti"))
 
 
 # ---------------------------------------------------------------- batch by batch

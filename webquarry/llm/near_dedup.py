@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, fresh, mix, pair, passes, run_hash, text_buffer, text_or_empty, word_hashes
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, fresh, mix, pair, parted, passes, run_hash, text_buffer, text_or_empty, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -274,7 +274,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     pairs = cut(members.withColumnRenamed("digest", "a").join(lead, "band").where("a <> b").select("a", "b").distinct(), "pairs")
     ids = members.select("digest").distinct()
     body = columns(docs, "text").select(text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    texts = cut(body.join(ids, "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
+    # the texts of candidates move, the rest stays
+    texts = cut(parted(body, F.col("digest"), ids)[0].join(ids, "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
     discard(members)
     tried = cut(compared(pairs, texts), "compared")
     discard(pairs)
@@ -307,7 +308,8 @@ def _classed(docs: DataFrame, similarity: float) -> DataFrame:
 
 def thin(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, one of each class, with all their columns."""
-    id_, digest = fresh(docs, "stay_id"), fresh(docs, "stay_digest")
-    stay = _classed(docs, similarity).where("kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct()
+    id_, digest = fresh(docs, "gone_id"), fresh(docs, "gone_digest")
+    gone = cut(_classed(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct(), "gone")
     own = F.unhex(F.sha2(text_or_empty("`text`").cast("binary"), 256))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col(id_)) & (own == F.col(digest)), "left_semi")
+    some, alone = parted(docs, own, gone.select(digest))
+    return alone.union(some.join(gone, some["doc_id"].eqNullSafe(F.col(id_)) & (own == F.col(digest)), "left_anti"))
