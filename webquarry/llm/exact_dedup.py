@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import columns, cut, discard, fresh, parted, partitions, scratch_dir, shuffles_dropped, text_or_empty
+from webquarry.llm.common import bitmap, columns, cut, discard, fresh, parted, partitions, places, scratch_dir, shuffles_dropped, text_or_empty
 
 #: Rows that a scan task gathers before it collapses equal ones; digests that a new filter has room for; fill at which one is resized.
 COLLAPSE_ROWS, ROOM, FULL = 500_000, 1024, 0.85
@@ -208,14 +208,16 @@ def _bucket(digest: str, buckets: int) -> Column:
 def _verified(docs: DataFrame, hits: DataFrame, text: str) -> None:
     """Compare the texts of every digest that hit; the answer is that equal hashes mean equal texts, or an error.
 
-    Texts whose digest surely didn't hit stay where they are.
+    Texts whose digest surely didn't hit stay where they are. The test is part of the step in Python that follows: one worker for each task.
     """
+    bits = bitmap(hits.select("digest"))
     body = columns(docs, text).select(text_or_empty(text).alias("body")).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
-    some = parted(body, F.col("digest"), hits.select("digest"))[0].select("digest", F.xxhash64("body").alias("mark"), "body")
+    some = body.select("digest", F.xxhash64("body").alias("mark"), "body", places("digest").alias("at"))
 
     def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
+            at = b["at"].to_numpy()
+            t = pa.Table.from_batches([b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))]).drop_columns("at")
             t = t.append_column("at", pa.array(np.arange(len(t))))
             yield from t.take(t.group_by(["digest", "mark", "body"]).aggregate([("at", "min")])["at_min"]).drop_columns("at").combine_chunks().to_batches()
 
