@@ -1,7 +1,7 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences.
 
-Documents become pieces of at most `capacity` tokens. Pieces and gaps are range-sorted by length. One
-superstep takes the longest pieces that are left, all of one length, and sweeps the gaps upwards for the
+Documents become pieces of at most `capacity` tokens. Pieces and gaps are taken as classes sorted by length,
+not as rows range-sorted over the cluster. One superstep takes the longest pieces that are left, all of one length, and sweeps the gaps upwards for the
 successor: the tightest gap that holds them. Conflicts between pieces that want the same gaps are
 resolved by rank: the r-th piece of a length takes the r-th place. Then gaps shrink and the next
 superstep follows. A sweep needs to know how many pieces have each length and how many sequences have

@@ -12,7 +12,8 @@ in the hash partition of a shared key. There
 3. a walk over the array's runs of common prefixes, joined with the same order of what precedes the
    anchor, gives each suffix its longest reach to the left and right of which the sum is 200 or more.
 
-Comparison is of bytes, not of hashes. Bytes within a reach go.
+Suffixes with equal surroundings are told by a 64-bit hash of these 384 bytes; all other comparison is of
+bytes. Bytes within a reach go.
 
 A suffix that is settled inside its task sends one row for all its copies, so a text that makes up a
 third of all rows reaches a key's task once for each scan task.
