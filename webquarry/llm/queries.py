@@ -93,6 +93,52 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, z, substr(x, 2 * z + 1, 1398) AS y FROM (SELECT r, x, unnest(range(0, strlen(x) // 2, 500)) AS z FROM d)),
+s AS (SELECT r, z + i AS i, md5_number(substr(y, 2 * i + 1, 400)) AS h FROM (SELECT r, z, y, unnest(range(0, least(500, strlen(y) // 2 - 199))) AS i FROM c)),
+t AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS last FROM t),
+b AS (SELECT r, i, sum((last IS NULL OR i > last + 200)::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+p AS (
+  SELECT r, min(i) AS low, max(i) + 200 AS high FROM b GROUP BY r, span
+  UNION ALL SELECT r, strlen(x) // 2, strlen(x) // 2 FROM d),
+q AS (SELECT r, low, high, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low, high) AS since FROM p),
+k AS (
+  SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) FILTER (high > low) AS n_spans,
+         string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' ORDER BY low, high) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k USING (r)
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+h AS (SELECT r, n, i, word, md5_number(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM s),
+m AS (SELECT r, i, word, count(*) FILTER (i + 34 <= n) OVER (PARTITION BY h) > 1 AND i + 34 <= n AS twice FROM h),
+c AS (SELECT r, i, word, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS id, count(*) AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents GROUP BY ALL),
+s AS (
+  SELECT id, h, count(*) AS n
+  FROM (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: md5_number(array_to_string(w[i:i+4], ' ')))) AS h FROM t)
+  GROUP BY id, h),
+z AS (SELECT id, sum(n) AS total FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id <> b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM o JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE 9 * shared >= 4 * (za.total + zb.total)),
+m AS (SELECT id AS a, id AS b FROM t UNION SELECT m.a, l.b FROM m JOIN l ON m.b = l.a),
+c AS (SELECT a AS id, min(b) AS class_id FROM m GROUP BY a),
+f AS (SELECT class_id, sum(n)::BIGINT AS class_size FROM c JOIN t USING (id) GROUP BY class_id)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN c USING (id) JOIN f USING (class_id)
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -117,4 +163,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_maxent_lm": op10_maxent_lm,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": OP1_SQL,
+    "op2_mixing": OP2_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
+    "op9_exact_topk": OP9_SQL,
+}
