@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webquarry.llm import common, exact_dedup, langid, maxent_lm, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup
-from webquarry.llm.queries import OP2_SQL, OP4_SQL, tokenizer
+from webquarry.llm.queries import OP1_SQL, OP2_SQL, OP4_SQL, OP7_SQL, OP8_SQL, tokenizer
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -100,6 +100,40 @@ def test_repeated_rows_and_null_ids(spark, name):
     assert OPERATORS[name](spark.createDataFrame(rows, SCHEMA)).count() == 5
 
 
+def long_rows():
+    """Two near texts longer than a pass over a batch, with a passage that short texts share."""
+    rng = random.Random(11)
+    passage = words(rng, "en", 70)
+    long = " ".join([words(rng, "en", 200_000), passage, words(rng, "fr", 200_000), passage])
+    assert len(long) > common.PASS_BYTES
+    changed = long.split(" ")
+    changed[5:300_000:1000] = ["other"] * len(changed[5:300_000:1000])
+    return [(1, long, "en", "a", 0), (2, " ".join(changed), "en", "b", 0), (3, words(rng, "fr", 30) + " " + passage, "fr", "b", 0), (4, None, "en", "a", 0), (5, "short", "fr", None, 0), (6, "short", "fr", None, 0)]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    rows = long_rows()
+    return rows, spark.createDataFrame(rows, SCHEMA).coalesce(1)
+
+
+@pytest.mark.parametrize(("name", "query"), [("suffix", OP1_SQL), ("mixing", OP2_SQL), ("exact", OP4_SQL), ("substring", OP7_SQL), ("near", OP8_SQL)])
+def test_texts_beyond_one_pass(long_docs, name, query):
+    rows, docs = long_docs
+    got = by_id(OPERATORS[name](docs))
+    for i, want in sql(query, rows).items():
+        assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in want.items()} == {k: got[i][k] for k in want}
+
+
+def test_long_texts_are_read_whole(long_docs):
+    rows, docs = long_docs
+    n = {r[0]: len(WORD.findall((r[1] or "").encode())) for r in rows}
+    assert {i: r["n_tokens"] for i, r in by_id(OPERATORS["maxent"](docs)).items()} == {i: k + 1 for i, k in n.items()}
+    pieces = OPERATORS["packing"](docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert all(r["n"] > n[r["doc_id"]] and r["k"] == -(-r["n"] // 2048) for r in pieces)
+    assert {i: r["lang_pred"] for i, r in by_id(OPERATORS["language"](docs)).items()}.keys() == n.keys()
+
+
 def brute_spans(symbols, k):
     """Symbols covered by runs of k that start anywhere else too."""
     count = collections.Counter(tuple(s[i : i + k]) if isinstance(s, list) else s[i : i + k] for s in symbols.values() for i in range(len(s) - k + 1))

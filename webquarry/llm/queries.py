@@ -125,10 +125,10 @@ OP8_SQL = r"""
 WITH RECURSIVE t AS (
   SELECT coalesce(text, '') AS text, min(doc_id) AS id, count(*) AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents GROUP BY ALL),
-s AS (
-  SELECT id, h, count(*) AS n
-  FROM (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: md5_number(array_to_string(w[i:i+4], ' ')))) AS h FROM t)
-  GROUP BY id, h),
+u AS (SELECT id, len(w) AS words, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (
+  SELECT id, words, i, md5_number(string_agg(word, ' ') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS h FROM u),
+s AS (SELECT id, h, count(*) AS n FROM g WHERE i <= greatest(words - 4, 1) GROUP BY id, h),
 z AS (SELECT id, sum(n) AS total FROM s GROUP BY id),
 o AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id <> b.id GROUP BY a.id, b.id),
 l AS (SELECT a, b FROM o JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE 9 * shared >= 4 * (za.total + zb.total)),
