@@ -57,9 +57,9 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
                 out.append(k)
             yield pa.RecordBatch.from_arrays([b["digest"], b["total"], b["task"], pa.array(out, pa.int32())], names=["digest", "total", "task", "bin"])
 
-    by_text = slim.groupBy("digest").agg(F.sum("size").alias("total")).withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)).cast("int"))
-    # rows of one task arrive sorted by (task, size): several tasks may share a partition, so the heap's bins are the partition's
-    placed = by_text.repartition(tasks, "task").withColumn("task", F.spark_partition_id()).sortWithinPartitions(F.desc("total"), "digest").mapInArrow(walk, "digest binary, total bigint, task int, bin int")
+    by_text = slim.groupBy("digest").agg(F.sum("size").alias("total"))
+    # by the digest itself: a hash of a few numbers would leave some tasks with two shares and some with none
+    placed = by_text.repartition(tasks, "digest").withColumn("task", F.spark_partition_id()).sortWithinPartitions(F.desc("total"), "digest").mapInArrow(walk, "digest binary, total bigint, task int, bin int")
     placed = cut(placed, "shard-bins")
     loads = placed.groupBy("task", "bin").agg(F.sum("total").alias("load")).collect()
     order = sorted(loads, key=lambda r: (-r["load"], r["task"], r["bin"]))
