@@ -50,8 +50,8 @@ def software_union(crawls: DataFrame, *by: str, order: str = "id") -> DataFrame:
 
 
 def is_remote(source: Column | str) -> Column:
-    source = F.col(source) if isinstance(source, str) else source
-    return source.rlike(r"^(https?://|browsertrix\|)")
+    """URLs and items of either service; all else is a file of this machine."""
+    return parsed(source)["kind"] != "file"
 
 
 def collection_rollup(crawls: DataFrame) -> DataFrame:
@@ -153,8 +153,9 @@ def largest_image(records: DataFrame, *by: str, low: int = 5_000, high: int = 3_
     return records.where(raster).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def field_sizes(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """Bytes and non-empty values of each stored field, largest first."""
+def field_sizes(docs: DataFrame, fields: list[str], first: int | None = None) -> DataFrame:
+    """Bytes and non-empty values of each stored field, largest first; of the first documents by id only, if a number is given."""
+    docs = docs if first is None else docs.orderBy("doc_id").limit(first)
     aggs = [a for f in fields for a in (F.sum(F.octet_length(F.coalesce(f, F.lit("")))).alias(f"b_{f}"), F.count_if(F.coalesce(F.col(f), F.lit("")) != "").alias(f"n_{f}"))]
     one = docs.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b_{f}").alias("bytes"), F.col(f"n_{f}").alias("filled")) for f in fields]))
@@ -174,3 +175,39 @@ def replay_manifest(collections: DataFrame, crawls: DataFrame) -> DataFrame:
     item = F.struct(F.col("id").alias("crawlId"), F.concat(X.source_name("source"), F.lit(".wacz")).alias("name"), F.col("source").alias("path"), digest.alias("hash"), F.col("bytes").alias("size"))
     listed = crawls.withColumn("item", item).groupBy(F.col("collection").alias("id")).agg(F.sort_array(F.collect_list("item")).alias("resources"))
     return collections.select("id", "name").join(listed, "id").select("id", F.to_json(F.struct("id", "name", "resources")).alias("manifest"))
+
+
+# ---------------------------------------------------------------- what pages about the catalogue show
+
+
+def viewer_source(id_: Column | str, source: Column | str) -> Column:
+    """Where a viewer reads a crawl: a URL as it is, all else through the file route."""
+    source = F.col(source) if isinstance(source, str) else source
+    return F.when(parsed(source)["kind"] == "url", source).otherwise(F.concat(F.lit("/files/"), id_))
+
+
+def landing_pages(crawls: DataFrame, order: str = "id") -> DataFrame:
+    """collection, page_url, page_ts: the first seed page of the first crawl of a collection that has one."""
+    seeded = crawls.where(F.size(F.coalesce("seed_pages", F.array().cast("array<struct<url:string,title:string,ts:string>>"))) > 0)
+    first = seeded.groupBy("collection").agg(F.min_by(F.element_at("seed_pages", 1), order).alias("_p"))
+    return first.select("collection", F.col("_p.url").alias("page_url"), F.coalesce(X.to_14_digits("_p.ts"), F.lit("")).alias("page_ts"))
+
+
+def collection_cards(collections: DataFrame, crawls: DataFrame, order: str = "id") -> DataFrame:
+    """One row per collection, empty ones too: members, sizes, kinds of sources, dates of captures and its replay link."""
+    spans = capture_range(crawls.select("collection", F.explode(F.array("capture_start", "capture_end")).alias("timestamp")), "collection").select("collection", "capture_range")
+    facts = collection_rollup(crawls).join(spans, "collection", "left").join(landing_pages(crawls, order), "collection", "left").withColumnRenamed("collection", "id")
+    c = collections.select("id", "name", "description").join(facts, "id", "left")
+    given = {"source": F.concat(F.lit("/collection/"), "id", F.lit("/replay.json")), "coll": F.col("id"), "name": F.col("name"), "collection": F.col("name"), "collection_id": F.col("id")}
+    query = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), X.url_encode(v)) for k, v in given.items()])
+    page = F.when(F.col("page_url").isNotNull(), F.concat(F.lit("&url="), X.url_encode(F.col("page_url")), F.lit("&ts="), X.url_encode(F.col("page_ts")))).otherwise("")
+    none = lambda name, value: F.coalesce(name, F.lit(value)).alias(name)
+    return c.select("id", "name", "description", none("members", 0), none("bytes", 0), none("has_local", False), none("has_remote", False), "capture_range", F.concat(F.lit("/replay/viewer?"), query, page).alias("replay_href"))
+
+
+def crawl_view(crawls: DataFrame, collections: DataFrame) -> DataFrame:
+    """One row per crawl with all that its page shows: names, dates, provenance, review, viewer source."""
+    names = collections.select(F.col("id").alias("collection"), F.col("name").alias("collection_name"))
+    c = crawls.join(names, "collection", "left").join(provenance(crawls), "id", "left")
+    review = F.when(F.col("review").isNotNull(), X.review_label("review"))
+    return c.select("id", "name", "collection", F.coalesce("collection_name", "collection").alias("collection_name"), "bytes", X.human_size("bytes").alias("size_text"), X.date_range("capture_start", "capture_end").alias("capture_range"), "provenance", review.alias("review_text"), is_remote("source").alias("remote"), viewer_source("id", "source").alias("viewer_source"))

@@ -283,6 +283,57 @@ def archive_names(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", X.safe_archive_name(given, F.lit("archive")).alias("name"))
 
 
+# ---------------------------------------------------------------- what pages about the catalogue show
+
+SEEDED_SQL = CRAWLS_SQL + """, seeded AS (
+  SELECT *, regexp_extract(name, '(\\d+)', 1)::INT AS no, CASE WHEN no % 4 = 0 THEN 'browsertrix-public|h|o|i|' || name ELSE source END AS place,
+         CASE WHEN no % 3 > 0 THEN 'http://x.org/a b?c=' || no END AS seed, CASE WHEN no % 2 = 1 THEN no % 6 END AS review
+  FROM crawls)"""
+
+
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls from files, URLs and a service, some with a seed page, some reviewed."""
+    no = F.regexp_extract("name", r"(\d+)", 1).cast("int")
+    seed = F.array(F.struct(F.concat(F.lit("http://x.org/a b?c="), no.cast("string")).alias("url"), F.lit("").alias("title"), F.lit("2024-01-15T12:00:00Z").alias("ts")))
+    c = crawls(spark, sf_dir).withColumn("review", F.when(no % 2 == 1, no % 6)).withColumn("seed_pages", F.when(no % 3 > 0, seed))
+    return c.withColumn("source", F.when(no % 4 == 0, F.concat(F.lit("browsertrix-public|h|o|i|"), "name")).otherwise(F.col("source")))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collections of the crawls and one without any."""
+    found = crawls(spark, sf_dir).select("collection").union(spark.createDataFrame([("none & void",)], "collection string")).distinct()
+    return found.select(F.col("collection").alias("id"), F.concat(F.lit("The "), "collection").alias("name"), F.lit("about").alias("description"))
+
+
+def day_sql(c: str) -> str:
+    return f"substr({c}, 1, 4) || '-' || substr({c}, 5, 2) || '-' || substr({c}, 7, 2)"
+
+
+@query(f"""
+WITH {SEEDED_SQL},
+g AS (
+  SELECT collection AS id, count(*) AS members, sum(bytes)::BIGINT AS bytes, bool_or(place LIKE 'archive/%') AS has_local, bool_or(place NOT LIKE 'archive/%') AS has_remote,
+         min(capture_start) AS a, max(capture_end) AS b, arg_min(seed, id) FILTER (WHERE seed IS NOT NULL) AS seed FROM seeded GROUP BY collection),
+c AS (SELECT DISTINCT collection AS id FROM crawls UNION ALL SELECT 'none & void')
+SELECT c.id, 'The ' || c.id AS name, 'about' AS description, coalesce(members, 0) AS members, coalesce(bytes, 0) AS bytes, coalesce(has_local, FALSE) AS has_local, coalesce(has_remote, FALSE) AS has_remote,
+       CASE WHEN a IS NULL THEN NULL WHEN {day_sql("a")} = {day_sql("b")} THEN {day_sql("a")} ELSE {day_sql("a")} || ' → ' || {day_sql("b")} END AS capture_range,
+       '/replay/viewer?source=' || url_encode('/collection/' || c.id || '/replay.json') || '&coll=' || url_encode(c.id) || '&name=' || url_encode('The ' || c.id) || '&collection=' || url_encode('The ' || c.id)
+         || '&collection_id=' || url_encode(c.id) || CASE WHEN seed IS NULL THEN '' ELSE '&url=' || url_encode(seed) || '&ts=20240115120000' END AS replay_href
+FROM c LEFT JOIN g USING (id)""")
+def collection_cards(spark, sf_dir):
+    return catalog.collection_cards(named(spark, sf_dir), seeded(spark, sf_dir))
+
+
+@query(f"""
+WITH {SEEDED_SQL}
+SELECT id, name, collection, 'The ' || collection AS collection_name, place NOT LIKE 'archive/%' AS remote, CASE WHEN place LIKE 'https://%' THEN place ELSE '/files/' || id END AS viewer_source,
+       CASE review WHEN 5 THEN 'Excellent (5/5)' WHEN 3 THEN 'Fair (3/5)' WHEN 1 THEN 'Bad (1/5)' END AS review_text
+FROM seeded""")
+def crawl_views(spark, sf_dir):
+    view = catalog.crawl_view(seeded(spark, sf_dir), named(spark, sf_dir))
+    return view.select("id", "name", "collection", "collection_name", "remote", "viewer_source", "review_text")
+
+
 # ---------------------------------------------------------------- event time (an extension)
 
 
