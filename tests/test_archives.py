@@ -2,6 +2,7 @@ import gzip
 import io
 import json
 import os
+import shutil
 import zipfile
 
 import pytest
@@ -320,6 +321,41 @@ def test_import_run(spark, tmp_path):
         assert "password" not in z.read("datapackage.json").decode()
 
 
+@pytest.mark.parametrize("streamed", [False, True])
+def test_import_of_items(spark, tmp_path, streamed):
+    from webquarry.plans import imports
+    from webquarry.sources import importers as I
+    from webquarry.sources.wacz import open_local
+
+    source = tmp_path / "in.warc.gz"
+    source.write_bytes(b"".join(gzip.compress(r) for r in RECORDS))
+    package, home = str(tmp_path / "p.wacz"), str(tmp_path / "home")
+    build_wacz(spark, [str(source)], package)
+    items = [{"id": "a", "name": "Creek", "type": "crawl", "reviewStatus": 4}, {"id": "b", "name": "Pond", "type": "upload", "reviewStatus": 2}, {"id": "c", "name": "Lake", "type": "crawl"}]
+    hashes = {"a": "h1", "b": "h2", "c": "h3"}
+
+    def transport(method, url, headers, body):
+        if "all-crawls" in url:
+            return 200, json.dumps({"items": [i for i in items if "ids=" not in url or f"ids={i['id']}" in url], "total": 3}).encode()
+        own = url.split("/")[-2]
+        return 200, json.dumps({"resources": [{"name": "../x.wacz", "path": f"https://signed/{own}", "hash": hashes[own]}]}).encode()
+
+    client = I.BrowsertrixClient("https://s", transport, "Bearer t")
+    ways = {"opener": lambda location: open_local(package)} if streamed else {"download": lambda url, path: shutil.copy(package, path)}
+    run = lambda **more: imports.import_items(spark, client, home, "waters", {"id": "o", "name": "Society"}, **ways, **more)
+    out = run(least_review=3)
+    assert len(out["imported"]) == 1 and out["unreviewed"] == ["b", "c"] and not out["failed"]
+    row = ingest.Manifest.open(spark, home).rows[out["imported"][0]]
+    assert (row["importer_item"], row["importer_hash"], row["review"], row["name"]) == ("a", "h1", 4, "Creek")
+    assert row["source"] == ("browsertrix|s|o|a|../x.wacz" if streamed else os.path.join("archive", "waters", "a", "x.wacz"))
+    # what is in stays as it is, a new version and an item named by its id come in
+    assert run(least_review=3)["skipped"] == [("a", "../x.wacz")]
+    hashes["a"] = "h9"
+    assert run(least_review=3)["imported"] == out["imported"] and len(run(item="c")["imported"]) == 1
+    aid = finding_aids.listed(spark, home)[0]
+    assert (aid["id"], aid["creator"]) == ("waters", "Society")
+
+
 def test_resolver_logs_in_again_once(spark):
     from webquarry.plans.imports import Resolver
     from webquarry.sources.importers import ServiceError

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webquarry.operators import catalog
 from webquarry.plans import ingest as plans
 from webquarry.sources import finding_aids
-from webquarry.sources.importers import ArchiveItClient, BrowsertrixClient, ServiceError, allowlisted, files_table, finding_aid, jobs_table
+from webquarry.sources.importers import ArchiveItClient, BrowsertrixClient, ServiceError, allowlisted, files_table, finding_aid, items_table, jobs_table, org_finding_aid
 from webquarry.sources.locations import Source
 from webquarry.sources.wacz_writer import build_wacz
 
@@ -100,6 +100,49 @@ def import_crawls(spark: SparkSession, client: ArchiveItClient, home: str, into:
     return outcome
 
 
+def import_items(spark: SparkSession, client: BrowsertrixClient, home: str, into: str, org: dict, download: Download | None = None, opener=None, collection: dict | None = None, item: str | None = None, include_unreviewed: bool = False, least_review: int | None = None, force: bool = False, most: int | None = None, progress: plans.Progress = lambda kind, facts: None) -> dict:
+    """Each package of a service's items that isn't in yet, by its hash, becomes a crawl of the collection `into`.
+
+    With download(url, path), packages are stored under archive/; with an opener of locations, they are read where they
+    are and only the index is written. Items that no one has reviewed stay out unless asked for or named by their id.
+    """
+    if (download is None) == (opener is None):
+        raise ValueError("give either a download or an opener")
+    found = client.items(org["id"], collection and collection["id"], item)
+    passing = catalog.reviewed(F.col("review"), include_unreviewed or item is not None, least_review)
+    wanted = {r["id"] for r in items_table(spark, found).where(passing).select("id").collect()}
+    outcome = {"imported": [], "skipped": [], "failed": [], "unreviewed": [i["id"] for i in found if i["id"] not in wanted]}
+    host = client.host.split("://")[-1]
+    done = {(r.get("importer_host"), r.get("importer_item"), r.get("importer_hash")) for r in plans.Manifest.open(spark, home).rows.values()}
+    for row in [i for i in found if i["id"] in wanted][:most]:
+        for k, resource in enumerate(client.resources(org["id"], row)):
+            mark = (host, row["id"], resource.get("hash") or "")
+            if not force and mark in done:
+                outcome["skipped"].append((row["id"], resource["name"]))
+                continue
+            try:
+                progress("phase", {"item": row["id"], "phase": "reading" if opener else "downloading"})
+                if opener:
+                    location = Source("browsertrix", (host, org["id"], row["id"], resource["name"])).location
+                else:
+                    name = os.path.basename(resource["name"].replace("\\", "/")) or f"package-{k}.wacz"
+                    location = os.path.join(home, "archive", into, row["id"], name)  # equal names of two items don't meet
+                    os.makedirs(os.path.dirname(location), exist_ok=True)
+                    download(resource["path"], location + ".part")
+                    os.replace(location + ".part", location)
+                got = plans.ingest(spark, home, [location], into, force=True, opener=opener, progress=progress, name=row.get("name") or None)
+                if got["failed"]:
+                    raise ServiceError(got["failed"][0][1])
+                plans.Manifest.open(spark, home).set_provenance(got["indexed"][0], importer="browsertrix", importer_host=host, importer_item=row["id"], importer_hash=mark[2], review=row.get("reviewStatus"))
+                done.add(mark)
+                outcome["imported"].append(got["indexed"][0])
+            except (OSError, ValueError, ServiceError) as e:
+                outcome["failed"].append((row["id"], str(e)))
+                progress("error", {"item": row["id"], "message": str(e)})
+    finding_aids.seed(spark, home, into, org_finding_aid(org, collection))
+    return outcome
+
+
 class Resolver:
     """A readable location for an item of a token service: one client for each host, one new login when a token is refused."""
 
