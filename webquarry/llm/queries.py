@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import exact_dedup, langid, maxent_lm, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup, topk
+from webquarry.llm import clustering, conversation_repair, decontaminate, exact_dedup, langid, maxent_lm, mixing, near_dedup, packing, sharding, substring_dedup, suffix_dedup, topk
 
 
 def tokenizer() -> str:
@@ -60,6 +60,18 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scored(_docs(spark, sf_dir), maxent_lm.fold_of() % 7 == 2)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
@@ -150,6 +162,113 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+OP11_SQL = r"""
+WITH l AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id::VARCHAR AS id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), coalesce(item_id::VARCHAR, ''), NULL,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+b AS (SELECT id, w, least(10, len(w)) AS size FROM l WHERE kind = 'b' AND len(w) > 0),
+t AS (SELECT DISTINCT id, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM b)),
+d AS (SELECT r, doc_id, w FROM l WHERE kind = 'd'),
+p AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM b)),
+f AS (SELECT p.r, p.i, p.size, t.id FROM (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM p) p JOIN t USING (size, phrase)),
+h AS (SELECT r, count(DISTINCT z) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS z FROM f) GROUP BY r),
+g AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM f) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)
+"""
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Plain Lloyd, unrolled; whole numbers in DOUBLE below 2^53 are exact."""
+    assign = """a{k} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT r, cluster, list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c.v) + list_dot_product(c.v, c.v) AS d FROM v, c{k} c) GROUP BY r),
+"""
+    move = """c{n} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT cluster, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS v
+    FROM (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k} JOIN v USING (r)) GROUP BY ALL) GROUP BY cluster) m USING (cluster)),
+"""
+    return (
+        """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v
+  FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 8)),
+"""
+        + "".join(assign.format(k=k) + move.format(k=k, n=k + 1) for k in range(rounds))
+        + assign.format(k=rounds)
+        + f"""s AS (SELECT cluster, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, a.cluster::INTEGER AS cluster, d::BIGINT AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a{rounds}) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN s USING (cluster) JOIN c{rounds} c USING (cluster)
+"""
+    )
+
+
+OP12_SQL = _op12_sql()
+
+
+def _op13_sql() -> str:
+    """The DP forwards, a conversation's rows one by one; its keys are cost (six digits) and edits, so the least key wins."""
+    states = "nsua"  # nothing yet, after system, after user, after assistant
+    none = "{'k': '9', 't': ''}"
+
+    def then(v: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"CASE WHEN {v}.k < '9' THEN {{'k': lpad((left({v}.k, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({v}.k, 7) || '{letter}', 't': {v}.t || {line}}} ELSE {none} END"
+
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    line = lambda role: f"({role} || ':' || text || chr(10))"
+    new = lambda role: f"'{role}:' || chr(10)"
+    inserted_u = least("u", *[then(x, "2", "I", new("user")) for x in "nsa"])
+    inserted_a = least("a", then("u", "2", "I", new("assistant")))
+    kept = lambda x, initial: f"CASE WHEN fault IN (0, 3) AND initial = '{initial}' THEN {then(x, '(fault = 3)::INT', 'K', line('role'))} ELSE {none} END"
+    turned = lambda x, role: f"CASE WHEN fault IN (0, 3) THEN {then(x, '2 + (fault = 3)::INT', 'R', line(chr(39) + role + chr(39)))} ELSE {none} END"
+    gone = lambda x: then(x, "3", "D")
+    step = {
+        "n": gone("n"),
+        "s": least(gone("s"), kept("n", "s")),
+        "u": least(gone("u"), *[f(x, y) for x in "nsa" for f, y in ((kept, "u"), (turned, "user"))]),
+        "a": least(gone("a"), kept("u", "a"), turned("u", "assistant")),
+    }
+    inserts = lambda table, keep: f"(SELECT {keep}, n, s, u, {inserted_a} AS a FROM (SELECT {keep}, n, s, a, {inserted_u} AS u FROM {table}))"
+    # a second insertion may follow the first; after it the costs of all states are settled
+    opened = inserts(inserts("(SELECT w.*, role, text, fault, initial FROM w JOIN e ON e.c = w.c AND e.i = w.z + 1)", "c, z, role, text, fault, initial"), "c, z, role, text, fault, initial")
+    closed = inserts(inserts("(SELECT * FROM w WHERE NOT EXISTS (FROM e WHERE e.c = w.c AND e.i = w.z + 1))", "c, z"), "c, z")
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+o AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT o.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]))) % 20 AS h FROM o, crc),
+g AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, h, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+f AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+        left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS y FROM g),
+e AS MATERIALIZED (SELECT c, i, turn, role, text, initial, CASE WHEN y = '' THEN 1 WHEN later THEN 2 WHEN y NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+        coalesce(lag(initial) OVER (PARTITION BY c ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS odd
+      FROM (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS later FROM f)),
+q AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+w AS (
+  SELECT c, 0 AS z, {{'k': '000000', 't': ''}} AS n, {none} AS s, {none} AS u, {none} AS a FROM (SELECT DISTINCT c FROM e)
+  UNION ALL
+  SELECT c, z + 1, {step['n']}, {step['s']}, {step['u']}, {step['a']} FROM {opened}),
+z AS (SELECT c, {least('n', 'a')} AS best FROM {closed}),
+m AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+        count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (odd) AS illegal FROM e GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(left(best.k, 6)::BIGINT, 0) AS cost, coalesce(substr(best.k, 7), '') AS audit, sha256(coalesce(best.t[:-2], '')) AS repaired_sha256
+FROM q LEFT JOIN m USING (c) LEFT JOIN z USING (c)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
@@ -161,6 +280,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_maxent_lm": op10_maxent_lm,
+    "op11_decontamination": op11_decontamination,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -170,4 +292,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op9_exact_topk": OP9_SQL,
+    "op11_decontamination": OP11_SQL,
+    "op12_dual_tree_lloyd": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
