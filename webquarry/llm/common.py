@@ -99,6 +99,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_key(*names: str) -> Column:
+    """16 bytes that tell rows apart by these columns, null from any value: ids may repeat, or be null. Rows alike in all of them share a key."""
+    each = [F.coalesce(F.concat(F.length(c := F.col(n).cast("string")).cast("string"), F.lit(":"), c), F.lit("-")) for n in names]
+    return F.unhex(F.md5(F.concat(*each).cast("binary")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

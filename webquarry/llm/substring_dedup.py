@@ -5,7 +5,7 @@ an anchor, so equal windows share an anchor at the same place. The index holds a
 immutable runs of (hash, count), bucketed by hash. A new batch of documents is merge-joined with every
 run; hashes that history or the batch itself already holds are matches; the batch then becomes a run of
 its own, and when runs pile up they are compacted into one. Only windows whose anchor has matched are
-verified: a 96-bit digest of all 35 words must be found at a second place. Words under a verified
+verified: a 95-bit digest of all 35 words must be found at a second place. Words under a verified
 window go.
 
 Equal texts are told by their SHA-256 first: one of them stands for all in the search for windows, the
@@ -14,8 +14,10 @@ reaches the task of its digest once for each task. Equal digests are looked for
 never in one place.
 
 Defined results: null and empty texts have no words and keep the hash of nothing; texts shorter than a
-window keep all; an empty table gives an empty result; rows that repeat an id count as repeats of each
-other; words are compared unchanged; further columns are ignored.
+window keep all; an empty table gives an empty result; a row is told by its id and text, so ids of several
+texts and null ids are rows like any other, and rows that repeat both count as repeats of each other; a very
+long text is read whole; ties don't matter, as every place of a repeated window goes; words are compared
+unchanged; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, winnow, word_spans
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, delete, discard, mix, padded, partitions, passes, row_key, run_hash, scratch_dir, slide, span_hash, text_buffer, text_or_empty, winnow, word_spans
 
 WINDOW, GRAM = 35, 10
 #: Batches that a whole table is fed to the index in, and runs that may lie side by side.
@@ -102,8 +104,7 @@ def _grams(buf: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray,
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, pos (index of the anchor's first word), h, batch."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """row, pos (index of the anchor's first word), h, batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,14 +115,14 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 own = doc[at]
                 ok = (doc[at + gram - 1] == own) & (first[own + 1] - first[own] >= window)
                 at, own = at[ok], own[ok]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(own + i)), pa.array((at - first[own]).astype(np.int32)), pa.array(as_i64(h[at])), b["batch"].take(pa.array(own + i))], names=["doc_id", "pos", "h", "batch"])
+                yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(own + i)), pa.array((at - first[own]).astype(np.int32)), pa.array(as_i64(h[at])), b["batch"].take(pa.array(own + i))], names=["row", "pos", "h", "batch"])
 
-    ready = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(BATCHES)).cast("int").alias("batch"))
-    return ready.mapInArrow(run, f"doc_id {kind}, pos int, h bigint, batch int")
+    ready = docs.select("row", "text", F.pmod(F.xxhash64("row", F.lit("batch")), F.lit(BATCHES)).cast("int").alias("batch"))
+    return ready.mapInArrow(run, f"row binary, pos int, h bigint, batch int")
 
 
 def repeated_anchors(found: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, at: places of the anchors whose hash occurs twice or more. Every batch goes through the index."""
+    """row, at: places of the anchors whose hash occurs twice or more. Every batch goes through the index."""
     index = FingerprintIndex(found.sparkSession)
     known = None
     for k in range(batches):
@@ -129,7 +130,7 @@ def repeated_anchors(found: DataFrame, batches: int = BATCHES) -> DataFrame:
         known = hits if known is None else known.union(hits)
     known = cut(known.distinct(), "repeats")
     index.close()
-    marked = cut(found.join(known, "h").select("doc_id", "pos").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "marked")
+    marked = cut(found.join(known, "h").select("row", "pos").groupBy("row").agg(F.collect_set("pos").alias("at")), "marked")
     discard(known)
     return marked
 
@@ -173,27 +174,26 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = np.bincount(group, weights=n[order]) > 1 if len(group) else np.zeros(0, bool)
     found = t.take(pa.array(np.sort(order[many[group]]))) if len(group) else t
     for part in (settled, found):
-        yield from part.select(["doc_id", "pos", "len"]).combine_chunks().to_batches(50_000)
+        yield from part.select(["row", "pos", "len"]).combine_chunks().to_batches(50_000)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, doc_id with spans of pos and len: runs of verified windows by their first word; len -1: all)."""
-    kind = dict(docs.dtypes)["doc_id"]
-    found = cut(anchors(docs, window, gram), "anchors")
+    """(documents with their row keys, row with spans of pos and len: runs of verified windows by their first word; len -1: all)."""
+    texts = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"), row_key("doc_id", "text").alias("row"))
+    found = cut(anchors(texts, window, gram), "anchors")
     marked = repeated_anchors(found)
     discard(found)
-    texts = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    slim = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-    many = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = slim.join(many, "digest").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("first")).alias("stands"))
-    roles = cut(marked.join(copies, "doc_id", "left"), "roles")
+    slim = texts.select("row", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    many = slim.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = slim.join(many, "digest").groupBy("row").agg(F.max(F.col("row") == F.col("first")).alias("stands"))
+    roles = cut(marked.join(copies, "row", "left"), "roles")
     discard(marked)
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, named = [], 0, 0
         shape = None
         for b in batches:
-            shape = pa.schema([("one", pa.int64()), ("two", pa.int32()), ("doc_id", b.schema.field("doc_id").type), ("pos", pa.int32()), ("len", pa.int32()), ("n", pa.int64())])
+            shape = pa.schema([("one", pa.int64()), ("two", pa.int32()), ("row", b.schema.field("row").type), ("pos", pa.int32()), ("len", pa.int32()), ("n", pa.int64())])
             buf, offsets = text_buffer(b["text"])
             lists, times = b["at"], 1 + b["stands"].fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, border = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
@@ -213,7 +213,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 at = np.flatnonzero(hit)
                 at = at[doc[at] == doc[at + window - 1]]
                 other = span_hash(wide, start, end - start, seed=1)
-                held.append((run_hash(word, window)[at], (run_hash(other, window)[at] >> np.uint64(33)).astype(np.int32), (at - first[doc[at]]).astype(np.int32), b["doc_id"].take(pa.array(doc[at] + i)), doc[at] + i + named, times[doc[at] + i]))
+                held.append((run_hash(word, window)[at], (run_hash(other, window)[at] >> np.uint64(33)).astype(np.int32), (at - first[doc[at]]).astype(np.int32), b["row"].take(pa.array(doc[at] + i)), doc[at] + i + named, times[doc[at] + i]))
                 size += len(at)
                 if size >= HELD:
                     yield from _settled(held, shape)
@@ -222,12 +222,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         if size:
             yield from _settled(held, shape)
 
-    dealt = texts.join(roles.where("stands is null or stands"), "doc_id").select("doc_id", "text", "at", "stands")
-    rows = dealt.mapInArrow(digests, f"one bigint, two int, doc_id {kind}, pos int, len int, n bigint")
-    windows = rows.repartition("one").mapInArrow(_find, f"doc_id {kind}, pos int, len int")
-    whole = roles.where("stands is not null").select("doc_id", F.lit(0).alias("pos"), F.lit(-1).alias("len"))
+    dealt = texts.join(roles.where("stands is null or stands"), "row").select("row", "text", "at", "stands")
+    rows = dealt.mapInArrow(digests, f"one bigint, two int, row binary, pos int, len int, n bigint")
+    windows = rows.repartition("one").mapInArrow(_find, f"row binary, pos int, len int")
+    whole = roles.where("stands is not null").select("row", F.lit(0).alias("pos"), F.lit(-1).alias("len"))
     # a table of its own, so that the shuffles of this step are gone before texts are shuffled again
-    spans = cut(windows.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("spans")), "spans")
+    spans = cut(windows.union(whole).groupBy("row").agg(F.collect_set(F.struct("pos", "len")).alias("spans")), "spans")
     discard(roles)
     return texts, spans
 
@@ -260,4 +260,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 text.append(kept.decode())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

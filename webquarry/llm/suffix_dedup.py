@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, loads, mix, padded, pair, passes, span_hash, text_buffer, text_or_empty, winnow
+from webquarry.llm.common import PASS_BYTES, as_i64, columns, cut, discard, loads, mix, padded, pair, passes, row_key, span_hash, text_buffer, text_or_empty, winnow
 
 LENGTH, GRAM = 200, 16
 #: Words of 8 bytes that the multikey quicksort looks at before blind tries take over.
@@ -217,8 +217,8 @@ def reaches(group: np.ndarray, lcp: np.ndarray, near: np.ndarray, nlen: np.ndarr
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows that meet by k: h0 (hash of the surroundings), doc_id, pos, llen, rlen, kind (1 after, 2 before, 0 settled), n."""
-    kind, half, before = dict(docs.dtypes)["doc_id"], length // 2, length - gram
+    """Rows that meet by k: h0 (hash of the surroundings), row, pos, llen, rlen, kind (1 after, 2 before, 0 settled), n."""
+    half, before = length // 2, length - gram
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h0, h1, h2, pos, llen, rlen, name = (np.concatenate([x[k] for x in held]) for k in range(7))
@@ -230,7 +230,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         n, rep = np.diff(np.append(at, len(order))), order[at]
 
         def rows(which: np.ndarray, k: np.ndarray, code: int, many: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(as_i64(k)), pa.array(as_i64(h0[which])), ids.take(pa.array(which)), pa.array(pos[which]), pa.array(llen[which].astype(np.int16)), pa.array(rlen[which].astype(np.int16)), pa.array(np.full(len(which), code, np.int8)), pa.array(many.astype(np.int32))], names=["k", "h0", "doc_id", "pos", "llen", "rlen", "kind", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(as_i64(k)), pa.array(as_i64(h0[which])), ids.take(pa.array(which)), pa.array(pos[which]), pa.array(llen[which].astype(np.int16)), pa.array(rlen[which].astype(np.int16)), pa.array(np.full(len(which), code, np.int8)), pa.array(many.astype(np.int32))], names=["k", "h0", "row", "pos", "llen", "rlen", "kind", "n"])
 
         for code, key, side in ((1, h1, rlen), (2, h2, llen)):
             ok = side[rep] >= half
@@ -260,7 +260,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 h0 = pair(span_hash(part, at - llen, llen + rlen), llen.astype(np.uint64))
                 h1 = span_hash(part, at, np.where(rlen >= half, half, 0), seed=1)
                 h2 = span_hash(part, at - np.where(llen >= half, half, 0), np.where(llen >= half, half + gram, 0), seed=2)
-                held.append((h0, h1, h2, (at - off[doc]).astype(np.int32), llen, rlen, doc + i + named, b["doc_id"].take(pa.array(doc + i))))
+                held.append((h0, h1, h2, (at - off[doc]).astype(np.int32), llen, rlen, doc + i + named, b["row"].take(pa.array(doc + i))))
                 size += len(at)
                 if size >= HELD:
                     yield from settle(held)
@@ -269,8 +269,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from settle(held)
 
-    ready = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return ready.mapInArrow(run, f"k bigint, h0 bigint, doc_id {kind}, pos int, llen smallint, rlen smallint, kind tinyint, n int")
+    return docs.mapInArrow(run, f"k bigint, h0 bigint, row binary, pos int, llen smallint, rlen smallint, kind tinyint, n int")
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +297,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = np.zeros(len(kind), np.int8)
     for rows, code in ((np.concatenate([np.flatnonzero(kind == 0), covered]), None), (sort, kind)):
         out = np.zeros(len(rows), np.int8) if code is None else kind[rows]
-        part = t.take(pa.array(rows)).select(["k", "doc_id", "pos", "llen", "rlen"])
+        part = t.take(pa.array(rows)).select(["k", "row", "pos", "llen", "rlen"])
         yield from part.append_column("kind", pa.array(out)).combine_chunks().to_batches(50_000)
 
 
@@ -318,7 +317,7 @@ def _sides(batches: Iterable[pa.RecordBatch], before: int, length: int) -> Itera
             right = wide[at[:, None] + np.arange(length)]
             right[np.arange(length) >= rlen[s, None]] = 0
             fixed = lambda m: pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(m).tobytes())])
-            yield pa.RecordBatch.from_arrays([*(lists.field(c)[i : i + 5000] for c in ("k", "kind")), b["doc_id"].take(pa.array(own[s])), *(lists.field(c)[i : i + 5000] for c in ("pos", "llen", "rlen")), fixed(left), fixed(right)], names=["k", "kind", "doc_id", "pos", "llen", "rlen", "before", "after"])
+            yield pa.RecordBatch.from_arrays([*(lists.field(c)[i : i + 5000] for c in ("k", "kind")), b["row"].take(pa.array(own[s])), *(lists.field(c)[i : i + 5000] for c in ("pos", "llen", "rlen")), fixed(left), fixed(right)], names=["k", "kind", "row", "pos", "llen", "rlen", "before", "after"])
 
 
 def _sorted_reaches(batches: Iterable[pa.RecordBatch], before: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -343,20 +342,21 @@ def _sorted_reaches(batches: Iterable[pa.RecordBatch], before: int, length: int)
         l_, r = (b[hit], a[hit]) if code == 1 else (a[hit], b[hit])
         part = t.take(pa.array(rows[hit]))
         pos = part["pos"].to_numpy().astype(np.int64)
-        yield from pa.table({"doc_id": part["doc_id"], "from": pa.array(pos - l_), "to": pa.array(pos + r)}).combine_chunks().to_batches(50_000)
+        yield from pa.table({"row": part["row"], "from": pa.array(pos - l_), "to": pa.array(pos + r)}).combine_chunks().to_batches(50_000)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, doc_id with spans of from and to: byte ranges covered by strings that occur twice)."""
-    kind, before = dict(docs.dtypes)["doc_id"], length - gram
-    texts = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    met = cut(_anchors(docs, length, gram).repartition("k").mapInArrow(_meet, f"k bigint, doc_id {kind}, pos int, llen smallint, rlen smallint, kind tinyint"), "suffixes")
-    plain = met.where("kind = 0").select("doc_id", (F.col("pos") - F.col("llen")).cast("bigint").alias("from"), (F.col("pos") + F.col("rlen")).cast("bigint").alias("to"))
-    wanted = met.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("k", "kind", "pos", "llen", "rlen")).alias("at"))
-    sides = texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(lambda x: _sides(x, before, length), f"k bigint, kind tinyint, doc_id {kind}, pos int, llen smallint, rlen smallint, before binary, after binary")
-    found = sides.repartition("k").mapInArrow(lambda x: _sorted_reaches(x, before, length), f"doc_id {kind}, `from` bigint, `to` bigint")
+    """(documents with their row keys, row with spans of from and to: byte ranges covered by strings that occur twice)."""
+    before = length - gram
+    ready = columns(docs, "doc_id", "text")
+    texts = ready.select("doc_id", text_or_empty().alias("text"), row_key("doc_id", "text").alias("row"))
+    met = cut(_anchors(texts.select("row", "text"), length, gram).repartition("k").mapInArrow(_meet, f"k bigint, row binary, pos int, llen smallint, rlen smallint, kind tinyint"), "suffixes")
+    plain = met.where("kind = 0").select("row", (F.col("pos") - F.col("llen")).cast("bigint").alias("from"), (F.col("pos") + F.col("rlen")).cast("bigint").alias("to"))
+    wanted = met.where("kind > 0").groupBy("row").agg(F.collect_set(F.struct("k", "kind", "pos", "llen", "rlen")).alias("at"))
+    sides = texts.join(wanted, "row").select("row", "text", "at").mapInArrow(lambda x: _sides(x, before, length), f"k bigint, kind tinyint, row binary, pos int, llen smallint, rlen smallint, before binary, after binary")
+    found = sides.repartition("k").mapInArrow(lambda x: _sorted_reaches(x, before, length), f"row binary, `from` bigint, `to` bigint")
     # a table of its own, so that the shuffles of this step are gone before texts are shuffled again
-    spans = cut(plain.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
+    spans = cut(plain.union(found).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
     discard(met)
     return texts, spans
 
@@ -390,4 +390,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     col.append(v)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
