@@ -640,3 +640,58 @@ def test_uneven_ids_do_not_meet_in_one_unit(spark, monkeypatch):
     units, many = maxent_lm._units(docs, "bigint")
     assert many == 101 and max(r["count"] for r in units.groupBy("unit").count().collect()) < 20
     assert maxent_lm.scored(docs, maxent_lm.fold_of() % 7 == 2).count() == 101
+
+
+def clashing_rows():
+    """Ids of several texts, null ids with repeated content, rows that repeat id and text, and a passage among them all."""
+    rng = random.Random(5)
+    passage = words(rng, "en", 60)
+    around = lambda n: words(rng, "fr", n)
+    rows = [(1, around(40) + " " + passage + " " + around(50)), (1, passage + " " + around(90)), (1, around(300)), (2, "short")]
+    rows += [(None, around(20) + " " + passage), (None, around(70)), (None, passage + " " + around(10))]
+    rows += [(3, around(60) + " " + around(30))] * 1 + [(4, around(80))] * 3 + [(5, None), (5, ""), (None, None)]
+    return [(i, t, "en", "a", 0) for i, t in rows]
+
+
+@pytest.mark.parametrize(("name", "query"), [("suffix", OP1_SQL), ("substring", OP7_SQL), ("exact", OP4_SQL)])
+def test_ids_of_several_texts(spark, name, query):
+    import duckdb
+    import pandas as pd
+
+    rows = clashing_rows()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"}))
+    cur = con.execute(query)
+    names = [d[0] for d in cur.description]
+    got = OPERATORS[name](spark.createDataFrame(rows, SCHEMA).repartition(3)).select(*names)
+    if name == "exact":  # null ids rank last in the operator and are left out by SQL's max
+        got = got.select([c for c in names if c in ("group_size", "text_sha256")])
+        names_used = [names.index(c) for c in got.columns]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[i] for i in names_used)) for r in cur.fetchall())
+        return
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_scores_of_ids_with_several_texts(spark):
+    rows = clashing_rows()
+    got = OPERATORS["maxent"](spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len((t or "").split()) + 1 for _, t, *_ in rows)
+
+
+def test_scores_whatever_the_files(spark):
+    """Frequent words, classes and scores don't depend on how rows are dealt to tasks."""
+    rng = random.Random(3)
+    lexicon = [words(rng, "en", 1) + str(i) for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(lexicon, k=120)), "en", "a", 0) for i in range(250)]
+    seen = []
+    for parts in (1, 3, 7):
+        seen.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in OPERATORS["maxent"](spark.createDataFrame(rows, SCHEMA).repartition(parts, "doc_id")).collect()})
+    assert all(seen[0][i] == pytest.approx(s[i], abs=1e-3) for s in seen[1:] for i in seen[0])
+
+
+def test_units_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "UNIT_BYTES", 4000)
+    docs = spark.createDataFrame([(i, "ab " * (1000 if i == 7 else 100), "en", "a", 0) for i in range(100)], SCHEMA)
+    units, many = maxent_lm._units(docs, "bigint")
+    assert many == 100
+    assert all(r["b"] <= 12_000 for r in units.groupBy("unit").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect())
