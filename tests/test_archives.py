@@ -182,7 +182,7 @@ def test_a_commit_writes_its_own_segment_only(spark, tmp_path):
     assert len(maintain.segments(spark, home)) == 2
     find = lambda q: sorted((r["crawl_id"], round(r["score"], 9)) for r in S.matches(maintain.open_index(spark, home), q).collect())
     two = find("alpha")
-    maintain.compact(spark, home)
+    maintain.compact(spark, home, target=1)
     assert find("alpha") == two and len(two) == 3 and len(maintain.segments(spark, home)) == 1
     maintain.delete_crawl(spark, home, "aaaa0001")  # out of a segment that holds both
     assert [c for c, _ in find("alpha")] == ["bbbb0002"] and find("beta") == []
@@ -278,6 +278,101 @@ def test_streaming_ingest(spark, tmp_path):
     assert {r["site"] for r in maintain.documents(spark, str(tmp_path / "home")).where("crawl_id = 'a'").collect()} == {"x.co.uk"}
 
 
+def files_of(home):
+    return {p: p.stat().st_size for p in (home / "index").rglob("*.parquet")}
+
+
+def test_deletion_writes_no_posting_and_compaction_expunges(spark, tmp_path):
+    home = str(tmp_path)
+    crawls = [f"aaaa000{i}" for i in range(7)]
+    for c in crawls:
+        maintain.upsert(spark, home, documents_of(spark, c, [f"alpha word{i} {c}" for i in range(20)]))
+    maintain.compact(spark, home, target=1)
+    find = lambda q, at=None: sorted((r["crawl_id"], r["doc_id"], round(r["score"], 9)) for r in S.matches(at or maintain.open_index(spark, home), q).collect())
+    before, size = files_of(tmp_path), maintain.index_summary(spark, home)["docs"]
+    maintain.delete_crawl(spark, home, crawls[3])
+    new = {p: n for p, n in files_of(tmp_path).items() if p not in before}
+    assert new and all("/deleted/" in str(p) for p in new) and sum(new.values()) < 5_000
+    live = next(iter(maintain.segments(spark, home)))
+    assert {p for p in before if live in str(p)} <= set(files_of(tmp_path)) and maintain.index_summary(spark, home)["docs"] == size - 20
+    index = maintain.open_index(spark, home)
+    whole = TextIndex.of(maintain.documents(spark, home))
+    for q in ("alpha", "word3", '"alpha word4"', "word5 -aaaa0001", crawls[3], f"alpha {crawls[2]}"):
+        assert find(q, index) == find(q, whole)
+    assert index.averages == whole.averages and index.frequencies(["alpha"]) == whole.frequencies(["alpha"])
+    # the crawl comes back while its old documents are still marked in the old segment
+    maintain.upsert(spark, home, documents_of(spark, crawls[3], ["alpha again"]))
+    assert [c for c, *_ in find("again")] == [crawls[3]] and len(find("alpha")) == 121
+    maintain.delete_crawls(spark, home, crawls[4:6])
+    two = find("alpha")
+    assert len(maintain.manifest(spark, home)) == 2 and any(s.marked.vectors for s in maintain.manifest(spark, home).values())
+    maintain.compact(spark, home)  # no merge is due, but marked documents go
+    now = maintain.manifest(spark, home)
+    assert find("alpha") == two and len(now) == 2 and not any(s.marked.vectors for s in now.values()) and sorted(s.docs for s in now.values()) == [1, 80]
+
+
+def test_smallest_first_merges(spark, tmp_path):
+    # sixty commits of like size against a large segment: it is never read again, and bytes stay near linear
+    docs, written = {"large": 10_000}, 0
+    for i in range(60):
+        docs[f"s{i}"] = 10
+        if len(docs) > 12:
+            while names := maintain.merge_plan(docs, target=4, most=5):
+                assert "large" not in names and len(names) <= 5 and max(docs[n] for n in names) <= min(n for k, n in docs.items() if k not in names)
+                written += sum(docs[n] for n in names)
+                docs = {k: n for k, n in docs.items() if k not in names} | {f"m{i}-{len(docs)}": sum(docs[n] for n in names)}
+            assert len(docs) == 4
+    assert written <= 6 * 600 and sum(docs.values()) == 10_600
+    assert maintain.merge_plan({"a": 1, "b": 2, "c": 3}, target=3) == [] and maintain.merge_plan({"a": 5, "b": 2, "c": 3}, target=2) == ["b", "c"]
+    home = str(tmp_path)
+    maintain.upsert(spark, home, documents_of(spark, "bbbb0000", ["alpha"] * 50))
+    large = next(iter(maintain.segments(spark, home)))
+    for i in range(4):
+        maintain.upsert(spark, home, documents_of(spark, f"cccc000{i}", ["alpha beta"]))
+    assert maintain.compact(spark, home, target=2) == (5, 2) and large in maintain.segments(spark, home)
+    assert len(S.matches(maintain.open_index(spark, home), "alpha").collect()) == 54
+
+
+def test_an_index_that_follows_its_home(spark, tmp_path):
+    maintain.upsert(spark, str(tmp_path), documents_of(spark, "aaaa0001", ["alpha"]))
+    following = maintain.Following(spark, str(tmp_path))
+    first = following.index
+    assert following.index is first
+    maintain.upsert(spark, str(tmp_path), documents_of(spark, "bbbb0002", ["alpha"]))
+    assert S.matches(following.index, "alpha").count() == 2 and S.matches(first, "alpha").count() == 1
+
+
+def test_streamed_crawls_survive_a_rebuild(spark, tmp_path, warc_file):
+    from webquarry.streaming.ingest import ingest_stream
+
+    home = str(tmp_path / "home")
+    schema = "crawl_id string, crawl_name string, collection string, url string, seq bigint, kind string, timestamp string, title string, body string, description string, headings string, keywords string, author string, lang string, media_type string, status int, modified int"
+    package = str(tmp_path / "p.wacz")
+    build_wacz(spark, [warc_file], package)
+    ingest.ingest(spark, home, [package], "col")
+    packaged = maintain.documents(spark, home).count()
+    segments = len(maintain.segments(spark, home))
+    for k in range(6):
+        rows = [("abc", "streamed", "col2", f"http://s.org/{i}", 100 * k + i, "html", "2021", f"title {k}", f"alpha {i}", "", "", "", "", "", "html", 200, None) for i in ((0, k) if k else (0,))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").json(str(tmp_path / "in"))
+    ingest_stream(source, home, str(tmp_path / "cp")).awaitTermination()
+    now = maintain.manifest(spark, home)
+    own = sorted((s.docs, s.marked.docs) for s in now.values() if "abc" in s.crawls)
+    assert len(now) == segments + 5 and sum(d for d, _ in own) == 6 and sum(m for _, m in own) == 4  # a batch holds what it touched; of the first one nothing is left
+    def state():
+        return sorted((r["url"], r["title"]) for r in maintain.documents(spark, home).where("crawl_id = 'abc'").collect())
+    before = state()
+    assert len(before) == 6 and dict(before)["http://s.org/0"] == "title 5"
+    assert len(S.matches(maintain.open_index(spark, home), "alpha collection:col2").collect()) == 6
+    assert ingest.Manifest.open(spark, home).rows["abc"]["source"] == "stream:abc" and ingest.Manifest.open(spark, home).is_present("abc")
+    out = ingest.rebuild(spark, home)
+    assert out["carried"] == ["abc"] and out["failed"] == [] and state() == before
+    assert maintain.documents(spark, home).count() == packaged + 6
+    maintain.compact(spark, home, target=1)
+    assert state() == before and len(maintain.segments(spark, home)) == 1
+
+
 def test_streaming_windows(spark, sf, tmp_path):
     from webquarry.streaming.ingest import windowed_counts
 

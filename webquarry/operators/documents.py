@@ -11,13 +11,14 @@ from webquarry.model import DOCUMENT
 SNIP_BYTES = 16 * 1024
 
 
-def merge_pages(records: DataFrame) -> DataFrame:
+def merge_pages(records: DataFrame, facts: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (crawl_id, url).
 
     records: crawl_id, url, seq (input order), kind ('html' or 'text'), timestamp, and the columns of a page. Of html
     records the last non-empty value of each column wins and the last timestamp; text records give the body, and fill
     timestamp and title only where html gave none. Pages without title, body and description are dropped. A single
-    shuffle on (crawl_id, url) with partial aggregation; no ordering of groups.
+    shuffle on (crawl_id, url) with partial aggregation; no ordering of groups. records may be a stream: then the
+    aggregates are its state. facts: further columns, of which the latest record's values are kept.
     """
     html, text = F.col("kind") == "html", F.col("kind") == "text"
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
@@ -30,6 +31,7 @@ def merge_pages(records: DataFrame) -> DataFrame:
         first("timestamp", text).alias("text_ts"),
         first("title", text).alias("text_title"),
         last("body", text).alias("text_body"),
+        *[F.max_by(c, "seq").alias(c) for c in facts],
     )
     blank = lambda c: F.coalesce(c, F.lit(""))
     out = merged.select(
@@ -42,6 +44,7 @@ def merge_pages(records: DataFrame) -> DataFrame:
         F.coalesce("media_type", F.lit("html")).alias("media_type"),
         "status",
         "modified",
+        *facts,
     )
     return out.where((F.col("title") != "") | (F.col("body") != "") | (F.col("description") != ""))
 

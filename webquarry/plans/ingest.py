@@ -171,7 +171,7 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
         finding_aids.seed(spark, home, collection, {})
         if maintain.fragmented(spark, home):
             progress("phase", {"phase": "compacting"})
-            maintain.compact(spark, home)
+            maintain.compact(spark, home, progress=progress)
     progress("done", {k: len(v) for k, v in outcome.items()})
     return outcome
 
@@ -179,10 +179,12 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
 def rebuild(spark: SparkSession, home: str, opener=None, pdf_text: PdfText | None = None) -> dict:
     """Read every registered package again into one new version; packages that fail are reported and left out.
 
-    Names, collections and provenance come from the manifest and stay as they are.
+    Names, collections and provenance come from the manifest and stay as they are. Crawls that no package holds
+    (streamed ones, and those that were put into the index alone) are carried over as they are, and reported.
     """
     cfg, manifest, parts, failed = load(home), Manifest.open(spark, home), [], []
-    for cid, row in manifest.rows.items():
+    packages = {cid: row for cid, row in manifest.rows.items() if Source.parse(row["source"]).kind != "stream"}
+    for cid, row in packages.items():
         source = Source.parse(row["source"])
         path = source.location if source.remote else source.resolve(home)
         try:
@@ -191,9 +193,10 @@ def rebuild(spark: SparkSession, home: str, opener=None, pdf_text: PdfText | Non
             parts.append(as_documents(pages_of(spark, cid, path, opener or wacz.open_local, pdf_text), row["name"], row["collection"], cfg).unionByName(crawl_document(spark, row)))
         except (OSError, ValueError) as e:
             failed.append((cid, str(e)))
+    carried = sorted({c for own in maintain.segments(spark, home).values() for c in own} - set(packages))
     if parts:
-        maintain.replace_all(spark, home, functools.reduce(DataFrame.unionByName, parts))
-    return {"indexed": len(parts), "failed": failed}
+        maintain.replace_all(spark, home, functools.reduce(DataFrame.unionByName, parts), carried)
+    return {"indexed": len(parts), "failed": failed, "carried": carried}
 
 
 # ---------------------------------------------------------------- deletion

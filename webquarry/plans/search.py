@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -310,7 +310,7 @@ def collection_pages(index: TextIndex, collection: str, url: str | None = None,
     if url is not None:
         own &= F.col("url") == url
     q = (q or "").strip()
-    pages = matches(TextIndex(index.docs.where(own), index.totals, index.stored, index.terms, index.source), q, boosts={}) if q else index.docs.where(own).withColumn("score", F.lit(0.0))
+    pages = matches(replace(index, docs=index.docs.where(own)), q, boosts={}) if q else index.docs.where(own).withColumn("score", F.lit(0.0))
     limit = min(200, max(1, limit))
     page = pages.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
     good = F.when(F.col("status").between(200, 299), 0).otherwise(1)

@@ -4,13 +4,20 @@ Postings are (field, term, doc_id, tf, len, positions), terms (term, field, df),
 total_len). A stored index is a set of segments. Postings and terms are partitioned by a hash of the term
 and sorted by term, so a query's terms prune them to a few folders and row groups; documents are one
 columnar table, of which a query reads the columns it needs.
+
+Documents that are marked as deleted stay in their segment's files and are left out by readers: of the
+documents' table by a pushed filter on the crawl (an anti-join where single documents were replaced), of
+postings and frequencies by the segment's deletion vectors (tables of ids), of the statistics by their sums,
+which the manifest holds. An id may be live in one segment and marked in another, so vectors hold for their
+own segment alone.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
-from functools import cached_property
+import uuid
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +26,7 @@ from webquarry.functions.scalars import tokens
 from webquarry.model import POSITIONAL, TEXT_FIELDS
 
 BUCKETS = 64
+PARTS = ("docs", "totals", "postings", "terms", "deleted")
 
 
 def bucket_of(term: Column) -> Column:
@@ -72,25 +80,69 @@ def _totals(with_lens: DataFrame) -> DataFrame:
     return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n_docs"), F.col(f).alias("total_len")) for f in TEXT_FIELDS])).alias("s")).select("s.*")
 
 
+@dataclass
+class Marked:
+    """Documents of a segment that are deleted: of which crawls, in which vectors (by_id: those of single documents), the (documents, length) they had of each field, and their number."""
+
+    crawls: list[str] = field(default_factory=list)
+    vectors: list[str] = field(default_factory=list)
+    by_id: list[str] = field(default_factory=list)
+    totals: dict[str, list[int]] = field(default_factory=dict)
+    docs: int = 0
+
+
 @dataclass
 class TextIndex:
-    """What a search reads. With `source` set, postings are made on the fly for the query's terms alone."""
+    """What a search reads. With `source` set, postings are made on the fly for the query's terms alone.
+
+    deleted: (segment, doc_id) of the documents that are marked, in the segments named by marked_in.
+    """
 
     docs: DataFrame
     totals: DataFrame
     stored: DataFrame | None = None
     terms: DataFrame | None = None
     source: DataFrame | None = None
+    deleted: DataFrame | None = None
+    marked_in: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, docs: DataFrame) -> TextIndex:
         return cls(docs=docs, totals=_totals(lengths(docs)), source=docs)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, segments: list[str] | None = None) -> TextIndex:
-        """All segments under root, or the named ones."""
-        docs, totals, stored, terms = (read_part(spark, root, part, segments) for part in ("docs", "totals", "postings", "terms"))
-        return cls(docs=docs.drop("lens", "segment"), totals=totals, stored=stored, terms=terms)
+    def open(cls, spark: SparkSession, root: str, segments: list[str] | None = None, marks: dict[str, Marked] | None = None) -> TextIndex:
+        """All segments under root, or the named ones, without what is marked."""
+        marks = marks or {}
+        totals, stored, terms = (read_part(spark, root, part, segments) for part in ("totals", "postings", "terms"))
+        docs, totals = cls.live_docs(spark, root, segments, marks).drop("lens", "segment"), totals.drop("segment")
+        if marks:
+            less = [(f, -n, -length) for m in marks.values() for f, (n, length) in m.totals.items()]
+            totals = totals.unionByName(spark.createDataFrame(less, "field string, n_docs bigint, total_len bigint"))
+        return cls(docs=docs, totals=totals, stored=stored, terms=terms, deleted=vectors(spark, root, marks), marked_in=tuple(sorted(marks)))
+
+    @staticmethod
+    def live_docs(spark: SparkSession, root: str, segments: list[str] | None, marks: dict[str, Marked]) -> DataFrame:
+        """The documents' table without what is marked: whole crawls by a filter that reaches the scan, single documents by their vectors."""
+        docs = read_part(spark, root, "docs", segments)
+        own = F.col("segment").cast("string")
+        for name, m in sorted(marks.items()):
+            if m.crawls:
+                docs = docs.where((own != name) | F.col("crawl_id").isNull() | ~F.col("crawl_id").isin(*m.crawls))
+        single = {name: Marked(vectors=m.by_id) for name, m in marks.items() if m.by_id}
+        return _unmarked(docs.withColumn("segment", own), vectors(spark, root, single), tuple(single)) if single else docs
+
+    @classmethod
+    def mark(cls, spark: SparkSession, root: str, segment: str, marked: Marked, crawls: list[str], ids: DataFrame | None = None) -> tuple[str, int, dict[str, list[int]]]:
+        """Write the ids of these crawls' live documents (those of ids alone, if given) as a deletion vector: its name, how many, and their sums by field."""
+        goes = cls.live_docs(spark, root, [segment], {segment: marked}).where(F.col("crawl_id").isin(*crawls))
+        if ids is not None:
+            goes = goes.join(ids.select("doc_id"), "doc_id", "left_semi")
+        name = uuid.uuid4().hex
+        at = f"{root}/deleted/segment={segment}/vector={name}"
+        goes.select("doc_id", "lens").write.parquet(at)
+        sums = {r["field"]: [r["n_docs"], r["total_len"]] for r in _totals(spark.read.schema("doc_id bigint, lens array<int>").parquet(at)).collect()}  # a row for each field
+        return name, max((n for n, _ in sums.values()), default=0), sums
 
     @staticmethod
     def write(docs: DataFrame, root: str, segment: str = "0") -> None:
@@ -100,18 +152,14 @@ class TextIndex:
         written = spark.read.parquet(f"{root}/docs/segment={segment}")
         _write_terms(written, all_postings(written), root, segment)
 
-    @staticmethod
-    def merge(spark: SparkSession, root: str, segments: list[str], segment: str, keep: Column | None = None, files: int | None = None) -> None:
-        """One segment out of several, without those documents that `keep` rejects; postings move, no text is read again."""
-        docs = read_part(spark, root, "docs", segments).drop("segment")
-        if keep is not None:
-            docs = docs.where(keep)
+    @classmethod
+    def merge(cls, spark: SparkSession, root: str, segments: list[str], segment: str, marks: dict[str, Marked] | None = None, files: int | None = None) -> None:
+        """One segment out of several, without what is marked; postings move, no text is read again."""
+        docs = cls.live_docs(spark, root, segments, marks or {}).drop("segment")
         (docs.repartition(files) if files else docs).write.mode("overwrite").parquet(f"{root}/docs/segment={segment}")
         written = spark.read.parquet(f"{root}/docs/segment={segment}")
-        rows = read_part(spark, root, "postings", segments).drop("segment", "bucket")
-        if keep is not None:
-            rows = rows.join(written.select("doc_id"), "doc_id", "left_semi")
-        _write_terms(written, rows, root, segment)
+        rows = _unmarked(read_part(spark, root, "postings", segments), vectors(spark, root, marks or {}), tuple(marks or ()))
+        _write_terms(written, rows.drop("segment", "bucket"), root, segment)
 
     @cached_property
     def averages(self) -> dict[str, tuple[int, float]]:
@@ -126,12 +174,17 @@ class TextIndex:
     def postings(self, terms: list[str]) -> DataFrame:
         if self.stored is None:
             return postings(self.source, terms)
-        return self._of_terms(self.stored, terms).select("field", "term", "doc_id", "tf", "len", "positions")
+        rows = _unmarked(self._of_terms(self.stored, terms), self.deleted, self.marked_in)
+        return rows.select("field", "term", "doc_id", "tf", "len", "positions")
 
     def frequencies(self, terms: list[str]) -> dict[tuple[str, str], int]:
         """(term, field) -> documents that hold it: at most terms x fields rows come back."""
         if self.terms is not None:
-            rows = self._of_terms(self.terms, terms).groupBy("term", "field").agg(F.sum("df").alias("df"))
+            counted = self._of_terms(self.terms, terms).select("term", "field", "df")
+            if self.deleted is not None:
+                marked = self._of_terms(self.stored, terms).where(F.col("segment").isin(*self.marked_in)).join(self.deleted, ["segment", "doc_id"], "left_semi")
+                counted = counted.union(marked.select("term", "field", F.lit(-1).cast("bigint")))
+            rows = counted.groupBy("term", "field").agg(F.sum("df").alias("df"))
         else:
             rows = self.postings(terms).groupBy("term", "field").agg(F.count("*").alias("df"))
         return {(r["term"], r["field"]): r["df"] for r in rows.collect()}
@@ -143,6 +196,22 @@ class TextIndex:
         return rows.where(F.col("bucket").isin(*{bucket(t) for t in terms}) & F.col("term").isin(*sorted(set(terms))))
 
 
+def vectors(spark: SparkSession, root: str, marks: dict[str, Marked]) -> DataFrame | None:
+    """(segment, doc_id) of what is marked, or nothing."""
+    paths = [f"{root}/deleted/segment={name}/vector={v}" for name, m in sorted(marks.items()) for v in m.vectors]
+    if not paths:
+        return None
+    return spark.read.option("basePath", f"{root}/deleted").schema("doc_id bigint, segment string, vector string").parquet(*paths).drop("vector")
+
+
+def _unmarked(rows: DataFrame, deleted: DataFrame | None, marked_in: tuple[str, ...]) -> DataFrame:
+    """Postings of live documents: rows of segments without marks aren't joined with anything."""
+    if deleted is None:
+        return rows
+    own = F.col("segment").isin(*marked_in)
+    return rows.where(~own).unionByName(rows.where(own).join(deleted, ["segment", "doc_id"], "left_anti"))
+
+
 #: Schemas of the partitioned parts: a segment without postings has no file to take one from.
 SCHEMAS = {
     "postings": "field string, term string, doc_id bigint, tf int, len int, positions array<int>, segment string, bucket int",

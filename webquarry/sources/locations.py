@@ -1,4 +1,4 @@
-"""Where archives come from: a file, a URL, or an item of a crawling service, stored as one string."""
+"""Where archives come from: a file, a URL, an item of a crawling service or a stream, stored as one string."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 #: Prefixes of service items; the fields that follow are split at |, the last takes the rest.
 SERVICES = ("browsertrix-public", "browsertrix")
+#: Prefix of a crawl that came by stream: its records can't be read again.
+STREAM = "stream:"
 
 
 @dataclass(frozen=True)
 class Source:
-    kind: str  # file, url, or a service
+    kind: str  # file, url, stream, or a service
     parts: tuple[str, ...]
 
     @classmethod
@@ -22,6 +24,8 @@ class Source:
         head, bar, rest = s.partition("|")
         if bar and head in SERVICES and len(p := rest.split("|", 3)) == 4:
             return cls(head, tuple(p))
+        if s.startswith(STREAM):
+            return cls("stream", (s,))
         return cls("url" if s.startswith(("http://", "https://")) else "file", (s,))
 
     @classmethod
@@ -32,7 +36,7 @@ class Source:
 
     @property
     def location(self) -> str:
-        return self.parts[0] if self.kind in ("file", "url") else "|".join((self.kind, *self.parts))
+        return self.parts[0] if self.kind in ("file", "url", "stream") else "|".join((self.kind, *self.parts))
 
     @property
     def remote(self) -> bool:
@@ -47,7 +51,7 @@ def parsed(location: Column | str) -> Column:
     c = F.col(location) if isinstance(location, str) else location
     bits = F.split(c, r"\|", 5)
     service = F.element_at(bits, 1).isin(*SERVICES) & (F.size(bits) == 5)
-    kind = F.when(service, F.element_at(bits, 1)).when(c.rlike("^https?://"), "url").otherwise("file")
+    kind = F.when(service, F.element_at(bits, 1)).when(c.rlike("^https?://"), "url").when(c.startswith(STREAM), "stream").otherwise("file")
     field = lambda i: F.when(service, F.try_element_at(bits, F.lit(i)))
     return F.struct(kind.alias("kind"), field(2).alias("host"), field(3).alias("org"), field(4).alias("item"), F.when(service, F.try_element_at(bits, F.lit(5))).otherwise(c).alias("resource"))
 

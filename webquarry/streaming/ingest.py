@@ -1,4 +1,10 @@
-"""Incremental ingest: a stream of page records is merged and upserted crawl by crawl; the checkpoint is the resume point."""
+"""Incremental ingest: a stream of page records is merged page by page and upserted; the checkpoint is the resume point.
+
+The merge of a page's records is a streaming aggregation: what is known of each page is the state, which Spark keeps
+beside the checkpoint (in RocksDB, if the session says so), and a batch gives the pages that it changed and no others.
+These go into the index as a segment of their own, and the former documents of the same pages are marked in theirs.
+So a batch costs what it touches, whatever came before.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +12,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from webquarry.config import load
 from webquarry.operators import maintain
 from webquarry.operators.documents import merge_pages
-from webquarry.plans.ingest import as_documents
-from webquarry.sources.files import Store
+from webquarry.plans.ingest import Manifest, as_documents
+from webquarry.sources import finding_aids
+from webquarry.sources.locations import STREAM
 
 
 def ingest_stream(records: DataFrame, home: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """records: the input of merge_pages, with crawl_name and collection; a crawl may come in any number of batches.
 
-    Each batch's records are kept under its number; the crawls it touches are merged again from all their records, so
-    their documents are what one batch would have given. seq must order a crawl's records over all batches. A batch
-    that is run again after a failure writes the same folder and the same documents.
+    seq must order a crawl's records over all batches: then documents are what one batch of all records would give. A
+    batch that is run again after a failure gives the same pages and replaces the same documents. Crawls are registered
+    as streamed ones, so that a rebuild keeps them. A crawl that was read from a package keeps its other documents.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = f"{home.rstrip('/')}/records"
-        batch.write.mode("overwrite").partitionBy("crawl_id").parquet(f"{folder}/batch={batch_id}")
-        written = Store(spark, f"{folder}/batch={batch_id}").names()
-        if not any(n.startswith("crawl_id=") for n in written):
+        docs = as_documents(batch, F.col("crawl_name"), F.col("collection"), load(home))
+        if maintain.upsert_documents(spark, home, docs) is None:
             return
-        kept = spark.read.option("basePath", folder).schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
-        touched = kept.where(F.col("batch") == batch_id).select("crawl_id").distinct()
-        whole = kept.where(F.col("batch") <= batch_id).join(touched, "crawl_id", "left_semi")
-        names = whole.groupBy("crawl_id").agg(F.max_by("crawl_name", "batch").alias("crawl_name"), F.max_by("collection", "batch").alias("collection"))
-        pages = merge_pages(whole).join(names, "crawl_id")
-        maintain.upsert(spark, home, as_documents(pages, F.col("crawl_name"), F.col("collection"), load(home)))
-
-    return records.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        manifest = Manifest.open(spark, home)
+        for r in batch.groupBy("crawl_id").agg(F.max_by("crawl_name", "timestamp").alias("name"), F.max_by("collection", "timestamp").alias("collection")).collect():  # a row for each crawl of the batch
+            old = manifest.rows.get(r["crawl_id"])
+            if old is None or old["source"].startswith(STREAM):
+                manifest.put({"id": r["crawl_id"], "name": r["name"], "collection": r["collection"], "source": STREAM + r["crawl_id"], "sha256": None})
+                finding_aids.seed(spark, home, r["collection"], {})
+        if maintain.fragmented(spark, home):
+            maintain.compact(spark, home)
+
+    pages = merge_pages(records, facts=("crawl_name", "collection"))
+    return pages.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 class ProgressListener(StreamingQueryListener):
