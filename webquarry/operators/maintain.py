@@ -191,8 +191,11 @@ def upsert(spark: SparkSession, home: str, docs: DataFrame, crawls: Iterable[str
         return publish(spark, home, _marking(spark, home, own | set(crawls or ())) | fresh)
 
 
-def upsert_documents(spark: SparkSession, home: str, docs: DataFrame) -> int | None:
-    """Add documents, in place of those of the same crawl and id; a crawl's other documents stay. Nothing is published if there are none."""
+def upsert_documents(spark: SparkSession, home: str, docs: DataFrame) -> DataFrame | None:
+    """Add documents, in place of those of the same crawl and id; a crawl's other documents stay. docs is evaluated once.
+
+    Returns the documents as they were written; None, and nothing is published, if there are none.
+    """
     with writer(spark, home):
         fresh = _written(spark, home, docs)
         if not fresh:
@@ -204,7 +207,8 @@ def upsert_documents(spark: SparkSession, home: str, docs: DataFrame) -> int | N
             vector = TextIndex.mark(spark, _root(home), other, own.marked, touched, ids) if touched else (None, 0, {})
             if vector[1] < own.docs:
                 now[other] = _less(own, vector, own.crawls, []) if vector[1] else own
-        return publish(spark, home, now | fresh)
+        publish(spark, home, now | fresh)
+        return read_part(spark, _root(home), "docs", [name])
 
 
 def replace_all(spark: SparkSession, home: str, docs: DataFrame, carried: Iterable[str] = ()) -> int:

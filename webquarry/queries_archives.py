@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from webquarry.operators import catalog, images, maintain
 from webquarry.plans import imports
 from webquarry.plans import search as S
 from webquarry.queries import CAP, CRAWLS_SQL, LANG, TITLE, W, captures, crawls, hits, hits_sql, index, pages, query, search_ctes, table
-from webquarry.sources import cdx, warc
+from webquarry.sources import cdx, files, packages, warc
 from webquarry.sources.files import scratch
 from webquarry.sources.html import extracted
 from webquarry.sources.locations import Source, parsed
@@ -72,6 +74,36 @@ def cdx_places(spark, sf_dir):
     return found.select("url", "mime", "offset", "length", "basename", "at")
 
 
+def packaged(spark: SparkSession, sf_dir: str, members: int = 500) -> str:
+    """A folder of packages in the shared scratch folder, each of the pages of a range of ids: gzip members and a capture index."""
+    root = f"{scratch(spark)}/webquarry-packages-{uuid.uuid4().hex}"
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by("page_id")
+        files.make_folder(root)
+        parts, lines, at = [], [], 0
+        for i, url, content in zip(*(t[c].to_pylist() for c in ("page_id", "url", "content")), strict=True):
+            parts.append(gzip.compress(content))
+            fields = {"url": url, "mime": "text/html" if i % 2 else "text/plain", "status": "200" if i % 3 else "404", "filename": "a.warc.gz", "offset": str(at), "length": str(len(parts[-1]))}
+            lines.append(f"{i:012} 20240115120000 {json.dumps(fields)}")
+            at += len(parts[-1])
+        with files.open_output(f"{root}/{t['pack'][0].as_py()}.wacz") as out, zipfile.ZipFile(out, "w") as z:
+            z.writestr("archive/a.warc.gz", b"".join(parts))
+            z.writestr("indexes/index.cdxj", "".join(x + "\n" for x in lines))
+        return pa.table({"pack": t["pack"].slice(0, 1)})
+
+    whole = record_files(spark, sf_dir).join(pages(spark, sf_dir).select("page_id", "url"), "page_id").withColumn("pack", F.floor(F.col("page_id") / members))
+    whole.groupBy("pack").applyInArrow(write, "pack bigint").count()
+    return root
+
+
+@query("SELECT url, 'text/html' AS mime, 404::INT AS status, '20240115120000' AS timestamp, sha256(html) AS payload, count(*) AS n FROM pages WHERE page_id % 2 = 1 AND page_id % 3 = 0 AND url LIKE 'http%' GROUP BY ALL")
+def package_captures(spark, sf_dir):
+    """Filters go to the packages' indexes: no other capture is read."""
+    found = packages.captures(spark, packaged(spark, sf_dir)).where("mime = 'text/html' and status = 404 and url like 'http%'")
+    return found.groupBy("url", "mime", "status", "timestamp", F.sha2("payload", 256).alias("payload")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT page_id, replace({TITLE}, '&amp;', '&') AS title, {LANG} AS lang FROM pages")
 def html_parsed_fields(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", extracted("html").alias("p")).select("page_id", "p.title", X.primary_lang("p.lang").alias("lang"))

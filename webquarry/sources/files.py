@@ -87,3 +87,21 @@ def scratch(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="webquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+def _stored(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def make_folder(path: str) -> None:
+    """From a task, in a store that Arrow knows."""
+    store, at = _stored(path)
+    store.create_dir(at, recursive=True)
+
+
+def open_output(path: str):
+    """A new file, from a task, in a store that Arrow knows."""
+    store, at = _stored(path)
+    return store.open_output_stream(at)

@@ -7,12 +7,14 @@ WARC is scanned. Packages that hold packages are expanded in place.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
 import itertools
 import json
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from typing import BinaryIO
@@ -27,6 +29,8 @@ from webquarry.sources.html import extract
 
 Opener = Callable[[str], BinaryIO]
 PdfText = Callable[[bytes], str | None]
+#: Records from the head of an inner WARC among which its warcinfo is looked for.
+HEAD_RECORDS = 8
 
 
 def open_local(path: str) -> BinaryIO:
@@ -61,6 +65,71 @@ class Window(io.RawIOBase):
         return len(data)
 
 
+class Inflated(io.RawIOBase):
+    """A deflated ZIP entry that can be sought: the inflater's state is kept every SPAN bytes, so memory stays bounded."""
+
+    SPAN = 8 << 20
+
+    def __init__(self, f: BinaryIO, start: int, packed: int, size: int):
+        self.f, self.start, self.packed, self.size, self.at = f, start, packed, size, 0
+        #: place in the content, place in the packed bytes, state
+        self.points = [(0, 0, zlib.decompressobj(-15))]
+        self._back(0)
+
+    def _back(self, to: int) -> None:
+        self.out, self.used, state = next(p for p in reversed(self.points) if p[0] <= to)
+        self.state, self.rest = state.copy(), b""
+
+    def _more(self, most: int) -> bytes:
+        while True:
+            if not self.rest and self.used < self.packed:
+                self.f.seek(self.start + self.used)
+                self.rest = self.f.read(min(1 << 16, self.packed - self.used))
+                self.used += len(self.rest)
+            had = len(self.rest)
+            data = self.state.decompress(self.rest, most)
+            self.rest = self.state.unconsumed_tail
+            self.out += len(data)
+            if self.out >= self.points[-1][0] + self.SPAN:
+                self.points.append((self.out, self.used - len(self.rest), self.state.copy()))
+            if data or self.state.eof or (not had and self.used >= self.packed):
+                return data
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = {0: 0, 1: self.at, 2: self.size}[whence] + to
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, into) -> int:
+        if self.at < self.out or any(self.out < p[0] <= self.at for p in self.points):
+            self._back(self.at)
+        while self.out < self.at:
+            if not self._more(min(1 << 20, self.at - self.out)):
+                return 0
+        data = self._more(len(into)) if len(into) else b""
+        into[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def entry_file(f: BinaryIO, info: zipfile.ZipInfo) -> BinaryIO:
+    """An entry of an open package as a file that can be sought, however it is stored; nothing is held whole."""
+    start = data_start(f, info)
+    if info.compress_type == zipfile.ZIP_STORED:
+        return io.BufferedReader(Window(f, start, info.file_size))
+    if info.compress_type == zipfile.ZIP_DEFLATED:
+        return io.BufferedReader(Inflated(f, start, info.compress_size, info.file_size))
+    raise ValueError(f"{info.filename}: neither stored nor deflated")
+
+
 def is_warc(name: str) -> bool:
     return name.startswith("archive/") and name.endswith((".warc", ".warc.gz"))
 
@@ -88,8 +157,7 @@ def nested(f: BinaryIO, z: zipfile.ZipFile) -> list[tuple[str, BinaryIO]]:
     out = []
     for i in z.infolist():
         if i.filename.endswith(".wacz"):
-            inner = io.BufferedReader(Window(f, data_start(f, i), i.file_size)) if i.compress_type == zipfile.ZIP_STORED else io.BytesIO(z.read(i))
-            out.append((i.filename, inner))
+            out.append((i.filename, entry_file(f, i)))
     return out
 
 
@@ -158,11 +226,15 @@ def cdx_entry(z: zipfile.ZipFile) -> str | None:
 
 
 def read_cdx_lines(f: BinaryIO) -> Iterator[str]:
+    """Lines of the capture index, as they are read."""
     with zipfile.ZipFile(f) as z:
         name = cdx_entry(z)
         if name:
-            data = z.read(name)
-            yield from (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace").splitlines()
+            with z.open(name) as e:
+                packed = e.peek(2)[:2] == b"\x1f\x8b"
+                with gzip.GzipFile(fileobj=e) if packed else contextlib.nullcontext(e) as lines:
+                    for line in io.TextIOWrapper(lines, "utf-8", "replace", newline="\n"):
+                        yield line.rstrip("\r\n")
 
 
 def warc_starts(f: BinaryIO) -> dict[str, int]:
@@ -171,12 +243,17 @@ def warc_starts(f: BinaryIO) -> dict[str, int]:
 
 
 def read_warcinfo(f: BinaryIO) -> dict | None:
-    """warcinfo of the first record of the first inner WARC."""
+    """The first warcinfo among the opening records of the inner WARCs, in order: only the head of each is read."""
     with zipfile.ZipFile(f) as z:
         for i in entries(z):
-            with z.open(i) as inner:
-                for r in warc.read_records(io.BytesIO(inner.read(1 << 20))):
-                    return warc.warcinfo(r["payload"]) if r["warc_type"] == "warcinfo" else None
+            for k, r in enumerate(warc.read_records(entry_file(f, i))):
+                if r["warc_type"] == "warcinfo":
+                    return warc.warcinfo(r["payload"])
+                if k >= HEAD_RECORDS:
+                    break
+        for _, inner in nested(f, z):
+            if (found := read_warcinfo(inner)) is not None:
+                return found
     return None
 
 
@@ -221,49 +298,56 @@ def raw_record(r: dict, pdf_text: PdfText | None = None) -> dict | None:
     return None
 
 
-def scan(f: BinaryIO, pdf_text: PdfText | None = None, only: str | None = None) -> Iterator[dict]:
-    """All page records of a package, inner packages included, WARC by WARC; or those of one inner file, named by its place."""
+def scan(f: BinaryIO, pdf_text: PdfText | None = None, only: str | None = None, part: tuple[int, int] | None = None) -> Iterator[dict]:
+    """All page records of a package, inner packages included, WARC by WARC; or those of one inner file, named by its place, or of a range of it."""
     with zipfile.ZipFile(f) as z:
         for name, inner in nested(f, z):
             if only is None or only.startswith(name + "!"):
-                yield from scan(inner, pdf_text, only and only.removeprefix(name + "!"))
+                yield from scan(inner, pdf_text, only and only.removeprefix(name + "!"), part)
         for i in entries(z):
             if only is not None and i.filename != only:
                 continue
-            with z.open(i) as e:
-                source = io.BufferedReader(Window(f, data_start(f, i), i.file_size)) if i.compress_type == zipfile.ZIP_STORED else io.BytesIO(e.read())
-                for r in warc.read_records(source):
-                    if (page := raw_record(r, pdf_text)) is not None:
-                        yield page
+            source = entry_file(f, i)
+            for r in warc.read_records(source) if part is None else warc.read_split(source, *part):
+                if (page := raw_record(r, pdf_text)) is not None:
+                    yield page
 
 
-def inner_files(f: BinaryIO) -> list[str]:
-    """Places of all WARCs of a package, in order: `inner.wacz!archive/a.warc.gz` for those of inner packages."""
+def inner_files(f: BinaryIO, split: int = warc.SPLIT) -> list[tuple[str, int | None, int | None]]:
+    """(place, low, high) of all WARCs of a package, in order: `inner.wacz!archive/a.warc.gz` for those of inner packages.
+
+    A large compressed one that lies uncompressed in its package is several ranges; else low and high are None.
+    """
     with zipfile.ZipFile(f) as z:
-        return [f"{name}!{x}" for name, inner in nested(f, z) for x in inner_files(inner)] + [i.filename for i in entries(z)]
+        out = [(f"{name}!{x}", low, high) for name, inner in nested(f, z) for x, low, high in inner_files(inner, split)]
+        for i in entries(z):
+            parted = i.file_size > split and i.compress_type == zipfile.ZIP_STORED and entry_file(f, i).read(2) == b"\x1f\x8b"
+            out += [(i.filename, low, high) for low, high in (warc.split_ranges(i.file_size, split) if parted else [(None, None)])]
+        return out
 
 
-def page_records(spark: SparkSession, paths: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
-    """crawl_id, seq and a page's columns for every package; paths has crawl_id and path. One task for each inner WARC.
+def page_records(spark: SparkSession, paths: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None, split: int = warc.SPLIT) -> DataFrame:
+    """crawl_id, seq and a page's columns for every package; paths has crawl_id and path. One task for each inner WARC, or each range of a large one.
 
     seq orders records as they lie in the package, rendered page texts last.
     """
     shape = pa.schema([("crawl_id", pa.string()), ("seq", pa.int64()), *((n, pa.int32() if n in ("status", "modified") else pa.string()) for n in RAW_RECORD.names)])
+    kinds = {"crawl_id": pa.string(), "path": pa.string(), "nth": pa.int64(), "inner": pa.string(), "low": pa.int64(), "high": pa.int64()}
 
     def list_inner(batches):
         for b in batches:
             rows = []
             for crawl, path in zip(b["crawl_id"].to_pylist(), b["path"].to_pylist(), strict=True):
                 with opener(path) as f:
-                    rows += [(crawl, path, k, x) for k, x in enumerate([*inner_files(f), None])]  # None: the page texts
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["crawl_id", "path", "nth", "inner"])
+                    rows += [(crawl, path, k, *x) for k, x in enumerate([*inner_files(f, split), (None, None, None)])]  # None: the page texts
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     def run(batches):
         for b in batches:
-            for crawl, path, nth, inner in zip(*(b[c].to_pylist() for c in ("crawl_id", "path", "nth", "inner")), strict=True):
+            for crawl, path, nth, inner, low, high in zip(*(b[c].to_pylist() for c in kinds), strict=True):
                 held, seq = [], nth << 40
                 with opener(path) as f:
-                    found = scan(f, pdf_text, inner) if inner is not None else text_records(f)
+                    found = scan(f, pdf_text, inner, None if low is None else (low, high)) if inner is not None else text_records(f)
                     for page in found:
                         held.append(dict.fromkeys(shape.names) | {"crawl_id": crawl, "seq": seq} | page)
                         seq += 1
@@ -274,8 +358,10 @@ def page_records(spark: SparkSession, paths: DataFrame, opener: Opener = open_lo
                     yield pa.RecordBatch.from_pylist(held, schema=shape)
 
     tasks = spark.sparkContext.defaultParallelism
-    each = paths.select("crawl_id", "path").repartition(tasks, "path").mapInArrow(list_inner, "crawl_id string, path string, nth bigint, inner string")
-    return each.repartition(tasks, "path", "inner").mapInArrow(run, _record_ddl())
+    ddl = "crawl_id string, path string, nth bigint, inner string, low bigint, high bigint"
+    each = paths.select("crawl_id", "path").repartition(tasks, "path").mapInArrow(list_inner, ddl)
+    many = each.count()  # packages' directories alone are read
+    return each.coalesce(1).repartition(max(1, many)).mapInArrow(run, _record_ddl())
 
 
 def text_records(f: BinaryIO) -> Iterator[dict]:

@@ -1,8 +1,10 @@
 """WARC records as a Spark data source: spark.read.format("warc").load(path).
 
 Files are told apart by their first bytes, not their names. A gzip file is a series of members; a record
-carries the offset and length of its member, which several records may share. Every file is a partition
-of its own; records are emitted as they are parsed, never gathered.
+carries the offset and length of its member, which several records may share. A compressed file is split into
+byte ranges of `splitBytes` (option), each a partition: a range has the members that begin in it, the first of
+which is found by a member header that inflates to the begin of a record. Uncompressed files are a partition
+each, as a record's payload may hold whole records. Records are emitted as they are parsed, never gathered.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from webquarry.model import WARC_RECORD, WARCINFO
 
 CHUNK = 1 << 16
+#: Bytes of a compressed file that one partition reads.
+SPLIT = 128 << 20
 
 
 def digits14(s: str) -> str:
@@ -139,6 +143,58 @@ def gzip_members(f: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
         base += used
 
 
+def opens_record(data: bytes) -> bool:
+    """Whether a gzip member begins here whose content begins like a record. data: some of the file from here on."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def first_member(f: BinaryIO, low: int, high: int) -> int | None:
+    """Place of the first member with records that begins in low..high - 1."""
+    at, buf = low, b""
+    f.seek(low)
+    while at < high:
+        more = f.read(CHUNK)
+        buf += more
+        found = buf.find(b"\x1f\x8b\x08")
+        while 0 <= found and at + found < high:
+            if len(buf) - found < CHUNK // 2 and more:
+                break  # too little of it is read yet
+            if opens_record(buf[found : found + CHUNK]):
+                return at + found
+            found = buf.find(b"\x1f\x8b\x08", found + 1)
+        if not more:
+            return None
+        keep = found if found >= 0 else max(0, len(buf) - 2)
+        at, buf = at + keep, buf[keep:]
+    return None
+
+
+def split_ranges(size: int, split: int = SPLIT) -> list[tuple[int, int]]:
+    return [(low, min(size, low + split)) for low in range(0, max(1, size), split)]
+
+
+def read_split(f: BinaryIO, low: int, high: int) -> Iterator[dict]:
+    """Records of the members of a compressed file that begin in low..high - 1."""
+    start = first_member(f, low, high) if low else 0
+    if start is None:
+        return
+    f.seek(start)
+    end = start
+    for offset, length, content in gzip_members(f):
+        if start + offset >= high:
+            return
+        for _, block in split_records(content):
+            yield parse_record(block, start + offset, length)
+        end = start + offset + length
+    f.seek(end)
+    if low and end < high and f.read(1):
+        # a file inside a record may look like members: rather stop than give its records for the archive's
+        raise ValueError(f"members end at byte {end}, before their range does: read this file with splitBytes of its size or more")
+
+
 def plain_records(f: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and bytes of each record of an uncompressed file, read record by record."""
     buf, base = b"", 0
@@ -193,8 +249,33 @@ def row(r: dict) -> tuple:
     return tuple(r[n] for n in WARC_RECORD.names)
 
 
+def open_file(path: str) -> BinaryIO:
+    """A file of the shared file system, or of a store that Arrow knows, by its URI."""
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path)
+        return store.open_input_file(at)
+    return open(path.removeprefix("file://"), "rb")
+
+
+def list_files(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of all files with these endings in a folder, or of those that a pattern names."""
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path)
+        head = path[: len(path) - len(at)]
+        info = store.get_file_info(at)
+        found = [info] if info.type == fs.FileType.File else [i for i in store.get_file_info(fs.FileSelector(at, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(endings)]
+        return sorted((head + i.path, i.size) for i in found)
+    path = path.removeprefix("file://")
+    names = [os.path.join(d, n) for d, _, ns in os.walk(path) for n in ns if n.endswith(endings)] if os.path.isdir(path) else glob.glob(path)
+    return [(n, os.path.getsize(n)) for n in sorted(names)]
+
+
 class WarcDataSource(DataSource):
-    """format("warc"): path is a file, a folder or a pattern on a file system that executors share."""
+    """format("warc"): path is a file, a folder or a pattern on a file system that executors share, or a URI."""
 
     @classmethod
     def name(cls) -> str:
@@ -204,23 +285,27 @@ class WarcDataSource(DataSource):
         return WARC_RECORD
 
     def reader(self, schema):
-        return WarcReader(self.options.get("path", ""))
+        return WarcReader(self.options.get("path", ""), int(self.options.get("splitBytes", SPLIT)))
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+    def __init__(self, path: str, split: int = SPLIT):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
-            names = [os.path.join(d, n) for d, _, ns in os.walk(self.path) for n in ns if n.endswith((".warc", ".warc.gz"))]
-        else:
-            names = glob.glob(self.path)
-        return [InputPartition(n) for n in sorted(names)]
+        out = []
+        for name, size in list_files(self.path, (".warc", ".warc.gz")):
+            ranges = [(0, size)]
+            if size > self.split:
+                with open_file(name) as f:
+                    ranges = split_ranges(size, self.split) if f.read(2) == b"\x1f\x8b" else ranges
+            out += [InputPartition((name, low, high, len(ranges) > 1)) for low, high in ranges]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            for r in read_records(f):
+        name, low, high, parted = partition.value
+        with open_file(name) as f:
+            for r in read_split(f, low, high) if parted else read_records(f):
                 yield row(r)
 
 

@@ -20,6 +20,7 @@ from webquarry.operators.documents import merge_pages
 from webquarry.plans.ingest import Manifest, as_documents
 from webquarry.sources import finding_aids
 from webquarry.sources.locations import STREAM
+from webquarry.sources.package_stream import registered
 
 
 def ingest_stream(records: DataFrame, home: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -27,19 +28,21 @@ def ingest_stream(records: DataFrame, home: str, checkpoint: str, trigger: dict
 
     seq must order a crawl's records over all batches: then documents are what one batch of all records would give. A
     batch that is run again after a failure gives the same pages and replaces the same documents. Crawls are registered
-    as streamed ones, so that a rebuild keeps them. A crawl that was read from a package keeps its other documents.
+    as streamed ones, which a rebuild keeps, or with the registered package that they came from, which a rebuild reads
+    again. A crawl that was read from a package before keeps its other documents.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = as_documents(batch, F.col("crawl_name"), F.col("collection"), load(home))
-        if maintain.upsert_documents(spark, home, docs) is None:
+        written = maintain.upsert_documents(spark, home, as_documents(batch, F.col("crawl_name"), F.col("collection"), load(home)))
+        if written is None:
             return
-        manifest = Manifest.open(spark, home)
-        for r in batch.groupBy("crawl_id").agg(F.max_by("crawl_name", "timestamp").alias("name"), F.max_by("collection", "timestamp").alias("collection")).collect():  # a row for each crawl of the batch
+        manifest, packages = Manifest.open(spark, home), {r["id"]: r["source"] for r in registered(spark, home)}
+        crawls = written.groupBy("crawl_id").agg(*[F.max_by(c, "timestamp").alias(c) for c in ("crawl_name", "collection")]).collect()  # a row for each crawl of the batch
+        for r in crawls:
             old = manifest.rows.get(r["crawl_id"])
             if old is None or old["source"].startswith(STREAM):
-                manifest.put({"id": r["crawl_id"], "name": r["name"], "collection": r["collection"], "source": STREAM + r["crawl_id"], "sha256": None})
+                manifest.put({"id": r["crawl_id"], "name": r["crawl_name"], "collection": r["collection"], "source": packages.get(r["crawl_id"], STREAM + r["crawl_id"]), "sha256": None})
                 finding_aids.seed(spark, home, r["collection"], {})
         if maintain.fragmented(spark, home):
             maintain.compact(spark, home)
