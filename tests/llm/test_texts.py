@@ -72,6 +72,19 @@ def sql(query, rows=ROWS):
     return {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in cur.fetchall()}
 
 
+def sql_of(query, **tables):
+    """(names, rows) of a query over tables given as (rows, column names); types come from pandas with nullable integers."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for name, (rows, columns) in tables.items():
+        df = pd.DataFrame(rows, columns=columns)
+        con.register(name, df.astype({c: "Int64" for c in columns if c.endswith("_id") or c == "turn"}))
+    cur = con.execute(query)
+    return [d[0] for d in cur.description], cur.fetchall()
+
+
 OPERATORS = {
     "suffix": suffix_dedup.suffix_dedup,
     "mixing": mixing.mixed,
