@@ -11,7 +11,10 @@ hash of the id); prediction reads every whole text. Text is case-folded in ASCII
 and white space count as one kind of gap.
 
 Defined results: null, empty and letterless texts give `und` with score 0; with no labelled text all
-give `und`; ties go to the language first in code point order; repeated rows are predicted alike.
+give `und`; ties go to the language first in code point order; repeated rows are predicted alike; a very
+long text is judged as a whole; a null id is an id like any other (in the choice of the sample too); an empty
+table gives an empty result; further columns are ignored. Grams that the sample holds once don't count (they
+can't be characteristic), nor do those that are less than OWN times as frequent in a language as elsewhere.
 """
 
 from __future__ import annotations

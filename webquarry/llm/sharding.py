@@ -10,7 +10,9 @@ Slots are gapless in each shard: documents are counted by (shard, part of the id
 offsets, and ranks are taken inside the small parts.
 
 Defined results: a null text has size 1 and groups with empty texts; an empty table gives an empty
-result; repeated rows share a group and get slots of their own; further columns are ignored.
+result; repeated rows share a group and get slots of their own; a very long text counts with all its bytes; a null
+id is an id like any other; groups of one size go by their digest, bins and shards of one load by their number;
+further columns are ignored.
 """
 
 from __future__ import annotations
