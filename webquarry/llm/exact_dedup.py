@@ -31,6 +31,8 @@ from webquarry.llm.common import bitmap, columns, cut, discard, fresh, parted, p
 
 #: Rows that a scan task gathers before it collapses equal ones; digests that a new filter has room for; fill at which one is resized.
 COLLAPSE_ROWS, ROOM, FULL = 500_000, 1024, 0.85
+#: Digests of a bucket, about: a task holds one bucket's filter and the digests that it is resized from.
+BUCKET = 200_000
 
 
 class FilterFull(Exception):
@@ -241,8 +243,9 @@ def _verified(docs: DataFrame, hits: DataFrame, text: str) -> None:
 def groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """digest (binary SHA-256), mark, keep_id, group_size: one row for each text that may have copies; all others stand alone."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    coming = cut(_collapsed(_keyed(docs, text)).withColumn("bucket", _bucket("digest", 4 * partitions(spark))), "digests")
-    events = coming.select("bucket", F.lit(COMES).alias("op"), "digest", F.when(F.col("n") > 1, F.lit(b"copies")).alias("data"))
+    coming = cut(_collapsed(_keyed(docs, text)), "digests")
+    buckets = max(4 * partitions(spark), -(-coming.count() // BUCKET))
+    events = coming.withColumn("bucket", _bucket("digest", buckets)).select("bucket", F.lit(COMES).alias("op"), "digest", F.when(F.col("n") > 1, F.lit(b"copies")).alias("data"))
     probed = events.repartition("bucket").sortWithinPartitions("bucket", "op").mapInArrow(_probe, "bucket int, op int, digest binary, data binary, hit boolean")
     hits = cut(probed.where((F.col("op") == COMES) & (F.col("hit") | F.col("data").isNotNull())).select("digest").distinct(), "hits")
     _verified(docs, hits, text)
