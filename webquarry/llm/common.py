@@ -25,6 +25,8 @@ PASS_BYTES = 2 << 20
 
 #: Set while a table is written: the files of that write's shuffles go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that goes to a Python worker while a table is written: what a task holds on both sides of the way.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Paths of the tables that cut() made and nothing has deleted yet.
 LIVE: list[str] = []
 
@@ -54,12 +56,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, "false")
+    """The settings of a scratch table's write: its shuffle files go when it ends, and batches for Python are small."""
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @contextlib.contextmanager

@@ -127,7 +127,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = text_buffer(b["text"])
-            for i, j in passes(offsets, PASS_BYTES // 2):  # its points are many times its text
+            for i, j in passes(offsets, PASS_BYTES // 4):  # its points are many times its text
                 doc, key, weight = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 some = np.zeros(j - i, np.int64)
                 some[doc] = bands
