@@ -20,7 +20,7 @@ def brute(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"SLICE_BYTES": 8 * 12 * 50, "GROUP": 3}])
+@pytest.mark.parametrize("limits", [{}, {"SLICE_BYTES": 8 * 12 * 50, "GROUP": 3}, {"SLICE_BYTES": 8 * 12 * 50, "GROUP": 9, "STEP": 2}])
 def test_topk(spark, monkeypatch, limits):
     for name, v in limits.items():
         monkeypatch.setattr(topk, name, v)
@@ -74,3 +74,9 @@ def test_bounds_hold_with_floors():
     floor = np.sort(scores, 1)[:, -5].astype(float)
     row, name, score = topk.best(x, np.arange(300), q, np.full(20, -1), rotation, 5, floor=floor)
     assert all(sorted(score[row == i].tolist()) == sorted(np.sort(scores[i])[-5:].tolist()) for i in range(20))
+
+
+def test_an_id_of_several_vectors_asks_with_its_greatest(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [0.0, 9.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0)], SCHEMA)
+    got = [tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 65536), (0, 2, 1, 0)]

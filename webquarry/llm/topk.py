@@ -6,7 +6,7 @@ All queries meet the slice of the longest vectors first, which gives each a floo
 A query goes on only to those further slices whose greatest length times its own reaches its floor; as
 slices are ordered by length, these are the first few. Queries of like reach form groups, and a slice is
 dealt only to groups that reach it: whole slices are skipped, for most queries most of them. Inside a
-slice a task walks by descending length in growing blocks: a query whose length times the block's
+slice a task passes a group's queries by, STEP at a time, and walks by descending length in growing blocks: a query whose length times the block's
 greatest length is below its floor is done; for the others the partial product over the first components
 plus the product of the residual lengths (Cauchy-Schwarz) bounds each score from above, and only
 candidates whose bound reaches the floor get their exact integer product. The k best of all slices are
@@ -16,7 +16,7 @@ The rotation only decides how much is pruned; bounds carry a margin for rounding
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither as
 queries nor as candidates; shorter vectors count as padded with zeros; ties go to the smaller id; rows
-that repeat a query's id are the query itself; an empty table gives an empty result; further columns are
+that repeat a query's id are the query itself, and of its vectors the greatest by components asks; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from webquarry.llm.common import columns, cut
 
 SCALE, K = 256, 5
-#: Bytes of a slice's components, queries of a group (in the opening slice, and beyond), vectors that the rotation is fitted on, components of a partial sum.
-SLICE_BYTES, OPENING, GROUP, SAMPLE, PARTIAL = 4 << 20, 256, 2048, 4096, 16
+#: Bytes of a slice's components, queries of a group (in the opening slice, and beyond), queries of one pass over a slice, vectors that the rotation is fitted on, components of a partial sum.
+SLICE_BYTES, OPENING, GROUP, STEP, SAMPLE, PARTIAL = 4 << 20, 256, 32_768, 2048, 4096, 16
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -114,11 +114,15 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SC
     # one number for each slice of SLICE_BYTES
     bounds = ranged.groupBy("slice").agg(F.max("norm").alias("top")).orderBy("slice").toPandas()
     numbers, tops = bounds["slice"].to_numpy(), bounds["top"].to_numpy()
-    queries = whole.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "v", "norm")
+    # of several vectors of one id the greatest asks
+    queries = whole.where("is_query").groupBy("vec_id").agg(F.max(F.struct("v", "norm")).alias("most")).select("vec_id", "most.v", "most.norm")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, ids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        row, name, score = best(_matrix(left["v"], width), ids, _matrix(right["v"], width), q_ids, rotation, k, floor=right["floor"].to_numpy())
+        x, q, floor = _matrix(left["v"], width), _matrix(right["v"], width), right["floor"].to_numpy()
+        found = [best(x, ids, q[at : at + STEP], q_ids[at : at + STEP], rotation, k, floor=floor[at : at + STEP]) for at in range(0, max(1, len(q)), STEP)]
+        row = np.concatenate([f[0] + at for f, at in zip(found, range(0, max(1, len(q)), STEP), strict=True)])
+        name, score = (np.concatenate([f[i] for f in found]) for i in (1, 2))
         return pa.table({"query_id": pa.array(q_ids[row], right.schema.field("vec_id").type), "vec_id": pa.array(name, left.schema.field("vec_id").type), "score": pa.array(score, pa.int64())})
 
     def meet(candidates: DataFrame, asking: DataFrame) -> DataFrame:
