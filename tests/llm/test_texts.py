@@ -591,15 +591,19 @@ def test_class_probabilities_sum_to_one():
 
 
 def test_word_probabilities_sum_to_one():
-    """All words of a class and one unknown word."""
+    """All words of a bucket and one unknown word; all buckets of a class."""
     key = np.unique(np.random.default_rng(1).integers(0, 2**62, 500).astype(np.uint64))
     count = np.arange(len(key)) % 7 + 1
-    cls = maxent_lm.classes(key, key[:5])
-    sums = np.bincount(cls, weights=count, minlength=maxent_lm.CLASSES) + np.bincount(cls, minlength=maxent_lm.CLASSES)
-    model = maxent_lm.Model(key[:5], key[:5], None, None, np.log10(sums + 1.0))
+    own = maxent_lm.buckets(key, maxent_lm.classes(key, key[:5]))
+    hashed = own[own >= 0]
+    sums = np.bincount(hashed, weights=count[own >= 0], minlength=maxent_lm.INSIDE) + np.bincount(hashed, minlength=maxent_lm.INSIDE)
+    model = maxent_lm.Model(key[:5], key[:5], None, None, None, None, np.log10(sums + 1.0))
     p = 10 ** model.of_words(key, count)
-    for c in range(maxent_lm.HASHED):
-        assert p[cls == c].sum() + 10 ** -model.inside[c] == pytest.approx(1)
+    for b in range(maxent_lm.INSIDE):
+        assert p[own == b].sum() + 10 ** -model.inside[b] == pytest.approx(1)
+    rng = np.random.default_rng(2)
+    table = maxent_lm.inner_softmax(rng.normal(size=(2 * maxent_lm.STATES, maxent_lm.HASHED, maxent_lm.BUCKETS)), np.zeros((maxent_lm.HASHED, maxent_lm.BUCKETS)), rng.integers(0, 256, 50), rng.integers(0, 256, 50), rng.integers(0, 32, 50))
+    assert np.exp(table).sum(1) == pytest.approx(1)
 
 
 def test_scores_by_one_word_after_the_other(docs, monkeypatch):
@@ -608,12 +612,12 @@ def test_scores_by_one_word_after_the_other(docs, monkeypatch):
 
     kept = []
     plain = maxent_lm.train
-    monkeypatch.setattr(maxent_lm, "train", lambda counts: kept.append(plain(counts)) or kept[-1])
+    monkeypatch.setattr(maxent_lm, "train", lambda counts, inside: kept.append(plain(counts, inside)) or kept[-1])
     tops = []
     found = maxent_lm.frequent_words
     monkeypatch.setattr(maxent_lm, "frequent_words", lambda d: tops.append(found(d)) or tops[-1])
     got = by_id(maxent_lm.scored(docs, maxent_lm.fold_of() % 7 == 2))
-    (weights, bias), top = kept[0], tops[0]
+    (weights, bias, inner, inner_bias), top = kept[0], tops[0]
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
     key_of, texts = {}, {i: WORD.findall(t.encode().translate(low)) for i, t in TEXT.items()}
     for i, own in texts.items():
@@ -626,8 +630,9 @@ def test_scores_by_one_word_after_the_other(docs, monkeypatch):
     frequent, named = sorted(int(k) for k in top[: maxent_lm.FREQUENT]), sorted(int(k) for k in top)
     class_of = lambda w: maxent_lm.END_CLASS if w is None else maxent_lm.HASHED + frequent.index(key_of[w]) if key_of[w] in frequent else key_of[w] % maxent_lm.HASHED
     members = collections.defaultdict(set)
+    bucket_of = lambda w: (class_of(w), key_of[w] >> 59)
     for w in count:
-        members[class_of(w)].add(w)
+        members[bucket_of(w)].add(w)
 
     def state(w):
         if w is None:
@@ -642,8 +647,11 @@ def test_scores_by_one_word_after_the_other(docs, monkeypatch):
             top_z, c = max(z), class_of(own[k])
             score += (z[c] - top_z - math.log(sum(math.exp(v - top_z) for v in z))) / math.log(10)
             if c < maxent_lm.HASHED:
-                score += math.log10((count[own[k]] + 1) / (sum(count[w] for w in members[c]) + len(members[c]) + 1))
-        assert got[i]["score"] == pytest.approx(score), i
+                c, b = bucket_of(own[k])
+                z = [float(inner[state(own[k - 1])][c][x] + inner[maxent_lm.STATES + state(own[k - 2])][c][x] + inner_bias[c][x]) for x in range(maxent_lm.BUCKETS)]
+                score += (z[b] - max(z) - math.log(sum(math.exp(v - max(z)) for v in z))) / math.log(10)
+                score += math.log10((count[own[k]] + 1) / (sum(count[w] for w in members[c, b]) + len(members[c, b]) + 1))
+        assert got[i]["score"] == pytest.approx(score, rel=1e-5), i
 
 
 def test_uneven_ids_do_not_meet_in_one_unit(spark, monkeypatch):

@@ -1,16 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class of a word is its own for the end
-token and for the most frequent words, and a hash of its last bytes otherwise. P(class | history) is a
-maximum-entropy model over hashed features of the words before: the last one (bigram), the one before it
-(skip) and the pair (trigram). A word counts in a history as itself if it is among the frequent ones and
-by a hash otherwise. P(word | class) is the softmax of the words' own weights alone, whose optimum is
-add-one smoothed counting, with one place for unknown words.
+P(word | history) = P(class | history) * P(bucket | class, history) * P(word | bucket). The class of a word
+is its own for the end token and for the most frequent words, and a hash of its last bytes otherwise; the
+words of a hashed class are dealt to buckets by hash. P(class | history) is a maximum-entropy model over
+hashed features of the words before: the last one (bigram), the one before it (skip) and the pair (trigram).
+P(bucket | class, history) is one over the features of the last word (bigram) and the one before it (skip),
+each with the class. A word counts in a history as itself if it is among the frequent ones and by a hash
+otherwise. P(word | bucket) is the softmax of the words' own weights alone, whose optimum is add-one
+smoothed counting, with one place for unknown words.
 
 1. One pass counts all training words, every task its own and their sums by hash; a top-k of these sums gives
    the frequent words of the whole corpus.
 2. Every scan task counts words, as 64-bit hashes, for each unit (some thousand documents) and sends them
-   as sorted blobs to the partition of the hash; counts of (history, class) go along, sparse.
+   as sorted blobs to the partition of the hash; counts of (history, class), and of either word before with
+   (class, bucket), go along, sparse.
 3. A hash partition adds up its words over all units, one hash range after the other, and replies to each
    unit with the counts of the unit's own words; so words travel once for each unit, never once for each
    document.
@@ -43,6 +46,10 @@ from webquarry.llm.common import PASS_BYTES, columns, cut, discard, mix, padded,
 HASHED, FREQUENT = 32, 31
 CLASSES = HASHED + FREQUENT + 1
 END_CLASS = CLASSES - 1
+#: Buckets of a hashed class, and of all.
+BUCKETS = 32
+INSIDE = HASHED * BUCKETS
+SUMS = CLASSES + INSIDE
 END = np.uint64(0xE2D0_0000_0000_0000)
 #: What a word before counts as: one of the NAMED most frequent, a hash of the rest, or the border of the text.
 NAMED, STATES = 191, 256
@@ -86,6 +93,11 @@ def classes(key: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return out
 
 
+def buckets(key: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Number of each word's bucket among all; -1 for words of classes of their own."""
+    return np.where(cls < HASHED, cls * BUCKETS + (key >> np.uint64(59)).astype(np.int64), -1)
+
+
 def states(key: np.ndarray, named: np.ndarray) -> np.ndarray:
     """What each word counts as in a history. named: sorted keys of the frequent words."""
     out = NAMED + (mix(key) % np.uint64(STATES - NAMED - 1)).astype(np.int64)
@@ -122,8 +134,16 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, active: np.ndarray) -> np
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train(counts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """counts: p (state of the word two before), n (counts of the last state and the class, as bytes). Returns weights and bias."""
+def inner_softmax(weights: np.ndarray, bias: np.ndarray, one: np.ndarray, two: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log P(bucket | class, words before) of all buckets of a class. weights: (2 * STATES, HASHED, BUCKETS), bias: (HASHED, BUCKETS)."""
+    z = weights[one, cls] + weights[STATES + two, cls] + bias[cls]
+    z -= z.max(-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+
+
+def train(counts: DataFrame, seen_inside: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """counts: p (state of the word two before), n (counts of the last state and the class, as bytes); seen_inside: counts of
+    (last state, bucket), then of (state before it, bucket). Returns weights and bias of classes, weights and bias of buckets."""
     spark = counts.sparkSession
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,28 +156,38 @@ def train(counts: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarr
     total = sum((np.frombuffer(r["n"], np.int64) for r in counts.select("n").coalesce(GRADIENT_TASKS).mapInArrow(add, "n binary").collect()), np.zeros(CLASSES, np.int64))
     bias = np.log((total + 1) / (total.sum() + CLASSES))
     weights = np.zeros((FEATURES, CLASSES), np.float32)
+    held = seen_inside[:STATES].sum(0).reshape(HASHED, BUCKETS)
+    inner, inner_bias = np.zeros((2 * STATES, HASHED, BUCKETS), np.float32), np.log((held + 1) / (held.sum(1, keepdims=True) + BUCKETS))
     for _ in range(epochs if total.sum() else 0):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast((weights, inner))
 
         def gradient(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seen, want = np.zeros((2, FEATURES, CLASSES))
+            weights, inner = shared.value
+            inside, every = np.zeros((2 * STATES, HASHED, BUCKETS)), np.arange(HASHED)[None]
             for b in batches:
                 for two, n in zip(b["p"].to_pylist(), b["n"].to_pylist(), strict=True):
                     rows = features(two * STATES + np.arange(STATES))
                     n = np.frombuffer(n, np.int64).reshape(STATES, CLASSES).astype(float)
-                    p = np.exp(log_softmax(shared.value, bias, rows)) * n.sum(1, keepdims=True)
+                    p = np.exp(log_softmax(weights, bias, rows)) * n.sum(1, keepdims=True)
                     for f in range(rows.shape[1]):
                         np.add.at(seen, rows[:, f], n)
                         np.add.at(want, rows[:, f], p)
-            yield pa.RecordBatch.from_arrays([pa.array([seen.astype(np.float32).tobytes()]), pa.array([want.astype(np.float32).tobytes()])], names=["seen", "want"])
+                    one = np.flatnonzero(n[:, :HASHED].any(1))
+                    q = np.exp(inner_softmax(inner, inner_bias, one[:, None], np.full((len(one), 1), two), every)) * n[one, :HASHED, None]
+                    inside[one] += q
+                    inside[STATES + two] += q.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in (seen, want, inside)], names=["seen", "want", "inside"])
 
         # the histories are STATES rows whatever the corpus, and so are the sums: a few tasks
-        parts = counts.select("p", "n").coalesce(GRADIENT_TASKS).mapInArrow(gradient, "seen binary, want binary").collect()
+        parts = counts.select("p", "n").coalesce(GRADIENT_TASKS).mapInArrow(gradient, "seen binary, want binary, inside binary").collect()
         seen, want = (sum(np.frombuffer(r[c], np.float32).reshape(FEATURES, CLASSES).astype(float) for r in parts) for c in ("seen", "want"))
+        inside = sum(np.frombuffer(r["inside"], np.float32).reshape(inner.shape).astype(float) for r in parts)
         # gradient of the log likelihood with a Gaussian prior, scaled by its own curvature
         weights = (weights + np.clip((seen - want - PRIOR * weights) / (3 * (want + PRIOR)), -1, 1)).astype(np.float32)
+        inner = (inner + np.clip((seen_inside.reshape(inner.shape) - inside - PRIOR * inner) / (2 * (inside + PRIOR)), -1, 1)).astype(np.float32)
         shared.destroy()
-    return weights.astype(float), bias
+    return weights.astype(float), bias, inner, inner_bias.astype(np.float32)
 
 
 def frequent_words(docs: DataFrame, most: int = NAMED) -> np.ndarray:
@@ -189,10 +219,10 @@ def frequent_words(docs: DataFrame, most: int = NAMED) -> np.ndarray:
 
 
 def _requests(docs: DataFrame, parts: int, frequent: np.ndarray, named: np.ndarray) -> DataFrame:
-    """p (hash range of the words, or parts + a state for counts of histories), unit, keys, n."""
+    """p (hash range of the words; parts + a state for counts of histories; parts + STATES and more for those of buckets), unit, keys, n."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, size = np.zeros(STATES * STATES * CLASSES, np.int64), [], 0
+        grams, inside, held, size = np.zeros(STATES * STATES * CLASSES, np.int64), np.zeros(2 * STATES * INSIDE, np.int64), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             unit = np.concatenate([x[0] for x in held])
@@ -217,8 +247,13 @@ def _requests(docs: DataFrame, parts: int, frequent: np.ndarray, named: np.ndarr
                 many = np.diff(border)
                 learn = np.repeat(train[i:j], many)
                 cls = classes(key, frequent)
-                cell, n = np.unique((histories(states(key, named), border) * CLASSES + cls)[learn], return_counts=True)
+                before = histories(states(key, named), border)
+                cell, n = np.unique((before * CLASSES + cls)[learn], return_counts=True)
                 grams[cell] += n
+                own = buckets(key, cls)
+                some = learn & (own >= 0)
+                for side, state in enumerate((before[some] % STATES, before[some] // STATES)):
+                    inside += np.bincount((side * STATES + state) * INSIDE + own[some], minlength=len(inside))
                 held.append((np.repeat(units[i:j], many), key, learn))
                 size += len(key)
                 if size >= HELD:
@@ -226,10 +261,10 @@ def _requests(docs: DataFrame, parts: int, frequent: np.ndarray, named: np.ndarr
                     held, size = [], 0
         if held:
             yield from flush()
-        grams = grams.reshape(STATES, -1)
-        for two in np.flatnonzero(grams.any(1)):
-            cell = np.flatnonzero(grams[two])
-            yield pa.RecordBatch.from_arrays([pa.array([parts + two], pa.int32()), pa.array([-1], pa.int64()), pa.array([cell.astype(np.uint32).tobytes()], pa.binary()), pa.array([grams[two, cell].tobytes()], pa.binary())], names=["p", "unit", "keys", "n"])
+        for first, table in ((parts, grams.reshape(STATES, -1)), (parts + STATES, inside.reshape(2 * STATES, -1))):
+            for k in np.flatnonzero(table.any(1)):
+                cell = np.flatnonzero(table[k])
+                yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int32()), pa.array([-1], pa.int64()), pa.array([cell.astype(np.uint32).tobytes()], pa.binary()), pa.array([table[k, cell].tobytes()], pa.binary())], names=["p", "unit", "keys", "n"])
 
     return docs.select("text", "unit", "train").mapInArrow(run, "p int, unit bigint, keys binary, n binary")
 
@@ -244,7 +279,10 @@ def _replies(parts: int, frequent: np.ndarray):
         key, back = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
         total = np.bincount(back, weights=np.concatenate([n for _, _, n in asked])).astype(np.int64)
         seen, cls = total > 0, classes(key, frequent)
-        sums = np.stack([np.bincount(cls, weights=total, minlength=CLASSES), np.bincount(cls[seen], minlength=CLASSES)]).astype(np.int64)
+        own = buckets(key, cls)
+        in_bucket = own >= 0
+        both = lambda of, size, n, some: [np.bincount(of, weights=n, minlength=size), np.bincount(of[some], minlength=size)]
+        sums = np.concatenate([both(cls, CLASSES, total, seen), both(own[in_bucket], INSIDE, total[in_bucket], seen[in_bucket])], 1).astype(np.int64)
         yield row(p, -2, b"", sums.tobytes())
         kind, at = np.int64 if total.max() >= 2**32 else np.uint32, 0
         for unit, k, _ in asked:
@@ -257,7 +295,7 @@ def _replies(parts: int, frequent: np.ndarray):
             for p, unit, keys, n in zip(*(b[c].to_pylist() for c in ("p", "unit", "keys", "n")), strict=True):
                 if p != now:
                     yield from finish(now, asked, cells)
-                    now, asked, cells = p, [], np.zeros(STATES * CLASSES, np.int64) if p >= parts else None
+                    now, asked, cells = p, [], np.zeros(STATES * CLASSES if p < parts + STATES else INSIDE, np.int64) if p >= parts else None
                 if p >= parts:
                     cells[np.frombuffer(keys, np.uint32)] += np.frombuffer(n, np.int64)
                 else:
@@ -275,12 +313,14 @@ def _replies(parts: int, frequent: np.ndarray):
 
 @dataclass
 class Model:
-    """Class keys (sorted), history keys (sorted), weights, bias, and log10 of each class's words and places."""
+    """Class keys (sorted), history keys (sorted), weights and bias of classes and of buckets, and log10 of each bucket's words and places."""
 
     frequent: np.ndarray
     named: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
     inside: np.ndarray
 
     def of_classes(self, key: np.ndarray, border: np.ndarray) -> np.ndarray:
@@ -295,27 +335,38 @@ class Model:
             out[own] = table[back[own] - at, cls[own]]
         return out / np.log(10)
 
+    def of_buckets(self, key: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """log10 P(bucket | class, history) of every token; classes of one word have no buckets."""
+        before, cls, out = histories(states(key, self.named), border), classes(key, self.frequent), np.zeros(len(key))
+        own = buckets(key, cls)
+        hashed = np.flatnonzero(own >= 0)
+        for at in range(0, len(hashed), 4 * STEP):
+            rows = hashed[at : at + 4 * STEP]
+            table = inner_softmax(self.inner, self.inner_bias, before[rows] % STATES, before[rows] // STATES, cls[rows])
+            out[rows] = table[np.arange(len(rows)), own[rows] % BUCKETS]
+        return out / np.log(10)
+
     def of_words(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(word | class); classes of one word are sure of it."""
-        cls = classes(key, self.frequent)
-        return np.where(cls < HASHED, np.log10(count + 1.0) - self.inside[cls], 0.0)
+        """log10 P(word | bucket); classes of one word are sure of it."""
+        own = buckets(key, classes(key, self.frequent))
+        return np.where(own >= 0, np.log10(count + 1.0) - self.inside[own], 0.0)
 
 
 def _class_sums(replies: DataFrame) -> np.ndarray:
-    """Tokens and words of each class, summed up by the executors."""
+    """Tokens and words of each class, then of each bucket, summed up by the executors."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * CLASSES, np.int64)
+        out = np.zeros(2 * SUMS, np.int64)
         for b in batches:
             for n in b["n"].to_pylist():
                 out += np.frombuffer(n, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * CLASSES)), pa.array(out)], names=["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * SUMS)), pa.array(out)], names=["k", "n"])
 
     rows = replies.where("unit = -2").select("n").mapInArrow(add, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(2 * CLASSES, np.int64)
+    out = np.zeros(2 * SUMS, np.int64)
     for r in rows:
         out[r["k"]] = r["n"]
-    return out.reshape(2, CLASSES)
+    return out.reshape(2, SUMS)
 
 
 def _units(docs: DataFrame, kind: str) -> tuple[DataFrame, int]:
@@ -349,11 +400,14 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     requests = _requests(ready, parts, frequent, named).repartition(parts, "p").sortWithinPartitions("p")
     replies = cut(requests.mapInArrow(_replies(parts, frequent), "p int, unit bigint, keys binary, n binary"), "replies")
     sums = _class_sums(replies)
-    counted = cut(replies.where("unit = -1").select("p", "n").repartition(GRADIENT_TASKS), "histories")
-    weights, bias = train(counted)
+    counted = cut(replies.where(f"unit = -1 and p < {STATES}").select("p", "n").repartition(GRADIENT_TASKS), "histories")
+    seen_inside = np.zeros((2 * STATES, INSIDE), np.int64)
+    for r in replies.where(f"unit = -1 and p >= {STATES}").select("p", "n").collect():  # two rows for each state
+        seen_inside[r["p"] - STATES] = np.frombuffer(r["n"], np.int64)
+    learned = train(counted, seen_inside)
     discard(counted)
-    total, words = int(sums[0].sum()), int(sums[1].sum())
-    shared = spark.sparkContext.broadcast(Model(frequent, named, weights, bias, np.log10(sums[0] + sums[1] + 1.0)))
+    total, words = int(sums[0, :CLASSES].sum()), int(sums[1, :CLASSES].sum())
+    shared = spark.sparkContext.broadcast(Model(frequent, named, *learned, np.log10(sums[0, CLASSES:] + sums[1, CLASSES:] + 1.0)))
 
     def score(text: pa.Table, counts: pa.Table) -> pa.Table:
         model = shared.value
@@ -370,7 +424,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
             if (key[at] != tok).any():
                 raise ValueError("a word of this unit has no count")
             c = n[at]
-            log_c, chance = np.log10(c + 1.0), model.of_classes(tok, border) + model.of_words(tok, c)
+            log_c, chance = np.log10(c + 1.0), model.of_classes(tok, border) + model.of_buckets(tok, border) + model.of_words(tok, c)
             first, many = border[:-1], np.diff(border)
             out.append((many, np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(log_c, first) - many * np.log10(total + words + 1.0), np.add.reduceat(chance, first)))
         many, known, base, chance = (np.concatenate([x[k] for x in out]) for k in range(4))
