@@ -156,3 +156,70 @@ def test_stream_of_registered_packages(spark, tmp_path):
     assert pick(maintain.documents(spark, home).where(F.col("crawl_id") == cid)) == pick(batch)
     out = ingest.rebuild(spark, home)
     assert out["indexed"] == 3 and out["carried"] == [] and out["failed"] == []
+
+
+def test_package_written_by_tasks(spark, tmp_path):
+    import hashlib
+    import json
+
+    from webquarry.sources.wacz_writer import build_wacz
+
+    paths = [str(tmp_path / n / "x.warc.gz") for n in ("a", "b", "c")]
+    for k, path in enumerate(paths):
+        os.mkdir(os.path.dirname(path))
+        with open(path, "wb") as f:
+            f.write(b"".join(members(7 + k, seed=k)))
+    out = str(tmp_path / "o.wacz")
+    facts = build_wacz(spark, paths, out, title="T")
+    assert facts["records"] == facts["cdx_lines"] == 24 and facts["pages"] == 24
+    with zipfile.ZipFile(out) as z:
+        assert z.testzip() is None
+        assert z.namelist() == ["archive/x.warc.gz", "archive/x-2.warc.gz", "archive/x-3.warc.gz", "indexes/index.cdxj", "pages/pages.jsonl", "datapackage.json", "datapackage-digest.json"]
+        for r in json.loads(z.read("datapackage.json"))["resources"]:
+            data = z.read(r["path"])
+            assert (r["bytes"], r["hash"]) == (len(data), "sha256:" + hashlib.sha256(data).hexdigest())
+        lines = z.read("indexes/index.cdxj").decode().splitlines()
+        assert lines == sorted(lines, key=str.encode) and len(lines) == 24
+        assert [z.read(n) for n in z.namelist()[:3]] == [open(p, "rb").read() for p in paths]
+        assert json.loads(z.read("datapackage-digest.json"))["hash"] == "sha256:" + hashlib.sha256(z.read("datapackage.json")).hexdigest()
+    assert packages.captures(spark, out).where("url = 'http://s.org/8'").count() == 1
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_remote_packages_with_and_without_ranges(spark, tmp_path, ranges):
+    import http.server
+    import threading
+
+    from webquarry.operators import maintain
+    from webquarry.plans import ingest
+    from webquarry.sources.http_range import parse_byte_range
+
+    with open(package(str(tmp_path / "p.wacz"), 12), "rb") as f:
+        data = f.read()
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            part = parse_byte_range(self.headers.get("Range") or "", len(data)) if ranges else None
+            asked.append(part)
+            low, high = part or (0, len(data) - 1)
+            self.send_response(206 if part else 200)
+            if part:
+                self.send_header("Content-Range", f"bytes {low}-{high}/{len(data)}")
+            self.send_header("Content-Length", str(high - low + 1))
+            self.end_headers()
+            self.wfile.write(data[low : high + 1])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    phases = []
+    try:
+        home = str(tmp_path / "h")
+        out = ingest.ingest(spark, home, [f"http://127.0.0.1:{server.server_port}/p.wacz"], "col", progress=lambda kind, facts: phases.append(facts.get("phase")))
+    finally:
+        server.shutdown()
+    assert out["failed"] == [] and maintain.documents(spark, home).where("doc_type = 'page'").count() == 6
+    assert ("downloading" in phases) != ranges and os.listdir(os.path.join(home, "downloads")) == [] if not ranges else all(asked)

@@ -81,3 +81,17 @@ def test_values(spark, column, value):
 
 def test_missing_minimum(spark):
     assert one(spark, X.missing_minimum(a=F.lit("x"), b=F.lit(" "), c=F.lit(None).cast("string"))) == ["b", "c"]
+
+
+def test_languages_by_trigrams(spark, sf, tmp_path):
+    from webquarry.functions import trigrams
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learn, rest = docs.where("doc_id % 4 > 0"), docs.where("doc_id % 4 = 0 and lang is not null")
+    found = trigrams.learn(spark, str(tmp_path), learn.select(F.col("text").alias("body"), "lang"))
+    assert trigrams.load(spark, str(tmp_path)) == found and all(len(p) <= trigrams.PLACES for p in found.values())
+    rows = rest.select("lang", trigrams.told("text", found).alias("told")).where("told is not null").collect()
+    assert len(rows) >= 0.7 * rest.count() and sum(r["lang"] == r["told"] for r in rows) >= 0.95 * len(rows)
+    odd = spark.createDataFrame([(None,), ("",), ("short",), ("1234567890 " * 20,), ("\u4e2d" * 60,)], "text string")
+    assert [r[0] for r in odd.select(trigrams.told("text", found)).collect()] == [None] * 5
+    assert [r[0] for r in odd.select(trigrams.told("text", {})).collect()] == [None] * 5

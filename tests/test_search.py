@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,46 @@ def test_collection_documents_fit_the_schema(spark):
     crawl = spark.createDataFrame([(1, "c1", "Name", None, "about", "2020-01-01", [("http://x/", "X", None)])], "doc_id bigint, id string, name string, collection string, description string, created string, seed_pages array<struct<url:string,title:string,ts:string>>")
     out = collection_documents(crawl)
     assert out.columns == DOCUMENT.names and out.first()["body"] == "about X http://x/" and out.first()["doc_type"] == "collection"
+
+
+@pytest.mark.parametrize("limits", [{"OPENING": 4}, {"OPENING": 1, "LISTED": 6}, {"OPENING": 2, "RANGES": 1}])
+def test_bounds_give_the_rows_of_a_full_scan(spark, tmp_path, monkeypatch, limits):
+    from webquarry.plans import textindex
+
+    monkeypatch.setattr(textindex, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(S, "FREQUENT", 1)
+    for name, v in limits.items():
+        monkeypatch.setattr(S, name, v)
+    rng = random.Random(5)
+    rows = [{"body": " ".join(["common"] * rng.randint(1, 3 + 20 * (i // 20 == 7)) + rng.choices(["river", "hill", "town"], k=rng.randint(0, 12)) + (["rare"] if i % 97 == 5 else [])), "title": "common" if i % 200 == 0 else "x"} for i in range(400)]
+    docs, root = corpus(spark, rows), str(tmp_path / "i")
+    textindex.TextIndex.write(docs.where("doc_id % 3 > 0"), root, "a")
+    textindex.TextIndex.write(docs.where("doc_id % 3 = 0"), root, "b")
+    index = TextIndex.open(spark, root, ["a", "b"])
+    seen = []
+    monkeypatch.setattr(textindex.TextIndex, "within", lambda self, ranges, within=textindex.TextIndex.within: (seen.append(ranges), within(self, ranges))[1])
+    for q, caps in {"common": (5, 40, 1000), "common rare": (5,), "river OR hill": (5,), "common -river": (5,), "nowhere": (5,), "common^3 (river OR rare) -town": (5, 40)}.items():
+        for cap in caps:
+            want = [(r["doc_id"], round(r["score"], 9)) for r in S.candidates(S.matched_ids(index, q), cap).collect()]
+            assert [(r["doc_id"], round(r["score"], 9)) for r in S.best_ids(index, q, cap).collect()] == want, (q, cap)
+    if limits == {"OPENING": 4}:
+        seen.clear()
+        S.best_ids(index, "common", 5).collect()
+        assert sum(high - low for _, low, high in seen[-1]) <= 400  # half of the ids of both segments' blocks, at most
+        plan = S.best_ids(index, "common rare", 5)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(doc_id" in plan and "LessThan(doc_id" in plan
+
+
+def test_a_phrase_is_looked_for_once(spark, tmp_path):
+    docs = corpus(spark, [{"body": "the old mill"}, {"body": "mill old the"}, {"title": "the old", "body": "x"}])
+    TextIndex.write(docs, str(tmp_path / "i"))
+    index = TextIndex.open(spark, str(tmp_path / "i"))
+    want = {r["doc_id"] for r in S.matches(TextIndex.of(docs), '"the old"').collect()}
+    found = S.search(index, '"the old"').keep()
+    assert {r["doc_id"] for r in found.hits.collect()} == want == {0, 2} and found.totals()["total_captures"] == 2
+    assert len(index.kept) == 1 and found.facets.where("field = 'collection'").first()["n"] == 2
+    assert found.timeline.count() == 1 and found.document()["total_hits"] == 2
+    found.release()
+    for k in range(index.KEPT + 2):
+        S.matches(index, f'"the w{k}"').count()
+    assert len(index.kept) == index.KEPT

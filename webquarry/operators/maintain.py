@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from webquarry.model import DOCUMENT, guard
 from webquarry.plans.textindex import PARTS, Marked, TextIndex, read_part
 from webquarry.sources.files import Store
+from webquarry.sources.warc import open_file
 
 #: Segments that compaction leaves, segments beyond which ingest asks for it, inputs of one merge, bytes of a merged segment's files.
 TARGET, FRAGMENTED, MOST, FILE_BYTES = 8, 48, 32, 256 << 20
@@ -300,23 +301,27 @@ def index_summary(spark: SparkSession, home: str, at: tuple[int, ...] = (1_000_0
 
 def file_sha256(path: str) -> str:
     h = hashlib.sha256()
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         while chunk := f.read(1 << 20):
             h.update(chunk)
     return h.hexdigest()
 
 
 def verify(crawls: DataFrame, home: str) -> DataFrame:
-    """id, state (ok, modified, missing, remote): files are hashed by the executors, one task each."""
+    """id, state (ok, modified, missing, remote): files are hashed by the executors, one task each.
+
+    Files lie under home or at paths and URIs of their own, in any store that Arrow knows.
+    """
     from webquarry.operators.catalog import is_remote
 
     @F.pandas_udf("string")
     def state(paths: pd.Series, expected: pd.Series) -> pd.Series:
         def one(p: str, want: str | None) -> str:
-            full = p if os.path.isabs(p) else os.path.join(home, p)
-            if not os.path.exists(full):
+            full = p if os.path.isabs(p) or "://" in p else f"{home.rstrip('/')}/{p}"
+            try:
+                return "ok" if file_sha256(full) == want else "modified"
+            except FileNotFoundError:
                 return "missing"
-            return "ok" if file_sha256(full) == want else "modified"
 
         return pd.Series([one(p, w) for p, w in zip(paths, expected, strict=True)], dtype=object)
 

@@ -9,17 +9,20 @@ import itertools
 import json
 import os
 import shutil
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.config import Config, load
-from webquarry.functions import langdetect, suffixes
+from webquarry.functions import langdetect, suffixes, trigrams
 from webquarry.functions.scalars import host
 from webquarry.operators import documents, maintain
-from webquarry.sources import finding_aids, wacz
+from webquarry.sources import finding_aids, http_range, wacz
+from webquarry.sources.pdf import extract_text
 from webquarry.sources.files import Store
 from webquarry.sources.locations import Source
 
@@ -111,12 +114,17 @@ def pages_of(spark: SparkSession, crawl: str, path: str, opener=wacz.open_local,
     return documents.merge_pages(wacz.read_package(spark, crawl, path, opener, pdf_text))
 
 
-def as_documents(pages: DataFrame, name: Column | str, collection: Column | str, cfg: Config) -> DataFrame:
-    """Documents of merged pages; name and collection: a value for all, or columns of pages."""
+def as_documents(pages: DataFrame, name: Column | str, collection: Column | str, cfg: Config, profiles: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Documents of merged pages; name and collection: a value for all, or columns of pages.
+
+    profiles: what the home knows of languages (trigrams); its answer counts before that of scripts and frequent words.
+    """
     value = lambda v: F.lit(v) if isinstance(v, str) else v
     keyed = pages.withColumn("doc_id", doc_id()).withColumn("crawl_name", value(name)).withColumn("collection", value(collection))
     site = suffixes.site(pages.sparkSession, host("url"))
-    return documents.derive(keyed, site=site, lang=langdetect.detected("body"), snip_bytes=cfg.snip_bytes)
+    guess = langdetect.detected("body")
+    lang = F.coalesce(trigrams.told("body", profiles), guess) if profiles else guess
+    return documents.derive(keyed, site=site, lang=lang, snip_bytes=cfg.snip_bytes)
 
 
 def doc_id() -> Column:
@@ -130,10 +138,22 @@ def crawl_document(spark: SparkSession, row: dict) -> DataFrame:
     return documents.collection_documents(spark.createDataFrame([facts], "doc_id bigint, id string, name string, collection string, description string, created string, seed_pages array<struct<url:string,title:string,ts:string>>"))
 
 
-def ingest(spark: SparkSession, home: str, locations: list[str], collection: str, force: bool = False, opener=None, progress: Progress = lambda kind, facts: None, pdf_text: PdfText | None = None, move: bool = False, name: str | None = None) -> dict:
+def fetched(location: str, home: str, source: Callable[[str], BinaryIO] | None = None) -> str:
+    """A remote package as a file under the home, for servers that don't serve byte ranges; an unfinished download never bears its name."""
+    folder = os.path.join(home, "downloads")
+    os.makedirs(folder, exist_ok=True)
+    dest = os.path.join(folder, f"{crawl_id(location)}.wacz")
+    if not os.path.exists(dest):
+        with (source or urllib.request.urlopen)(location) as f:
+            http_range.download(iter(lambda: f.read(1 << 20), b""), dest)
+    return dest
+
+
+def ingest(spark: SparkSession, home: str, locations: list[str], collection: str, force: bool = False, opener=None, progress: Progress = lambda kind, facts: None, pdf_text: PdfText | None = extract_text, move: bool = False, name: str | None = None) -> dict:
     """Index packages one by one; each is durable once its version is published. Registered ones are skipped.
 
-    A package that is in another collection is refused unless forced. pdf_text gives the text of a PDF's bytes.
+    A remote package is read by byte ranges; where its server doesn't serve them it is downloaded, read and removed. A
+    package that is in another collection is refused unless forced. pdf_text gives the text of a PDF's bytes; None leaves PDFs without text.
     """
     cfg, manifest, outcome = load(home), Manifest.open(spark, home), {"indexed": [], "skipped": [], "failed": []}
     progress("begin", {"packages": len(locations)})
@@ -150,18 +170,27 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
                 outcome["failed"].append((cid, f"is in collection {manifest.rows[cid]['collection']} already"))
                 progress("error", {"crawl": cid, "message": outcome["failed"][-1][1]})
             continue
-        use = opener or wacz.open_local
+        use, loaded = opener or (http_range.open_any if source.remote else wacz.open_local), None
         try:
             progress("phase", {"crawl": cid, "phase": "reading"})
+            if source.kind == "url" and opener is None:
+                try:
+                    http_range.open_any(path).close()
+                except http_range.NoRanges:
+                    progress("phase", {"crawl": cid, "phase": "downloading"})
+                    path = loaded = fetched(path, home)
             with use(path) as f:
                 meta = wacz.read_datapackage(f)
             row = {"id": cid, "name": name or meta["title"] or display_name(source), "collection": collection, "source": stored, "sha256": None if source.remote else maintain.file_sha256(path)} | {k: meta[k] for k in ("title", "description", "created", "software", "keywords", "licenses", "creator", "seed_pages")}
-            docs = as_documents(pages_of(spark, cid, path, use, pdf_text), row["name"], collection, cfg)
+            docs = as_documents(pages_of(spark, cid, path, use, pdf_text), row["name"], collection, cfg, trigrams.load(spark, home))
             maintain.upsert(spark, home, docs.unionByName(crawl_document(spark, row)), [cid])
         except (OSError, ValueError, KeyError) as e:
             outcome["failed"].append((cid, str(e)))
             progress("error", {"crawl": cid, "message": str(e)})
             continue
+        finally:
+            if loaded:
+                os.remove(loaded)
         found = maintain.documents(spark, home).where((F.col("crawl_id") == cid) & (F.col("doc_type") == "page"))
         facts = found.agg(F.count("*").alias("n"), F.min(F.nullif("timestamp", F.lit(""))).alias("a"), F.max(F.nullif("timestamp", F.lit(""))).alias("b")).first()
         manifest.put(row | {"page_count": facts["n"], "capture_start": facts["a"], "capture_end": facts["b"]})
@@ -176,7 +205,7 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
     return outcome
 
 
-def rebuild(spark: SparkSession, home: str, opener=None, pdf_text: PdfText | None = None) -> dict:
+def rebuild(spark: SparkSession, home: str, opener=None, pdf_text: PdfText | None = extract_text) -> dict:
     """Read every registered package again into one new version; packages that fail are reported and left out.
 
     Names, collections and provenance come from the manifest and stay as they are. Crawls that no package holds
@@ -190,7 +219,7 @@ def rebuild(spark: SparkSession, home: str, opener=None, pdf_text: PdfText | Non
         try:
             with (opener or wacz.open_local)(path) as f:
                 wacz.read_datapackage(f)
-            parts.append(as_documents(pages_of(spark, cid, path, opener or wacz.open_local, pdf_text), row["name"], row["collection"], cfg).unionByName(crawl_document(spark, row)))
+            parts.append(as_documents(pages_of(spark, cid, path, opener or wacz.open_local, pdf_text), row["name"], row["collection"], cfg, trigrams.load(spark, home)).unionByName(crawl_document(spark, row)))
         except (OSError, ValueError) as e:
             failed.append((cid, str(e)))
     carried = sorted({c for own in maintain.segments(spark, home).values() for c in own} - set(packages))

@@ -4,6 +4,9 @@ A query reads its own terms' postings once. One aggregation by document gives ev
 score; the query's tree becomes a boolean Column over presences and the document's own columns. Filters
 that every match must meet go to the scan of the documents as bare predicates. Corpus statistics of the
 leaves are at most leaves x fields numbers, read from the term table, and become literals of the plan.
+
+The window of best matches of frequent words is found by bounds: the blocks of the greatest bounds give a
+threshold, and of the rest only blocks whose bound reaches it are read, by pushed filters on document ids.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from webquarry.plans.textindex import TextIndex
 
 K1, B = 1.2, 0.75
 CANDIDATES, FACET_SIZE, TIMELINE_SIZE = 1000, 50, 120
+#: Postings of a query's words from which bounds are asked, blocks that give the threshold, blocks that are looked at, ranges of one scan.
+FREQUENT, OPENING, LISTED, RANGES = 200_000, 64, 8192, 256
 FACETS = {"collection": "Collection", "year": "Year", "site": "Site", "type": "Type", "lang": "Language"}
 
 
@@ -132,19 +137,87 @@ def _has_filter(node) -> bool:
 def _scores(index: TextIndex, tree, boosts: dict[str, float]) -> tuple[DataFrame, dict[Leaf, Column]]:
     """doc_id, score and a flag for each leaf, of the documents that hold some leaf."""
     found = list(dict.fromkeys(leaf for leaf, _ in leaves(tree)))
-    counted = {leaf for leaf, positive in leaves(tree) if positive}
-    rows = _present(index, found)
+    some_phrase = any(len(leaf.terms) > 1 for leaf in found)
+    rows = index.keep(tuple(found), lambda: _present(index, found)) if some_phrase else _present(index, found)
     df, averages = _frequencies(index, found, rows), index.averages
     by_field = lambda values: X.either(*[(F.col("field") == f, F.lit(v)) for f, v in values.items()], otherwise=F.lit(0.0))
     average = by_field({f: max(a, 1e-9) for f, (_, a) in averages.items()})
-    parts = []
+    weights, parts = _weights(index, tree, boosts, df), []
     for i, leaf in enumerate(found):
-        weight = by_field({f: leaf.boost * boosts.get(f, 1.0) * (leaf in counted) * idf(averages.get(f, (0, 0.0))[0], df.get((i, f), 0)) for f in _fields(leaf)})
+        weight = by_field({f: weights[i, f] for f in _fields(leaf)})
         parts.append(F.coalesce(bm25(weight, F.col(f"tf{i}"), F.col("len"), average), F.lit(0.0)))
     per_doc = rows.groupBy("doc_id").agg(F.sum(reduce(Column.__add__, parts)).alias("score"), *[F.max(F.col(f"tf{i}").isNotNull()).alias(f"leaf{i}") for i in range(len(found))])
     return per_doc, {leaf: F.coalesce(F.col(f"leaf{i}"), F.lit(False)) for i, leaf in enumerate(found)}
 
 
+def _weights(index: TextIndex, tree, boosts: dict[str, float], df: dict) -> dict[tuple[int, str], float]:
+    """Boost times idf of each (leaf, field); 0 for leaves that only exclude."""
+    counted = {leaf for leaf, positive in leaves(tree) if positive}
+    found = list(dict.fromkeys(leaf for leaf, _ in leaves(tree)))
+    return {(i, f): leaf.boost * boosts.get(f, 1.0) * (leaf in counted) * idf(index.averages.get(f, (0, 0.0))[0], df.get((i, f), 0)) for i, leaf in enumerate(found) for f in _fields(leaf)}
+
+
+def _possible(node, present: dict[Leaf, Column]) -> Column:
+    """Whether a block may hold a match: an exclusion rules out no block."""
+    if isinstance(node, Leaf):
+        return present[node]
+    if node.op == "not":
+        return F.lit(True)
+    return reduce(Column.__and__ if node.op == "and" else Column.__or__, [_possible(p, present) for p in node.parts])
+
+
+def _bounded(index: TextIndex, tree, boosts: dict[str, float]) -> DataFrame:
+    """segment, low, high, bound: no document of the block scores more. Blocks that can't hold a match are left out."""
+    found = list(dict.fromkeys(leaf for leaf, _ in leaves(tree)))
+    df = index.frequencies([leaf.terms[0] for leaf in found])
+    weights = _weights(index, tree, boosts, {(i, f): df.get((leaf.terms[0], f), 0) for i, leaf in enumerate(found) for f in leaf.fields})
+    parts, present = [], {}
+    for i, leaf in enumerate(found):
+        own = (F.col("term") == leaf.terms[0]) & (F.col("field").isin(*_fields(leaf)) if _fields(leaf) else F.lit(False))
+        score = X.either(*[((F.col("field") == f), bm25(F.lit(weights[i, f]), F.col("tf"), F.col("len"), F.lit(max(index.averages.get(f, (0, 0.0))[1], 1e-9)))) for f in _fields(leaf)], otherwise=F.lit(0.0))
+        parts += [F.sum(F.when(own, score)).alias(f"bound{i}"), F.max(own).alias(f"leaf{i}")]
+        present[leaf] = F.col(f"leaf{i}")
+    blocks = index.blocks([t for leaf in found for t in leaf.terms]).groupBy("segment", "low", "high").agg(*parts)
+    total = reduce(Column.__add__, [F.coalesce(f"bound{i}", F.lit(0.0)) for i in range(len(found))])
+    return blocks.where(_possible(tree, present)).select("segment", "low", "high", total.alias("bound"))
+
+
+def _joined(blocks: list) -> list[tuple[str, int, int]]:
+    """Neighbouring blocks as ranges."""
+    out: list[tuple[str, int, int]] = []
+    for s, low, high in sorted((b["segment"], b["low"], b["high"]) for b in blocks):
+        if out and out[-1][0] == s and out[-1][2] == low:
+            out[-1] = (s, out[-1][1], high)
+        else:
+            out.append((s, low, high))
+    return out
+
+
+def best_ids(index: TextIndex, q: str, cap: int = CANDIDATES, boosts: dict[str, float] | None = None) -> DataFrame:
+    """candidates(matched_ids()): the cap best matches, the same rows in the same order, from as few blocks as bounds allow.
+
+    Bounds serve queries of words without filters; they are asked where the words have FREQUENT postings or more.
+    Where they don't narrow the scan to RANGES ranges, all postings of the words are read.
+    """
+    tree, boosts = parse(q), BOOSTS if boosts is None else boosts
+    plain = candidates(matched_ids(index, q, boosts), cap)
+    if tree is None or index.bounds is None or _only_negative(tree) or _has_filter(tree) or not _needs_text(tree) or any(len(leaf.terms) > 1 for leaf, _ in leaves(tree)):
+        return plain
+    if sum(index.frequencies([leaf.terms[0] for leaf, _ in leaves(tree)]).values()) < FREQUENT:
+        return plain
+    blocks = _bounded(index, tree, boosts).orderBy(F.desc("bound"), "segment", "low").limit(LISTED).collect()
+    opening = blocks[:OPENING]
+    if len(blocks) > OPENING:
+        first = candidates(matched_ids(index.within(_joined(opening)), q, boosts), cap).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        least = first["least"] if first["n"] == cap else float("-inf")
+        blocks = [b for b in blocks if b["bound"] * (1 + 1e-9) >= least] if len(blocks) < LISTED or blocks[-1]["bound"] * (1 + 1e-9) < least else []
+        if not blocks:
+            return plain
+        opening = blocks
+    ranges = _joined(opening)
+    return candidates(matched_ids(index.within(ranges), q, boosts), cap) if len(ranges) <= RANGES else plain
+
+
 def matched_ids(index: TextIndex, q: str, boosts: dict[str, float] | None = None) -> DataFrame:
     """doc_id and score of all matches. A query of words alone is answered by the postings, without the documents."""
     tree = parse(q)
@@ -275,6 +348,14 @@ class Response:
     timeline: DataFrame
     index: TextIndex | None = None
 
+    def keep(self) -> Response:
+        """The same answer, with what facets, timeline and totals need of all matches kept in one narrow table; release() lets it go."""
+        narrow = self.matched.select("doc_id", "score", *FACETS, "month").persist()
+        return replace(self, matched=narrow, facets=facets(narrow), timeline=timeline(narrow))
+
+    def release(self) -> None:
+        self.matched.unpersist()
+
     def totals(self) -> dict:
         """total_hits (collapsed, within the window), total_captures (all matches), capped."""
         captures = self.matched.count()
@@ -298,7 +379,7 @@ class Response:
 def search(index: TextIndex, q: str, offset: int = 0, limit: int = 20) -> Response:
     """The window of best matches is found first and joined with its documents; only facets and timeline join all."""
     matched = matches(index, q)
-    best = candidates(matched_ids(index, q))
+    best = best_ids(index, q)
     groups = collapse(index.docs.join(best, "doc_id"))
     page = groups.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
     return Response(with_snippets(page, q), groups, matched, facets(matched), timeline(matched), index)

@@ -5,6 +5,10 @@ total_len). A stored index is a set of segments. Postings and terms are partitio
 and sorted by term, so a query's terms prune them to a few folders and row groups; documents are one
 columnar table, of which a query reads the columns it needs.
 
+Beside the postings lie bounds: for each term, field and block (a range of document ids that holds some
+BLOCK_DOCS documents) the greatest tf and the least length, and how many postings. Blocks have the same borders
+for all terms of a segment, so a query's bounds add up by block.
+
 Documents that are marked as deleted stay in their segment's files and are left out by readers: of the
 documents' table by a pushed filter on the crawl (an anti-join where single documents were replaced), of
 postings and frequencies by the segment's deletion vectors (tables of ids), of the statistics by their sums,
@@ -16,8 +20,10 @@ from __future__ import annotations
 
 import zlib
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +32,9 @@ from webquarry.functions.scalars import tokens
 from webquarry.model import POSITIONAL, TEXT_FIELDS
 
 BUCKETS = 64
-PARTS = ("docs", "totals", "postings", "terms", "deleted")
+PARTS = ("docs", "totals", "postings", "terms", "bounds", "deleted")
+#: Documents of a block.
+BLOCK_DOCS = 1024
 
 
 def bucket_of(term: Column) -> Column:
@@ -105,6 +113,11 @@ class TextIndex:
     source: DataFrame | None = None
     deleted: DataFrame | None = None
     marked_in: tuple[str, ...] = ()
+    bounds: DataFrame | None = None
+    #: Where the leaves of recent phrase queries stand, persisted by their leaves: a phrase's frequency and scores come from one grouping.
+    kept: dict[tuple, DataFrame] = field(default_factory=dict, compare=False)
+
+    KEPT: ClassVar[int] = 8
 
     @classmethod
     def of(cls, docs: DataFrame) -> TextIndex:
@@ -114,12 +127,12 @@ class TextIndex:
     def open(cls, spark: SparkSession, root: str, segments: list[str] | None = None, marks: dict[str, Marked] | None = None) -> TextIndex:
         """All segments under root, or the named ones, without what is marked."""
         marks = marks or {}
-        totals, stored, terms = (read_part(spark, root, part, segments) for part in ("totals", "postings", "terms"))
+        totals, stored, terms, bounds = (read_part(spark, root, part, segments) for part in ("totals", "postings", "terms", "bounds"))
         docs, totals = cls.live_docs(spark, root, segments, marks).drop("lens", "segment"), totals.drop("segment")
         if marks:
             less = [(f, -n, -length) for m in marks.values() for f, (n, length) in m.totals.items()]
             totals = totals.unionByName(spark.createDataFrame(less, "field string, n_docs bigint, total_len bigint"))
-        return cls(docs=docs, totals=totals, stored=stored, terms=terms, deleted=vectors(spark, root, marks), marked_in=tuple(sorted(marks)))
+        return cls(docs=docs, totals=totals, stored=stored, terms=terms, deleted=vectors(spark, root, marks), marked_in=tuple(sorted(marks)), bounds=bounds)
 
     @staticmethod
     def live_docs(spark: SparkSession, root: str, segments: list[str] | None, marks: dict[str, Marked]) -> DataFrame:
@@ -189,6 +202,23 @@ class TextIndex:
             rows = self.postings(terms).groupBy("term", "field").agg(F.count("*").alias("df"))
         return {(r["term"], r["field"]): r["df"] for r in rows.collect()}
 
+    def keep(self, leaves: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """make(), persisted; the oldest of KEPT ones goes."""
+        if leaves not in self.kept:
+            while len(self.kept) >= self.KEPT:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+            self.kept[leaves] = make().persist()
+        return self.kept[leaves]
+
+    def blocks(self, terms: list[str]) -> DataFrame:
+        """segment, low, high (ids low..high - 1), term, field, n, tf (the greatest), len (the least): marked documents count too."""
+        return self._of_terms(self.bounds, terms).select("segment", "low", "high", "term", "field", "n", "tf", "len")
+
+    def within(self, ranges: list[tuple[str, int, int]]) -> TextIndex:
+        """The same index with the postings of some (segment, low, high) alone; statistics stay those of the whole."""
+        held = [(F.col("segment") == s) & (F.col("doc_id") >= low) & (F.col("doc_id") < high) for s, low, high in ranges]
+        return replace(self, stored=self.stored.where(reduce(Column.__or__, held, F.lit(False))), kept={})
+
     @staticmethod
     def _of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
         if not terms:
@@ -216,6 +246,7 @@ def _unmarked(rows: DataFrame, deleted: DataFrame | None, marked_in: tuple[str,
 SCHEMAS = {
     "postings": "field string, term string, doc_id bigint, tf int, len int, positions array<int>, segment string, bucket int",
     "terms": "term string, field string, df bigint, segment string, bucket int",
+    "bounds": "term string, field string, low bigint, high bigint, n bigint, tf int, len int, segment string, bucket int",
 }
 
 
@@ -235,4 +266,10 @@ def _write_terms(written: DataFrame, rows: DataFrame, root: str, segment: str) -
     at = f"{root}/postings/segment={segment}"
     counted = spark.read.schema(SCHEMAS["postings"]).parquet(at).groupBy("bucket", "term", "field").agg(F.count("*").alias("df"))
     counted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/terms/segment={segment}")
-
+    low, high, many = written.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = F.lit(((high or 0) - (low or 0)) // max(1, -(-many // BLOCK_DOCS)) + 1)
+    block = F.floor((F.col("doc_id") - F.lit(low or 0)) / width) * width + F.lit(low or 0)
+    each = spark.read.schema(SCHEMAS["postings"]).parquet(at).groupBy("bucket", "term", "field", block.cast("bigint").alias("low"))
+    bounds = each.agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("len").alias("len")).withColumn("high", F.col("low") + width)
+    bounds = bounds.select("bucket", "term", "field", "low", "high", "n", "tf", "len").repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "field", "low")
+    bounds.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/bounds/segment={segment}")

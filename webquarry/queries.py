@@ -584,19 +584,23 @@ def fill_gaps(spark, sf_dir):
     return catalog.fill_gaps(old, new)
 
 
-@query(f"WITH {CRAWLS_SQL} SELECT collection AS id, count(*) AS resources FROM crawls GROUP BY collection")
+@query(f"""WITH {CRAWLS_SQL},
+r AS (SELECT collection, id, '{{"crawlId":"' || id || '","name":"' || name || '.wacz","path":"' || source || '","hash":"sha256:' || sha256(id) || '","size":' || bytes || '}}' AS item FROM crawls)
+SELECT collection AS id, '{{"id":"' || collection || '","name":"' || collection || '","resources":[' || string_agg(item, ',' ORDER BY id) || ']}}' AS manifest FROM r GROUP BY collection""")
 def replay_manifest(spark, sf_dir):
+    """The manifest's JSON, letter by letter."""
     c = crawls(spark, sf_dir).withColumn("sha256", F.sha2(F.col("id").cast("binary"), 256)).withColumn("importer_hash", F.lit(None).cast("string"))
     cols = c.select(F.col("collection").alias("id"), F.col("collection").alias("name")).distinct()
-    m = catalog.replay_manifest(cols, c)
-    return m.select("id", F.size(F.from_json("manifest", "resources array<struct<crawlId:string,hash:string>>")["resources"]).cast("bigint").alias("resources"))
+    return catalog.replay_manifest(cols, c)
 
 
-@query(f"WITH {CRAWLS_SQL} SELECT (SELECT count(*) FROM docs) AS pages, (SELECT count(*) FROM crawls) AS collections")
+@query(f"""WITH {CRAWLS_SQL}
+SELECT 'page' AS doc_type, crawl_id, title, description, sha256(body) AS body, count(*) AS n FROM docs GROUP BY ALL
+UNION ALL SELECT 'collection', id, name, 'about', sha256('about X http://x/'), 1 FROM crawls""")
 def page_and_collection_documents(spark, sf_dir):
     c = crawls(spark, sf_dir).select("*", F.lit(0).cast("bigint").alias("doc_id"), F.lit("").alias("created"), F.lit("about").alias("description"), F.array(F.struct(F.lit("http://x/").alias("url"), F.lit("X").alias("title"))).alias("seed_pages"))
     both = docs(spark, sf_dir).unionByName(documents.collection_documents(c))
-    return both.agg(F.count_if(F.col("doc_type") == "page").alias("pages"), F.count_if(F.col("doc_type") == "collection").alias("collections"))
+    return both.groupBy("doc_type", "crawl_id", "title", "description", F.sha2(F.col("body").cast("binary"), 256).alias("body")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- events (an extension)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.functions import scalars as X
+from webquarry.functions import trigrams
 from webquarry.operators import catalog, images, maintain
 from webquarry.plans import imports
 from webquarry.plans import search as S
@@ -135,6 +136,23 @@ def crawl_images(spark, sf_dir):
     return images.chosen(main, recorded).select("id", "kind", "image_url", "length")
 
 
+def _pieces(html: str) -> str:
+    """SQL: the stripped texts between tags, comments, scripts and styles, joined by a blank."""
+    bare = f"regexp_replace({html}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', chr(1), 'g')"
+    plain = bare
+    for name, char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{char}')"
+    return f"array_to_string(list_filter(list_transform(string_split({plain}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''), ' ')"
+
+
+@query(f"""SELECT page_id, sha256({_pieces("regexp_extract(html, '(?is)<body[^>]*>(.*)', 1)")}) AS body,
+       array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[12](?:\\s[^>]*)?>(.*?)</h[12]>', 1), lambda h: {_pieces("h")}), lambda x: x <> ''), ' ') AS headings FROM pages""")
+def html_bodies(spark, sf_dir):
+    """Body and headings as the page parser gives them."""
+    p = pages(spark, sf_dir).select("page_id", extracted("html").alias("p"))
+    return p.select("page_id", F.sha2(F.col("p.body").cast("binary"), 256).alias("body"), "p.headings")
+
+
 # ---------------------------------------------------------------- the maintained index
 
 
@@ -192,10 +210,27 @@ def shared_sources(spark, sf_dir):
     return catalog.shared_sources(c)
 
 
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, source, sha256 of crawls whose files hold pages' text: a quarter as they should be, a quarter with another text, a quarter gone, a quarter remote."""
+    root, p = f"{scratch(spark)}/webquarry-filed-{uuid.uuid4().hex}", F.col("page_id")
+
+    def write(batches):
+        for b in batches:
+            files.make_folder(root)
+            for i, html in zip(b["page_id"].to_pylist(), b["html"].to_pylist(), strict=True):
+                with files.open_output(f"{root}/{i}.wacz") as out:
+                    out.write(html.encode())
+            yield b.select(["page_id"])
+
+    pages(spark, sf_dir).where(p % 4 < 2).select("page_id", "html").mapInArrow(write, "page_id bigint").count()
+    at = F.when(p % 4 == 3, F.concat(F.lit("https://a.example.org/"), p.cast("string"))).otherwise(F.concat(F.lit(root + "/"), p.cast("string"), F.lit(".wacz")))
+    return pages(spark, sf_dir).select(p.alias("id"), at.alias("source"), F.sha2(F.when(p % 4 == 1, F.col("url")).otherwise(F.col("html")).cast("binary"), 256).alias("sha256"))
+
+
 @query("SELECT ['ok', 'modified', 'missing', 'remote'][page_id % 4 + 1] AS state, count(*) AS n FROM pages GROUP BY 1")
 def fixity_states(spark, sf_dir):
-    states = F.element_at(F.array(*map(F.lit, ("ok", "modified", "missing", "remote"))), (F.col("page_id") % 4 + 1).cast("int"))
-    return maintain.fixity_summary(pages(spark, sf_dir).select(states.alias("state")))
+    """Files are written and hashed by tasks."""
+    return maintain.fixity_summary(maintain.verify(filed(spark, sf_dir), scratch(spark)))
 
 
 # ---------------------------------------------------------------- cuts that bite
@@ -413,3 +448,37 @@ def streamed_crawls(spark, sf_dir):
     streams.ingest_stream(source, f"{root}/home", f"{root}/checkpoint").awaitTermination()
     return maintain.documents(spark, f"{root}/home").select("crawl_id", "url", "title", F.sha2(F.col("body").cast("binary"), 256).alias("body"), "timestamp")
 
+
+
+# ---------------------------------------------------------------- languages
+
+#: Trigrams of documents (g: id, its declared language, gram and how often), and profiles of those whose id leaves 1, 2 or 3 by 4.
+TRIGRAM_SQL = r"""
+s AS (SELECT doc_id, lang, lower(left(text, list_max(list_filter(range(0, 2049), lambda k: strlen(left(text, k)) <= 2048)))) AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(t, '\p{L}+')) || ' ' AS w FROM s),
+o AS (SELECT doc_id, lang, substr(w, i, 3) AS gram FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+g AS (SELECT doc_id, gram, count(*) AS n FROM o GROUP BY ALL),
+p AS (SELECT lang, gram, (row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) - 1)::INTEGER AS place FROM o WHERE doc_id % 4 > 0 AND lang <> '' GROUP BY lang, gram QUALIFY place < 300)
+"""
+
+
+def declared(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id % 4 > 0").select("text", "lang")
+
+
+@query(f"WITH {TRIGRAM_SQL} SELECT lang, gram, place FROM p")
+def language_profiles(spark, sf_dir):
+    return trigrams.learned(declared(spark, sf_dir))
+
+
+@query(f"""WITH {TRIGRAM_SQL},
+r AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS mine FROM g QUALIFY mine < 300),
+l AS (SELECT DISTINCT lang FROM p),
+f AS (SELECT doc_id, l.lang, sum(CASE WHEN place IS NULL THEN 300 ELSE abs(place - mine) END) AS far, count(*) AS many FROM r CROSS JOIN l LEFT JOIN p ON p.lang = l.lang AND p.gram = r.gram GROUP BY ALL),
+b AS (SELECT doc_id, lang, far, many, lead(far) OVER own AS after, row_number() OVER own AS nth FROM f WINDOW own AS (PARTITION BY doc_id ORDER BY far, lang)),
+a AS (SELECT doc_id, lang FROM b WHERE nth = 1 AND far < 300 * many AND (after IS NULL OR (after - far) * 50 >= far))
+SELECT d.doc_id, CASE WHEN strlen(d.text) >= 40 THEN a.lang END AS told FROM documents d LEFT JOIN a USING (doc_id)""")
+def languages_told(spark, sf_dir):
+    """Learned from three quarters of the documents, told for all."""
+    profiles = trigrams.table(trigrams.learned(declared(spark, sf_dir)))
+    return table(spark, sf_dir, "documents").select("doc_id", trigrams.told("text", profiles).alias("told"))

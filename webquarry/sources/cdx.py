@@ -52,11 +52,16 @@ def with_places(cdx: DataFrame, starts: DataFrame, many: int | None = None) -> D
 
 
 def cdx_lines(records: DataFrame, filename: Column) -> DataFrame:
-    """Sorted CDXJ lines of WARC records: requests, warcinfo and records without a URI are left out."""
+    """Sorted CDXJ lines of WARC records."""
+    return unsorted_lines(records, filename).orderBy("line")
+
+
+def unsorted_lines(records: DataFrame, filename: Column) -> DataFrame:
+    """CDXJ lines of WARC records: requests, warcinfo and records without a URI are left out."""
     from webquarry.functions.scalars import surt
 
     keep = ~F.lower("warc_type").isin("request", "warcinfo") & (F.col("target_uri") != "")
     mime = F.nullif(F.trim(F.element_at(F.split("content_type", ";"), 1)), F.lit(""))
     digest = F.nullif(F.regexp_replace("digest", "^[^:]*:", ""), F.lit(""))
     body = F.to_json(F.struct(F.col("target_uri").alias("url"), mime.alias("mime"), F.col("http_status").cast("string").alias("status"), digest.alias("digest"), F.col("record_length").cast("string").alias("length"), F.col("offset").cast("string").alias("offset"), filename.alias("filename")))
-    return records.where(keep).select(F.concat_ws(" ", surt("target_uri"), "timestamp", body).alias("line")).orderBy("line")
+    return records.where(keep).select(F.concat_ws(" ", surt("target_uri"), "timestamp", body).alias("line"))

@@ -23,6 +23,10 @@ class Transient(Exception):
         self.after = after
 
 
+class NoRanges(OSError):
+    """The server sends whole files only."""
+
+
 def retry_after(value: str | None) -> float | None:
     value = (value or "").strip()
     return float(value) if value.isdigit() else None
@@ -47,7 +51,7 @@ def get_range(url: str, start: int, end: int, headers: dict[str, str] | None = N
     try:
         with urllib.request.urlopen(request, timeout=60) as r:
             if r.status != 206:
-                raise OSError(f"{url}: the server doesn't serve byte ranges")
+                raise NoRanges(f"{url}: the server doesn't serve byte ranges")
             total = (r.headers.get("Content-Range") or "").rpartition("/")[2]
             return r.read(), int(total) if total.isdigit() else None
     except urllib.error.HTTPError as e:

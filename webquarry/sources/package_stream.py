@@ -21,6 +21,7 @@ from webquarry.model import RAW_RECORD
 from webquarry.sources import wacz, warc
 from webquarry.sources.files import Store
 from webquarry.sources.packages import open_package
+from webquarry.sources.pdf import extract_text
 
 FOLDER = "incoming"
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("crawl_id", "crawl_name", "collection")] + [T.StructField("seq", T.LongType()), *RAW_RECORD.fields])
@@ -101,7 +102,7 @@ class PackageStreamReader(DataSourceStreamReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         row, nth, inner, low, high = partition.value
         with open_package(row["path"]) as f:
-            found = wacz.text_records(f) if inner is None else wacz.scan(f, None, inner, None if low is None else (low, high))
+            found = wacz.text_records(f) if inner is None else wacz.scan(f, extract_text, inner, None if low is None else (low, high))
             for seq, record in zip(itertools.count(nth << 40), found):  # noqa: B905 - the count has no end
                 yield (row["id"], row["name"], row["collection"], seq, *[record.get(c) for c in RAW_RECORD.names])
 

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from webquarry.model import WARC_RECORD, WARCINFO
@@ -275,26 +276,30 @@ def list_files(path: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): path is a file, a folder or a pattern on a file system that executors share, or a URI."""
+    """format("warc"): path is a file, a folder or a pattern on a file system that executors share, or a URI.
+
+    Option paths: several of these, one a line. Option withPath: the file of each record as a last column, path.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
     def schema(self):
-        return WARC_RECORD
+        return T.StructType([*WARC_RECORD.fields, T.StructField("path", T.StringType())]) if self.options.get("withPath") else WARC_RECORD
 
     def reader(self, schema):
-        return WarcReader(self.options.get("path", ""), int(self.options.get("splitBytes", SPLIT)))
+        paths = self.options["paths"].split("\n") if "paths" in self.options else [self.options.get("path", "")]
+        return WarcReader(paths, int(self.options.get("splitBytes", SPLIT)), bool(self.options.get("withPath")))
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, split: int = SPLIT):
-        self.path, self.split = path, split
+    def __init__(self, paths: list[str], split: int = SPLIT, with_path: bool = False):
+        self.paths, self.split, self.with_path = paths, split, with_path
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for name, size in list_files(self.path, (".warc", ".warc.gz")):
+        for name, size in [f for path in self.paths for f in list_files(path, (".warc", ".warc.gz"))]:
             ranges = [(0, size)]
             if size > self.split:
                 with open_file(name) as f:
@@ -306,7 +311,7 @@ class WarcReader(DataSourceReader):
         name, low, high, parted = partition.value
         with open_file(name) as f:
             for r in read_split(f, low, high) if parted else read_records(f):
-                yield row(r)
+                yield (*row(r), name) if self.with_path else row(r)
 
 
 def read_binary_files(df):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from webquarry.config import load
+from webquarry.functions import trigrams
 from webquarry.operators import maintain
 from webquarry.operators.documents import merge_pages
 from webquarry.plans.ingest import Manifest, as_documents
@@ -34,7 +35,7 @@ def ingest_stream(records: DataFrame, home: str, checkpoint: str, trigger: dict
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        written = maintain.upsert_documents(spark, home, as_documents(batch, F.col("crawl_name"), F.col("collection"), load(home)))
+        written = maintain.upsert_documents(spark, home, as_documents(batch, F.col("crawl_name"), F.col("collection"), load(home), trigrams.load(spark, home)))
         if written is None:
             return
         manifest, packages = Manifest.open(spark, home), {r["id"]: r["source"] for r in registered(spark, home)}
