@@ -223,3 +223,17 @@ def test_remote_packages_with_and_without_ranges(spark, tmp_path, ranges):
         server.shutdown()
     assert out["failed"] == [] and maintain.documents(spark, home).where("doc_type = 'page'").count() == 6
     assert ("downloading" in phases) != ranges and os.listdir(os.path.join(home, "downloads")) == [] if not ranges else all(asked)
+
+
+def test_unreadable_records_are_counted(spark, tmp_path):
+    from webquarry.plans import ingest
+
+    path = package(str(tmp_path / "p.wacz"), 10)
+    with open(path, "r+b") as f:
+        at = f.read().find(members(10)[1]) + 12
+        f.seek(at)
+        f.write(b"\xff" * 8)  # the second record is damaged
+    told = []
+    out = ingest.ingest(spark, str(tmp_path / "h"), [path], "col", progress=lambda kind, facts: told.append((kind, facts)))
+    facts = dict(told)["indexed"]
+    assert out["failed"] == [] and facts["unreadable"] == 1 and facts["pages"] == 4

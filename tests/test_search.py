@@ -162,3 +162,21 @@ def test_a_phrase_is_looked_for_once(spark, tmp_path):
     for k in range(index.KEPT + 2):
         S.matches(index, f'"the w{k}"').count()
     assert len(index.kept) == index.KEPT
+
+
+def test_views_of_results(spark):
+    from webquarry.plans import views
+
+    rows = [{"body": "alpha <b> beta", "title": "", "collection": "a b"}, {"body": "alpha", "title": "T & U", "timestamp": ""}]
+    crawls = spark.createDataFrame([("c1", "Crawl", "https://x.org/a.wacz")], "id string, name string, source string")
+    collections = spark.createDataFrame([("a b", "Name A", "d")], "id string, name string, description string")
+    found = S.search(TextIndex.of(corpus(spark, rows)), "alpha")
+    got = {r["doc_id"]: r for r in views.result_rows(found.hits, crawls, collections).collect()}
+    assert got[0]["collection_name"] == "Name A" and got[1]["collection_name"] == "col" and got[0]["title"] == "http://example.com/0"
+    assert got[0]["href"] == "/replay/viewer?source=https%3A%2F%2Fx.org%2Fa.wacz&url=http%3A%2F%2Fexample.com%2F0&ts=20210101000000&name=Crawl&collection=Name%20A&collection_id=a%20b&crawl=c1"
+    assert got[0]["snippet_html"] == "<b>alpha</b> &lt;b&gt; beta" and (got[1]["time_text"], got[0]["time_text"]) == ("", "2021-01-01 00:00")
+    items = {(r["field"], r["value"]): r for r in views.facet_items(found.facets, "alpha collection:col").collect()}
+    assert items["collection", "col"]["active"] and items["collection", "col"]["href"] == "/search?q=alpha"
+    assert not items["type", "html"]["active"] and items["type", "html"]["href"] == "/search?q=alpha%20collection%3Acol%20type%3Ahtml"
+    assert [tuple(r) for r in views.set_filters("alpha crawl:c1 year:2021", crawls).orderBy("place").collect()] == [(0, "Crawl", "Crawl", "alpha year:2021"), (1, "Year", "2021", "alpha crawl:c1")]
+    assert views.page_of("alpha", {"total_hits": 41, "capped": False}, offset=20) == {"page": 2, "total_pages": 3, "total_hits": 41, "capped": False, "query": "alpha"}

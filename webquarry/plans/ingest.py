@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,9 +110,9 @@ def place(path: str, home: str, move: bool = False) -> str:
     return dest
 
 
-def pages_of(spark: SparkSession, crawl: str, path: str, opener=wacz.open_local, pdf_text: PdfText | None = None) -> DataFrame:
-    """Merged pages of one package."""
-    return documents.merge_pages(wacz.read_package(spark, crawl, path, opener, pdf_text))
+def pages_of(spark: SparkSession, crawl: str, path: str, opener=wacz.open_local, pdf_text: PdfText | None = None, skipped: Accumulator | None = None) -> DataFrame:
+    """Merged pages of one package; skipped counts the records that can't be read."""
+    return documents.merge_pages(wacz.read_package(spark, crawl, path, opener, pdf_text, skipped))
 
 
 def as_documents(pages: DataFrame, name: Column | str, collection: Column | str, cfg: Config, profiles: dict[str, dict[str, int]] | None = None) -> DataFrame:
@@ -182,7 +183,8 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
             with use(path) as f:
                 meta = wacz.read_datapackage(f)
             row = {"id": cid, "name": name or meta["title"] or display_name(source), "collection": collection, "source": stored, "sha256": None if source.remote else maintain.file_sha256(path)} | {k: meta[k] for k in ("title", "description", "created", "software", "keywords", "licenses", "creator", "seed_pages")}
-            docs = as_documents(pages_of(spark, cid, path, use, pdf_text), row["name"], collection, cfg, trigrams.load(spark, home))
+            skipped = spark.sparkContext.accumulator(0)
+            docs = as_documents(pages_of(spark, cid, path, use, pdf_text, skipped), row["name"], collection, cfg, trigrams.load(spark, home))
             maintain.upsert(spark, home, docs.unionByName(crawl_document(spark, row)), [cid])
         except (OSError, ValueError, KeyError) as e:
             outcome["failed"].append((cid, str(e)))
@@ -195,7 +197,7 @@ def ingest(spark: SparkSession, home: str, locations: list[str], collection: str
         facts = found.agg(F.count("*").alias("n"), F.min(F.nullif("timestamp", F.lit(""))).alias("a"), F.max(F.nullif("timestamp", F.lit(""))).alias("b")).first()
         manifest.put(row | {"page_count": facts["n"], "capture_start": facts["a"], "capture_end": facts["b"]})
         outcome["indexed"].append(cid)
-        progress("indexed", {"crawl": cid, "pages": facts["n"]})
+        progress("indexed", {"crawl": cid, "pages": facts["n"], "unreadable": skipped.value})
     if outcome["indexed"]:
         finding_aids.seed(spark, home, collection, {})
         if maintain.fragmented(spark, home):

@@ -17,6 +17,7 @@ from webquarry.functions import trigrams
 from webquarry.operators import catalog, images, maintain
 from webquarry.plans import imports
 from webquarry.plans import search as S
+from webquarry.plans import views
 from webquarry.queries import CAP, CRAWLS_SQL, LANG, TITLE, W, captures, crawls, hits, hits_sql, index, pages, query, search_ctes, table
 from webquarry.sources import cdx, files, packages, warc
 from webquarry.sources.files import scratch
@@ -401,6 +402,29 @@ def crawl_views(spark, sf_dir):
     return view.select("id", "name", "collection", "collection_name", "remote", "viewer_source", "review_text")
 
 
+@query(f"""
+WITH {CAP}, v AS (SELECT 'year' AS field, year::VARCHAR AS value, count(*) AS n FROM docs GROUP BY 2 UNION ALL SELECT 'site', site, count(*) FROM docs GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS cut FROM v WHERE value IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY CASE field WHEN 'year' THEN value END DESC NULLS LAST, n DESC, value) AS place FROM r WHERE cut <= 50 AND value <> '')
+SELECT field, place::INT AS place, value AS label, n, '/search?q=' || url_encode(field || ':' || value) AS href FROM o WHERE place <= CASE field WHEN 'year' THEN 12 ELSE 8 END""")
+def home_browse(spark, sf_dir):
+    return views.browse_links(S.facet_overview(index(spark, sf_dir).docs))
+
+
+@query(f"""
+WITH {SEEDED_SQL}, m AS (SELECT d.*, CASE WHEN place LIKE 'https://%' THEN place ELSE '/files/' || id END AS viewer FROM docs d JOIN seeded s ON s.id = d.crawl_id WHERE d.status = 404)
+SELECT doc_id, '/replay/viewer?source=' || url_encode(viewer) || '&url=' || url_encode(url) || '&ts=' || timestamp || '&name=' || url_encode(crawl_name) || '&collection=' || url_encode('The ' || collection)
+       || '&collection_id=' || url_encode(collection) || '&crawl=' || crawl_id AS href, CASE WHEN title = '' THEN url ELSE title END AS title, FALSE AS is_collection, url,
+       {day_sql("timestamp")} || ' 12:00' AS time_text,
+       nullif(replace(replace(replace(replace(CASE WHEN length(body) > 300 THEN left(body, 300) || '…' ELSE body END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '') AS snippet_html,
+       '/collection/' || url_encode(collection) AS collection_href, 'The ' || collection AS collection_name, status
+FROM m""")
+def result_rows(spark, sf_dir):
+    """Rows without a snippet, as a filter alone has none: the excerpt stands in."""
+    hits = S.with_snippets(S.matches(index(spark, sf_dir), "status:404"), "status:404").withColumn("capture_count", F.lit(1))
+    return views.result_rows(hits, seeded(spark, sf_dir), named(spark, sf_dir)).drop("score", "capture_count")
+
+
 # ---------------------------------------------------------------- event time (an extension)
 
 

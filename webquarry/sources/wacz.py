@@ -20,6 +20,7 @@ from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -374,8 +375,8 @@ def _record_ddl() -> str:
     return "crawl_id string, seq bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RAW_RECORD.fields)
 
 
-def fetch_records(places: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
-    """Page records at (crawl_id, path, at, length, seq): each task seeks to its ranges. Unreadable ones are skipped."""
+def fetch_records(places: DataFrame, opener: Opener = open_local, pdf_text: PdfText | None = None, skipped: Accumulator | None = None) -> DataFrame:
+    """Page records at (crawl_id, path, at, length, seq): each task seeks to its ranges. Unreadable ones are skipped, and counted in skipped (again if a task runs again)."""
     shape = pa.schema([("crawl_id", pa.string()), ("seq", pa.int64()), *((n, pa.int32() if n in ("status", "modified") else pa.string()) for n in RAW_RECORD.names)])
 
     def run(batches):
@@ -389,6 +390,8 @@ def fetch_records(places: DataFrame, opener: Opener = open_local, pdf_text: PdfT
                 try:
                     found = warc.record_slice(f.read(length))
                 except Exception:  # one bad record doesn't stop the rest
+                    if skipped is not None:
+                        skipped.add(1)
                     continue
                 held += [{"crawl_id": crawl, "seq": seq} | p for r in found if (p := raw_record(r, pdf_text)) is not None]
             if held:
@@ -400,7 +403,7 @@ def fetch_records(places: DataFrame, opener: Opener = open_local, pdf_text: PdfT
     return places.repartition(places.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path", "at")).mapInArrow(run, _record_ddl())
 
 
-def read_package(spark: SparkSession, crawl_id: str, path: str, opener: Opener = open_local, pdf_text: PdfText | None = None) -> DataFrame:
+def read_package(spark: SparkSession, crawl_id: str, path: str, opener: Opener = open_local, pdf_text: PdfText | None = None, skipped: Accumulator | None = None) -> DataFrame:
     """Page records of one package by whichever route its layout allows. Index and page texts are read by tasks, not here."""
     from webquarry.sources.cdx import parse_cdx, wanted, with_places
 
@@ -427,6 +430,6 @@ def read_package(spark: SparkSession, crawl_id: str, path: str, opener: Opener =
 
     numbered = one.mapInArrow(index_lines, "seq bigint, value string")
     places = with_places(wanted(parse_cdx(numbered, keep=("seq",))), spark.createDataFrame(list(starts.items()), "basename string, start bigint"), len(starts))
-    found = fetch_records(places.select(F.lit(crawl_id).alias("crawl_id"), F.lit(path).alias("path"), "at", "length", "seq"), opener, pdf_text)
+    found = fetch_records(places.select(F.lit(crawl_id).alias("crawl_id"), F.lit(path).alias("path"), "at", "length", "seq"), opener, pdf_text, skipped)
     late = one.mapInArrow(page_texts, "seq bigint, kind string, url string, timestamp string, title string, body string, media_type string")
     return found.unionByName(late.withColumn("crawl_id", F.lit(crawl_id)), allowMissingColumns=True)
