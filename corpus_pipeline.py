@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from webquarry.llm import exact_dedup, langid, mixing, near_dedup, packing
-from webquarry.llm.common import scratch_dir, scratch_scope
+from webquarry.llm.common import delete, scratch_dir, scratch_scope
 from webquarry.llm.queries import tokenizer
 
 
@@ -69,9 +69,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{scratch_dir(spark)}/webquarry-pipeline-{uuid.uuid4().hex}"
+    root, before = f"{scratch_dir(spark)}/webquarry-pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         with scratch_scope(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            delete(spark, f"{root}/{before}")
+        before = name
     return docs
