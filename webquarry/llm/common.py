@@ -8,6 +8,7 @@ code runs for each word.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python are small in this session, also when its results are written."""
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """All tables that cut() makes inside go at the end, after a failure too; write a lazy result before that."""
@@ -186,13 +192,28 @@ def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[off[0] : off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Give freed memory back: a Python worker lives on beside its executor, with all that its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018 - not every C library has it
+except (OSError, AttributeError):
+    _libc = None
+
+
 def passes(offsets: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about `most` bytes each."""
+    """Ranges of documents of about `most` bytes each; what the passes have freed is given back after the last."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, j
         i = j
+    trim()
 
 
 def padded(buf: np.ndarray, by: int = 16) -> np.ndarray:
