@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written as Parquet and read back as the next one's docs. All stages but the last return the columns of
 documents. For all stages: an empty table gives an empty result, and further columns are kept as they are,
-whatever their names, but for the last stage, which returns its own.
+whatever their names, but for the last stage, which returns its own. A stage sets the session to small batches
+between Spark and Python, which bounds what a task holds of very long texts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from webquarry.llm import exact_dedup, langid, mixing, near_dedup, packing
-from webquarry.llm.common import delete, scratch_dir, scratch_scope
+from webquarry.llm.common import delete, scratch_dir, scratch_scope, small_batches
 from webquarry.llm.queries import tokenizer
 
 
@@ -23,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A very long text is judged as a whole; repeated rows are judged alike, row by row; ties between languages go to
     the lesser name; null ids and sources count for nothing.
     """
+    small_batches(spark)
     return langid.accepted(docs)
 
 
@@ -31,6 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts equal empty ones; rows that repeat id and text stay together; texts of any length are compared whole.
     """
+    small_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
@@ -40,6 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are near each other only; very long texts are compared whole; rows that repeat the id and
     text of the one that stays, stay.
     """
+    small_batches(spark)
     return near_dedup.thin(docs)
 
 
@@ -49,6 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and aren't taken; a null source is a source; the last copy of a source is cut
     at a word, however long its text; rows of one id share a place; ties of position go by id.
     """
+    small_batches(spark)
     return mixing.curriculum(docs)
 
 
@@ -58,6 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is an empty document of one token; very long texts are cut into pieces; repeated rows are packed one
     by one; ties of length go by rank.
     """
+    small_batches(spark)
     return packing.packed(docs, tokenizer())
 
 
