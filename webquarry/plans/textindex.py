@@ -117,7 +117,11 @@ class TextIndex:
     #: Where the leaves of recent phrase queries stand, persisted by their leaves: a phrase's frequency and scores come from one grouping.
     kept: dict[tuple, DataFrame] = field(default_factory=dict, compare=False)
 
+    #: Frequencies of terms that were asked for: an index is one version, which doesn't change.
+    counted: dict[str, dict[str, int]] = field(default_factory=dict, compare=False)
+
     KEPT: ClassVar[int] = 8
+    COUNTED: ClassVar[int] = 10_000
 
     @classmethod
     def of(cls, docs: DataFrame) -> TextIndex:
@@ -191,16 +195,25 @@ class TextIndex:
         return rows.select("field", "term", "doc_id", "tf", "len", "positions")
 
     def frequencies(self, terms: list[str]) -> dict[tuple[str, str], int]:
-        """(term, field) -> documents that hold it: at most terms x fields rows come back."""
-        if self.terms is not None:
-            counted = self._of_terms(self.terms, terms).select("term", "field", "df")
-            if self.deleted is not None:
-                marked = self._of_terms(self.stored, terms).where(F.col("segment").isin(*self.marked_in)).join(self.deleted, ["segment", "doc_id"], "left_semi")
-                counted = counted.union(marked.select("term", "field", F.lit(-1).cast("bigint")))
-            rows = counted.groupBy("term", "field").agg(F.sum("df").alias("df"))
-        else:
-            rows = self.postings(terms).groupBy("term", "field").agg(F.count("*").alias("df"))
-        return {(r["term"], r["field"]): r["df"] for r in rows.collect()}
+        """(term, field) -> documents that hold it: at most terms x fields rows come back, and are remembered."""
+        missing = sorted({t for t in terms if t not in self.counted})
+        if missing:
+            if len(self.counted) > self.COUNTED:
+                self.counted.clear()
+                missing = sorted(set(terms))
+            self.counted.update({t: {} for t in missing})
+            for r in self._frequencies(missing).collect():
+                self.counted[r["term"]][r["field"]] = r["df"]
+        return {(t, f): n for t in terms for f, n in self.counted[t].items()}
+
+    def _frequencies(self, terms: list[str]) -> DataFrame:
+        if self.terms is None:
+            return self.postings(terms).groupBy("term", "field").agg(F.count("*").alias("df"))
+        counted = self._of_terms(self.terms, terms).select("term", "field", "df")
+        if self.deleted is not None:
+            marked = self._of_terms(self.stored, terms).where(F.col("segment").isin(*self.marked_in)).join(self.deleted, ["segment", "doc_id"], "left_semi")
+            counted = counted.union(marked.select("term", "field", F.lit(-1).cast("bigint")))
+        return counted.groupBy("term", "field").agg(F.sum("df").alias("df"))
 
     def keep(self, leaves: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         """make(), persisted; the oldest of KEPT ones goes."""
