@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from webquarry.config import Config
 from webquarry.operators import maintain
 from webquarry.plans import ingest
@@ -90,6 +91,23 @@ def test_extraction():
     assert (p["title"], p["lang"], p["description"], p["og_image"], p["headings"], p["body"]) == ("A & B", "fr", "d", "i", "H 2", "x y z H 2")
 
 
+def test_references_without_semicolon_are_text():
+    p = extract("<html><head><title>a &amp; b &amp</title><meta name=description content='d&copy;&copy'></head><body>x &ampy; &#65; &#65 &quot;q&quot;<h1>h &lt; &lt</h1>&</body></html>")
+    assert (p["title"], p["description"], p["headings"], p["body"]) == ("a & b &amp", "d©&copy", "h < &lt", 'x &ampy; A &#65 "q" h < &lt &')
+
+
+@pytest.mark.parametrize("name", ["html_bodies", "html_parsed_fields"])
+def test_cut_and_quoted_references_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    pages = [(1, "http://a.org/1", "<html lang='de-AT'><head><title>cut &amp;&amp</title></head><body><h1>cut &amp;&amp</h1>t &amp</body></html>"), (2, "http://a.org/2", "<html lang=en><head><title>t = &quot;a&quot; &lt;</title></head><body><h2>t = &quot;a&quot;</h2></body></html>")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    found = duckdb.connect().execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'").execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
+
+
 def make(path, compression, warcs, extra=()):
     with zipfile.ZipFile(path, "w", compression) as z:
         for name, data in warcs:
