@@ -149,6 +149,41 @@ def test_bounds_give_the_rows_of_a_full_scan(spark, tmp_path, monkeypatch, limit
         assert "GreaterThanOrEqual(doc_id" in plan and "LessThan(doc_id" in plan
 
 
+def test_postings_are_gathered_in_the_documents_tasks(spark):
+    from webquarry.plans.textindex import all_postings
+
+    rows = [{"doc_id": 0, "title": "b a", "body": "a b a c É"}, {"doc_id": 1, "body": ""}, {"doc_id": 2, "headings": "a", "body": "c c c"}]
+    found = all_postings(corpus(spark, rows).where("doc_id >= 0"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["field"], r["term"], r["doc_id"]): (r["tf"], r["len"], r["positions"]) for r in found.where("field <> 'url_tokens'").collect()}
+    assert got == {("title", "b", 0): (1, 2, [0]), ("title", "a", 0): (1, 2, [1]), ("body", "a", 0): (2, 5, [0, 2]), ("body", "b", 0): (1, 5, [1]), ("body", "c", 0): (1, 5, [3]), ("body", "é", 0): (1, 5, [4]), ("headings", "a", 2): (1, 1, None), ("body", "c", 2): (3, 3, [0, 1, 2])}
+
+
+def test_bounds_of_a_run_over_batches():
+    import pyarrow as pa
+
+    from webquarry.plans.textindex import _bounds
+
+    rows = [("a", "body", 3, 1, 9), ("a", "body", 4, 5, 7), ("a", "body", 9, 2, 8), ("a", "body", 14, 1, 1), ("a", "title", 14, 1, 2), ("b", "title", 14, 3, 4)]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["term", "field", "doc_id", "tf", "len"])
+    for cut in range(1, len(rows)):
+        out = [tuple(r.values()) for b in _bounds(3, 10)(iter([batch(rows[:cut]), batch(rows[cut:])])) for r in b.to_pylist()]
+        assert out == [("a", "body", 3, 3, 5, 7), ("a", "body", 13, 1, 1, 1), ("a", "title", 13, 1, 1, 2), ("b", "title", 13, 1, 3, 4)]
+
+
+def test_large_segments_deal_buckets_to_several_files(spark, tmp_path, monkeypatch):
+    from webquarry.plans import textindex
+
+    for name, v in (("PART_TOKENS", 8), ("BLOCK_DOCS", 5), ("BUCKETS", 4)):
+        monkeypatch.setattr(textindex, name, v)
+    docs = corpus(spark, [{"body": "alpha beta " + "word" * (i % 3)} for i in range(60)])
+    textindex.TextIndex.write(docs, str(tmp_path / "i"))
+    index = TextIndex.open(spark, str(tmp_path / "i"))
+    files = index.stored.where("term = 'alpha'").select(F.input_file_name()).distinct().count()
+    assert files > 1 and index.frequencies(["alpha"])["alpha", "body"] == 60
+    assert sum(r["n"] for r in index.blocks(["alpha"]).collect()) == 60 == S.matches(index, "alpha beta").count()
+
+
 def test_a_phrase_is_looked_for_once(spark, tmp_path):
     docs = corpus(spark, [{"body": "the old mill"}, {"body": "mill old the"}, {"title": "the old", "body": "x"}])
     TextIndex.write(docs, str(tmp_path / "i"))
