@@ -95,3 +95,13 @@ def test_languages_by_trigrams(spark, sf, tmp_path):
     odd = spark.createDataFrame([(None,), ("",), ("short",), ("1234567890 " * 20,), ("\u4e2d" * 60,)], "text string")
     assert [r[0] for r in odd.select(trigrams.told("text", found)).collect()] == [None] * 5
     assert [r[0] for r in odd.select(trigrams.told("text", {})).collect()] == [None] * 5
+
+
+def test_language_votes_of_mixed_letters():
+    from webquarry.functions.langdetect import _script, detect
+
+    assert [_script(c) for c in "aд漢か1 .ש"] == ["", "", "zh", "ja", None, None, None, "he"]
+    assert detect("漢字かな交じり文" * 8) == "ja" and detect("שלום עולם " * 8) == "he" and detect("123 456 " * 9) is None
+    _script.cache_clear()
+    detect("the river and the town of the hills " * 40)
+    assert _script.cache_info().misses <= 20  # a letter is looked up once, not at each of its places
