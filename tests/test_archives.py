@@ -524,3 +524,23 @@ def test_image_choice(spark):
     ]
     found = images.chosen(pages, spark.createDataFrame(cdx, "id int, seq bigint, url string, mime string, length bigint"), spark.createDataFrame([(5, "pin.jpg")], "id int, image_url string"))
     assert {r["id"]: (r["kind"], r["image_url"]) for r in found.collect()} == {0: ("thumbnail", cdx[0][2]), 1: ("declared", at + "t.png"), 2: ("embedded", at + "p2/b.png"), 3: ("site", "http://img.site.co.uk/z.png"), 5: ("pinned", "pin.jpg")}
+
+
+def test_streamed_batches_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    import webquarry.queries_archives as Q
+
+    spark.createDataFrame([(i, f"http://a.org/{i}", "<html><body>x</body></html>") for i in range(60)], "page_id bigint, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(Q, "scratch", lambda spark: str(tmp_path))
+    monkeypatch.setattr(Q.streams, "ingest_stream", lambda *a: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        Q.streamed_crawls(spark, str(tmp_path))
+    assert len(list(tmp_path.glob("webquarry-stream-*/in/*.parquet"))) > 2
+
+
+def test_exclusions_alone_read_the_index(spark, sf):
+    found = entry.queries()["exclusions_alone"](spark, sf)
+    assert any("/postings/" in f for f in found.inputFiles())
+
+
+def test_field_statistics_read_the_pages(spark, sf):
+    assert any("pages.parquet" in f for f in entry.queries()["field_statistics"](spark, sf).inputFiles())
