@@ -544,3 +544,24 @@ def test_exclusions_alone_read_the_index(spark, sf):
 
 def test_field_statistics_read_the_pages(spark, sf):
     assert any("pages.parquet" in f for f in entry.queries()["field_statistics"](spark, sf).inputFiles())
+
+
+def test_compacted_index_searches_what_compaction_wrote(spark, sf, tmp_path, monkeypatch):
+    import webquarry.queries_archives as Q
+
+    committed, steps, searched, compact, ids = {}, [], [], maintain.compact, S.matched_ids
+
+    def watched(spark, home, **more):
+        committed.update(maintain.manifest(spark, home))
+        return compact(spark, home, progress=lambda kind, facts: steps.append((kind, facts)), **more)
+
+    monkeypatch.setattr(Q, "scratch", lambda spark: str(tmp_path))
+    monkeypatch.setattr(maintain, "compact", watched)
+    monkeypatch.setattr(S, "matched_ids", lambda index, q: searched.append(index) or ids(index, q))
+    Q.compacted_index(spark, sf)
+    now = maintain.manifest(spark, str(next(tmp_path.glob("webquarry-home-*"))))
+    assert steps == [("merged", {"segments": 2, "inputs": 3}), ("expunged", {"segments": 2})]
+    assert len(committed) == 4 and sum(bool(own.marked.docs) for own in committed.values()) == 2
+    assert len(now) == 2 and not set(now) & set(committed) and not any(own.marked.vectors for own in now.values())
+    assert sum(own.docs for own in now.values()) == Q.docs(spark, sf).count()
+    assert {f.split("segment=")[1].split("/")[0] for f in searched[0].stored.inputFiles()} == set(now)
